@@ -43,3 +43,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from wfscan.llm.leakage import find_leaks
 
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.provenance import classify
+
+    return classify(table(spark, d, "server_files")).select("file_id").distinct()
+
+
+@query
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.provenance import classify
+
+    return classify(table(spark, d, "server_files"))
