@@ -57,3 +57,22 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     from wfscan.llm.provenance import classify
 
     return classify(table(spark, d, "server_files"))
+
+
+_SECRET_COLUMNS = {"code_snippet": "code_snippet", "matched_text": "matched_text"}
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.secrets import find_secrets
+
+    files = find_secrets(table(spark, d, "source_files"), "file_id", {"code": "code"})
+    return files.unionByName(find_secrets(table(spark, d, "scan_findings"), "finding_id", _SECRET_COLUMNS))
+
+
+@query
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.secrets import mask_secrets
+
+    files = mask_secrets(table(spark, d, "source_files"), "file_id", {"code": "code"})
+    return files.unionByName(mask_secrets(table(spark, d, "scan_findings"), "finding_id", _SECRET_COLUMNS))
