@@ -84,7 +84,7 @@ def content_hash(code: str) -> tuple[int | None, int]:
     return (xxhash.xxh3_64_intdigest(plain.encode("utf-8", "replace")) - (1 << 63) if plain else None), len(plain)
 
 
-FACTS = "file_id bigint, owner string, server string, path string, hash bigint, chars bigint, found string"
+FACTS = "file_id bigint, owner string, server string, root string, path string, hash bigint, chars bigint, found string"
 
 
 def file_facts(df: DataFrame) -> DataFrame:
@@ -93,25 +93,30 @@ def file_facts(df: DataFrame) -> DataFrame:
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for i, server, root, name, code in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            path = re.sub(r"/(?:\./|/)+", "/", f"{root or ''}/{name or ''}".replace("\\", "/"))
+            root = re.sub(r"/(?:\./|/)*", "/", f"{root or ''}/".replace("\\", "/"))
+            name = re.sub(r"/(?:\./|/)+", "/", (name or "").replace("\\", "/")).removeprefix("./").lstrip("/")
+            path = root + name
             server, code = (server or "").strip(), code or ""
             found = content_class(code, path)
             if found is None:
                 head = next((m for x in code.lstrip("﻿").split("\n", 3)[:3] if (m := LIBRARY_HEADER.match(x.strip()))), None)
                 if VENDORED_PATH.search(path) or head and head[1].lower() not in server.lower():
                     found = "vendored"
-            out.append((i, server.split("/")[0].lower(), server.lower(), path, *content_hash(code), found))
+            out.append((i, server.split("/")[0].lower(), server.lower(), root, name, *content_hash(code), found))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file_id", "owner", "server", "path", "hash", "chars", "found"])
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file_id", "owner", "server", "root", "path", "hash", "chars", "found"])
 
     return map_arrow(df.select(F.col("file_id").cast("bigint").alias("file_id"), "server_name", "code_path", "file", "code"), kernel, FACTS)
 
 
 def merkle_directories(facts: DataFrame) -> DataFrame:
-    """(owner, server, dir, hash, files, chars): the Merkle hash of each directory, from the deepest level up."""
-    depth = F.size(F.split("path", "/")) - 1
-    files = facts.where("hash is not null").select("owner", "server", "path", "hash", F.lit(1).cast("bigint").alias("files"), "chars", F.least(depth, F.lit(MAX_DEPTH)).alias("depth"))
+    """(owner, server, root, dir, hash, files, chars): the Merkle hash of each directory below a scan root, from the deepest level up.
+
+    Every level is checkpointed: a row per directory, so the plan stays short however deep the trees are.
+    """
+    depth = F.least(F.size(F.split("path", "/")), F.lit(MAX_DEPTH))
+    files = facts.where("hash is not null").select("owner", "server", "root", "path", "hash", F.lit(1).cast("bigint").alias("files"), "chars", depth.alias("depth"))
     deepest = files.agg(F.max("depth")).first()[0] or 0  # one number, at most MAX_DEPTH
     done, below = None, None
     for level in range(deepest, 0, -1):
@@ -119,15 +124,15 @@ def merkle_directories(facts: DataFrame) -> DataFrame:
         if below is not None:
             nodes = nodes.unionByName(below)
         child = F.xxhash64(F.element_at(F.split("path", "/"), -1), "hash")
-        own = nodes.groupBy("owner", "server", F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(
-            F.xxhash64(F.expr("bit_xor(xxhash64(element_at(split(path, '/'), -1), hash))"), F.sum(F.shiftrightunsigned(child, 20)), F.count("*")).alias("hash"),
-            F.sum("files").alias("files"),
-            F.sum("chars").alias("chars"),
+        parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+        below = checkpoint(
+            nodes.groupBy("owner", "server", "root", parent.alias("path")).agg(
+                F.xxhash64(F.bit_xor(child), F.sum(F.shiftrightunsigned(child, 20)), F.count("*")).alias("hash"), F.sum("files").alias("files"), F.sum("chars").alias("chars")
+            )
         )
-        below = own
-        done = own if done is None else done.unionByName(own)
+        done = below if done is None else done.unionByName(below)
     if done is None:
-        return facts.sparkSession.createDataFrame([], "owner string, server string, dir string, hash bigint, files bigint, chars bigint")
+        return facts.sparkSession.createDataFrame([], "owner string, server string, root string, dir string, hash bigint, files bigint, chars bigint")
     return done.withColumnRenamed("path", "dir")
 
 
@@ -142,9 +147,9 @@ def classify(df: DataFrame) -> DataFrame:
     shared_files = _shared(facts.where(F.col("chars") >= MIN_CHARS))
     by_file = facts.where(F.col("found").isNull()).join(shared_files, ["hash", "chars"], "left_semi").select("file_id", F.lit("vendored").alias("found"))
     trees = merkle_directories(facts).where((F.col("files") >= 2) & (F.col("chars") >= MIN_TREE_CHARS))
-    shared_trees = trees.join(_shared(trees), ["hash", "chars"], "left_semi").select("server", "dir").distinct()
-    ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda i: F.array_join(F.slice("p", 1, i), "/"))
-    inside = facts.where(F.col("found").isNull()).select("file_id", "server", F.split("path", "/").alias("p")).select("file_id", "server", F.explode(ancestors).alias("dir"))
-    by_tree = inside.join(shared_trees, ["server", "dir"], "left_semi").select("file_id", F.lit("vendored").alias("found"))
+    shared_trees = trees.join(_shared(trees), ["hash", "chars"], "left_semi").select("server", "root", "dir").distinct()
+    parts = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.array_join(F.slice("p", 1, i), "/"))
+    inside = facts.where(F.col("found").isNull()).select("file_id", "server", "root", F.split("path", "/").alias("p")).select("file_id", "server", "root", F.explode(parts).alias("dir"))
+    by_tree = inside.join(shared_trees, ["server", "root", "dir"], "left_semi").select("file_id", F.lit("vendored").alias("found"))
     own = facts.where(F.col("found").isNotNull()).select("file_id", "found")
     return own.unionByName(by_file).unionByName(by_tree).distinct()
