@@ -76,3 +76,17 @@ def p5_masked(spark: SparkSession, d: str) -> DataFrame:
 
     files = mask_secrets(table(spark, d, "source_files"), "file_id", {"code": "code"})
     return files.unionByName(mask_secrets(table(spark, d, "scan_findings"), "finding_id", _SECRET_COLUMNS))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.hidden_text import text_languages
+
+    return text_languages(table(spark, d, "source_files"), table(spark, d, "scan_findings"), table(spark, d, "documents"))
+
+
+@query
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.hidden_text import file_shares
+
+    return file_shares(table(spark, d, "source_files"), table(spark, d, "documents"))
