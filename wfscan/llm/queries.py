@@ -90,3 +90,24 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     from wfscan.llm.hidden_text import file_shares
 
     return file_shares(table(spark, d, "source_files"), table(spark, d, "documents"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.personal import find_personal
+
+    return find_personal(table(spark, d, "topics_full"), "row_id", ("title", "doc_text")).select("row_id", "field", "kind").distinct()
+
+
+@query
+def p7_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.personal import replace_personal
+
+    return replace_personal(table(spark, d, "topics_full"), "row_id", ("title", "doc_text"))
+
+
+@query
+def p7_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.personal import replace_personal
+
+    return replace_personal(table(spark, d, "topics_full"), "row_id", ("title", "doc_text"), b"wfscan surrogate key")
