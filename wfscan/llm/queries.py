@@ -111,3 +111,10 @@ def p7_surrogates(spark: SparkSession, d: str) -> DataFrame:
     from wfscan.llm.personal import replace_personal
 
     return replace_personal(table(spark, d, "topics_full"), "row_id", ("title", "doc_text"), b"wfscan surrogate key")
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.sentences import split_sentences
+
+    return split_sentences(table(spark, d, "documents")).distinct()
