@@ -118,3 +118,24 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from wfscan.llm.sentences import split_sentences
 
     return split_sentences(table(spark, d, "documents")).distinct()
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wfscan.llm.near_duplicates import near_pairs
+
+    prompts = near_pairs(table(spark, d, "template_records"), "rec_id", "prompt_text", 0.6, 3).select(F.lit("prompt_text").alias("origin"), "id_a", "id_b")
+    snippets = near_pairs(table(spark, d, "scan_findings"), "finding_id", "code_snippet", 0.6, 3).select(F.lit("code_snippet").alias("origin"), "id_a", "id_b")
+    return prompts.unionByName(snippets)
+
+
+@query
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wfscan.llm.near_duplicates import near_groups
+
+    prompts = near_groups(table(spark, d, "template_records"), "rec_id", "prompt_text", 0.6, 3).withColumn("origin", F.lit("prompt_text"))
+    return prompts.unionByName(near_groups(table(spark, d, "scan_findings"), "finding_id", "code_snippet", 0.6, 3).withColumn("origin", F.lit("code_snippet")))
