@@ -149,7 +149,36 @@ def partition_of(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.groupBy(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "both").when(F.col("_a").isNotNull(), "only_first").otherwise("only_second").alias("part")).agg(F.count("*").alias("n"))
 
 
-def contained_ids(ids: DataFrame, id_col: str, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ids): listed identifiers that occur as whole words in a text, found by an equi-join on its words instead of a nested loop."""
-    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[\w@/.-]+"), F.lit(0)))).alias("_w"))
-    return words.join(ids.select(F.col(id_col).alias("_w")).distinct(), "_w").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_w")), "|").alias("ids"))
+def contained_ids(ids: DataFrame, id_col: str, texts: DataFrame, key: str, text: str, block: int = 100_000) -> DataFrame:
+    """(key, ids): the listed identifiers that occur in a text, also inside longer words.
+
+    Each block of identifiers becomes one automaton that scans every text once, so there is neither a nested loop nor a shuffle of texts.
+    """
+    import ahocorasick
+    import pandas as pd
+
+    listed = ids.select(F.col(id_col).cast("string").alias("i")).where("trim(i) <> ''").distinct()
+    blocks, held = [], []
+    for r in listed.toLocalIterator():
+        held.append(r[0])
+        if len(held) == block:
+            blocks.append(held)
+            held = []
+    blocks.append(held)
+    out = None
+    for b in blocks:
+        shared = texts.sparkSession.sparkContext.broadcast(b)  # at most `block` identifiers
+
+        def run(batches, shared=shared):
+            a = ahocorasick.Automaton()
+            for w in shared.value:
+                a.add_word(w, w)
+            if shared.value:
+                a.make_automaton()
+            for pdf in batches:
+                rows = [(k, w) for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) if t and shared.value for w in {w for _, w in a.iter(t)}]
+                yield pd.DataFrame(rows, columns=["k", "i"])
+
+        part = texts.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k string, i string")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct().groupBy(F.col("k").alias(key)).agg(F.array_join(F.array_sort(F.collect_list("i")), "|").alias("ids"))
