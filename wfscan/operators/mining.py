@@ -49,7 +49,12 @@ def category_counts(scores: DataFrame) -> DataFrame:
 
 def ngrams(toks: Column, most: int = 3) -> Column:
     n = F.size(toks)
-    return F.flatten(F.array(*[F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(toks, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most + 1)]))
+    none = F.array().cast("array<string>")
+
+    def of(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, k), " "))).otherwise(none)
+
+    return F.flatten(F.array(*[of(k) for k in range(1, most + 1)]))
 
 
 def tfidf_terms(docs: DataFrame, key: str, toks: str, most: int = 30, min_df: int = 2, max_df: float = 0.6, upto: int = 3) -> DataFrame:

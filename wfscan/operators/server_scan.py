@@ -68,19 +68,21 @@ def platform_hints(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t.rlike(rx), F.lit(k)) for k, rx in pairs]))
 
 
+def _hits(text: Column, rule: str, family: str, pattern: str) -> Column:
+    return F.transform(all_matches(text, pattern), lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), h["pos"].cast("int").alias("pos"), h["match"].alias("match")))
+
+
 def scan_servers(files: DataFrame, server: str = "server_name", file: str = "file", text: str = "code") -> DataFrame:
     """A finding per rule, file and line: its first match, guards and chains nearby, confidence, severity, platform hints."""
     t = F.col(text)
-    hits = F.array_compact(
-        F.array(*[F.when(t.rlike(rx), F.transform(all_matches(t, rx), lambda h, r=rule, f=family: F.struct(F.lit(r).alias("rule"), F.lit(f).alias("family"), h["pos"].cast("int").alias("pos"), h["match"].alias("match")))) for rule, family, rx in SERVER_RULES])
-    )
+    hits = F.array_compact(F.array(*[F.when(t.rlike(rx), _hits(t, rule, family, rx)) for rule, family, rx in SERVER_RULES]))
     h = files.where(t.isNotNull()).select(F.col(server).alias("server"), F.col(file).alias("file"), t.alias("_t"), F.explode(F.flatten(hits)).alias("h")).select("server", "file", "_t", "h.*")
     h = h.withColumn("line", line_of(F.col("_t"), F.col("pos")))
     h = h.where(~is_comment_line(F.get(F.split("_t", "\n", -1), F.col("line") - 1)))
     near, wide = lines_around(F.col("_t"), F.col("line"), 6, 6), lines_around(F.col("_t"), F.col("line"), 8, 8)
     h = h.withColumns({"_near": near, "_wide": wide, "context": lines_around(F.col("_t"), F.col("line"), 2, 2)}).drop("_t")
     skip = F.when(F.col("rule") == "path_traversal", ~(F.col("_near").rlike(FILE_OPERATION) & F.col("_near").rlike(USER_PATH))).when(F.col("rule") == "secret_env_source", ~any_match(F.col("_near"), SINKS)).otherwise(F.lit(False))
-    h = h.where(~skip).withColumn("_n", F.row_number().over(Window.partitionBy("server", "file", "rule", "line").orderBy("pos"))).where("_n = 1")
+    h = h.where(~skip).withColumn("_n", F.row_number().over(Window.partitionBy("server", "file", "rule", "line").orderBy("pos", "match", "context"))).where("_n = 1")
     guard = any_match(F.col("_near"), GUARDS)
     chain = any_match(F.col("_wide"), SOURCES) & any_match(F.col("_wide"), SINKS)
     return h.select(

@@ -1,33 +1,4 @@
 """Registered queries and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from wfscan.operators import shredding
-from wfscan.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
-
-
-@query
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.nodes_and_values(table(spark, d, "template"))
-
-
-@query
-def p4_param_values(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.parameter_values(table(spark, d, "template"))
-
-
-@query
-def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.node_table(table(spark, d, "template"))
+from wfscan.plans import audit, chains, mining, nested, records, scan, similarity, streams, summary, taxonomy, workflow  # noqa: F401
+from wfscan.plans.registry import QUERIES, SQL  # noqa: F401
