@@ -1 +1,78 @@
-"""x"""
+"""Code similarity by MinHash over whole files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wfscan.operators import similarity as sim
+from wfscan.plans.registry import query, text
+from wfscan.session import checkpoint, table
+
+_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '//[^\n]*', '', 'g'), '/\*(?s:.*?)\*/', '', 'g'), '"[^"]*"|''[^'']*''|`[^`]*`', ' STR ', 'g'), '\b\d+(\.\d+)?\b', ' NUM ', 'g'), '\s+', ' ', 'g'))"""
+_TOKENS = f"SELECT file_id, regexp_extract_all({_NORM}, {text(sim.TOKEN)}) AS toks FROM source_files WHERE code IS NOT NULL"
+
+
+def _tokens(spark, d):
+    f = table(spark, d, "source_files").where("code is not null")
+    return f.select("file_id", "npm_name", sim.tokens(sim.normalised(F.col("code"))).alias("toks"))
+
+
+@query(f"SELECT file_id, md5(array_to_string(toks, ' ')) AS digest, CAST(len(toks) AS INT) AS n FROM ({_TOKENS})")
+def code_tokens(spark, d):
+    return _tokens(spark, d).select("file_id", F.md5(F.array_join("toks", " ")).alias("digest"), F.size("toks").alias("n"))
+
+
+_WORDS = "[" + ", ".join(text(k) for k in sim.KEYWORDS) + "]"
+_RENAMED = f"""WITH t AS ({_TOKENS}), e AS (SELECT file_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM t),
+    p AS (SELECT *, lag(tok) OVER (PARTITION BY file_id ORDER BY i) AS prev, regexp_matches(tok, '^[A-Za-z_$]') AND NOT list_contains({_WORDS}, tok) AS ident FROM e),
+    c AS (SELECT *, CASE WHEN ident AND prev = 'function' THEN 'FUNC_' WHEN ident THEN 'VAR_' END AS kind FROM p),
+    f AS (SELECT file_id, kind, tok, row_number() OVER (PARTITION BY file_id, kind ORDER BY min(i)) AS no FROM c WHERE kind IS NOT NULL GROUP BY ALL),
+    r AS (SELECT c.file_id, i, coalesce(c.kind || no, c.tok) AS x FROM c LEFT JOIN f ON c.file_id = f.file_id AND c.kind = f.kind AND c.tok = f.tok),
+    a AS (SELECT file_id, list(x ORDER BY i) AS xs FROM r GROUP BY file_id)"""
+
+
+@query(f"{_RENAMED} SELECT file_id, md5(array_to_string(xs, ' ')) AS digest FROM a")
+def identifier_renumber(spark, d):
+    t = sim.with_renumbered(_tokens(spark, d).where(F.size("toks") > 0), "toks", "xs")
+    return t.select("file_id", F.md5(F.array_join("xs", " ")).alias("digest"))
+
+
+_SHINGLES = f"{_RENAMED}, s AS (SELECT DISTINCT file_id, array_to_string(xs[i:i + 4], ' ') AS sh FROM (SELECT file_id, xs, unnest(range(1, len(xs) - 3)) AS i FROM a))"
+
+
+@query(f"{_SHINGLES} SELECT file_id, count(*) AS shingles FROM s GROUP BY file_id")
+def shingle_counts(spark, d):
+    t = sim.with_renumbered(_tokens(spark, d), "toks", "xs")
+    return t.select("file_id", F.size(sim.shingles(F.col("xs"))).cast("bigint").alias("shingles")).where("shingles > 0")
+
+
+_MINHASH = f"{_SHINGLES}, b AS (SELECT file_id, CAST('0x' || left(md5(sh), 8) AS BIGINT) AS h FROM s), " + "m AS (SELECT file_id, " + ", ".join(f"min(({sim.A0 + i * sim.A1} * h + {sim.B0 + i * sim.B1}) % {sim.PRIME}) AS h{i}" for i in range(8)) + " FROM b GROUP BY file_id)"
+
+
+@query(f"{_MINHASH} SELECT file_id, {', '.join(f'CAST(h{i} AS BIGINT) AS h{i}' for i in range(8))} FROM m")
+def minhash_signature(spark, d):
+    """Eight of the hashes, over a base hash that SQL has too."""
+    s = sim.signatures(table(spark, d, "source_files"), ["file_id"], base=sim.md5_hash, hashes=8)
+    return s.select("file_id", *[F.get("signature", F.lit(i)).alias(f"h{i}") for i in range(8)])
+
+
+def _signed(spark, d):
+    return checkpoint(sim.signatures(table(spark, d, "source_files"), ["file_id", "npm_name"]))
+
+
+@query()
+def minhash_pairs(spark, d):
+    """Similar signatures between classes of equal ones; 80 hashes in 20 bands. Checked against brute force in tests."""
+    return sim.similar_signatures(_signed(spark, d), "file_id")[1]
+
+
+@query()
+def minhash_classes(spark, d):
+    return sim.similar_signatures(_signed(spark, d), "file_id")[0]
+
+
+@query()
+def similar_packages(spark, d):
+    s = _signed(spark, d)
+    members, links = sim.similar_signatures(s, "file_id")
+    return sim.top_pairs(sim.package_pairs(members, links, s, "file_id", "npm_name"), 0.5)
