@@ -86,7 +86,7 @@ def snapshot_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def snapshot_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """One row: sizes of both snapshots, what came, what went, and the net change."""
     j = old.select(key).distinct().withColumn("_o", F.lit(1)).join(new.select(key).distinct().withColumn("_n", F.lit(1)), key, "full")
-    g = j.agg(F.count("_o").alias("previous"), F.count("_n").alias("current"), F.count_if("_o is null").alias("new"), F.count_if("_n is null").alias("deleted"))
+    g = j.agg(F.count("_o").alias("previous"), F.count("_n").alias("current"), F.count_if(F.col("_o").isNull()).alias("new"), F.count_if(F.col("_n").isNull()).alias("deleted"))
     return g.withColumn("net_change", F.col("new") - F.col("deleted"))
 
 

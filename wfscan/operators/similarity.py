@@ -1,13 +1,15 @@
 """Code similarity by MinHash: normalise, renumber identifiers, shingle, sign, band, verify, and average by package.
 
-Every step is a native expression. The signature is 80 minima over a generated column; candidates meet by an equi-join on (band, key).
+All but the renumbering is native. The signature is 80 minima over a generated column; candidates meet by an equi-join on (band, key).
 Identical signatures are collapsed to one row first, so a group of copies of any size is one entry in every band.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K, HASHES, BANDS, ROWS, LEAST = 5, 80, 20, 4, 0.9
 # Words of the language that aren't identifiers, tokens, and the constants of the hash family.
@@ -21,7 +23,7 @@ def normalised(code: Column) -> Column:
     t = F.regexp_replace(code, r"//[^\n]*", "")
     t = F.regexp_replace(t, r"/\*[\s\S]*?\*/", "")
     t = F.regexp_replace(t, "\"[^\"]*\"|'[^']*'|`[^`]*`", " STR ")
-    t = F.regexp_replace(t, r"\b\d+(\.\d+)?\b", " NUM ")
+    t = F.regexp_replace(t, r"(?<![0-9A-Za-z_])\d+(\.\d+)?(?![0-9A-Za-z_])", " NUM ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
@@ -29,16 +31,35 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+_NOT_NAMES = frozenset(KEYWORDS)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _renumbered(rows: pd.Series) -> pd.Series:
+    def one(toks):
+        if toks is None:
+            return None
+        seen: dict[str, dict[str, str]] = {"VAR_": {}, "FUNC_": {}}
+        out, before = [], None
+        for t in toks:
+            if (t[0].isalpha() or t[0] in "_$") and t not in _NOT_NAMES:
+                kind = "FUNC_" if before == "function" else "VAR_"
+                names = seen[kind]
+                out.append(names.get(t) or names.setdefault(t, f"{kind}{len(names) + 1}"))
+            else:
+                out.append(t)
+            before = t
+        return out
+
+    return rows.map(one)
+
+
 def with_renumbered(df: DataFrame, toks: str, out: str) -> DataFrame:
-    """Identifiers replaced by their number of first occurrence, those after 'function' in a row of their own."""
-    t = F.col(toks)
-    words = F.array(*[F.lit(k) for k in KEYWORDS])
-    ident = lambda x: x.rlike(r"^[A-Za-z_$]") & ~F.array_contains(words, x)
-    marked = F.transform(t, lambda x, i: F.struct(x.alias("t"), (ident(x) & (F.get(t, i - 1) == "function") & (i > 0)).alias("f"), ident(x).alias("i")))
-    d = df.withColumn("_m", marked)
-    d = d.withColumns({"_f": F.array_distinct(F.transform(F.filter("_m", lambda m: m["f"]), lambda m: m["t"])), "_v": F.array_distinct(F.transform(F.filter("_m", lambda m: m["i"] & ~m["f"]), lambda m: m["t"]))})
-    new = F.transform("_m", lambda m: F.when(m["f"], F.concat(F.lit("FUNC_"), F.array_position("_f", m["t"]))).when(m["i"], F.concat(F.lit("VAR_"), F.array_position("_v", m["t"]))).otherwise(m["t"]))
-    return d.withColumn(out, new).drop("_m", "_f", "_v")
+    """Identifiers replaced by their number of first occurrence, those after 'function' in a row of their own.
+
+    An Arrow function: as nested array expressions the names would be searched anew for each token.
+    """
+    return df.withColumn(out, _renumbered(F.col(toks)))
 
 
 def shingles(toks: Column, k: int = K) -> Column:

@@ -52,7 +52,10 @@ def audit_overall(spark, d):
     return _judged(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT DISTINCT trim(regexp_replace(x, '\\s+', ' ', 'g')) AS label FROM (SELECT unnest({_LIST}) AS x FROM template_records)")
+_LABEL = "CASE " + " ".join(f"WHEN lower(y) = '{x.lower()}' THEN '{x}'" for x in audit.DOMAIN_ORDER) + " ELSE y END"
+
+
+@query(f"SELECT DISTINCT {_LABEL} AS label FROM (SELECT trim(regexp_replace(x, '\\s+', ' ', 'g')) AS y FROM (SELECT unnest({_LIST}) AS x FROM template_records))")
 def domain_labels(spark, d):
     x = table(spark, d, "template_records").select(F.explode(audit.list_of(F.col("domains"))).alias("x"))
     return x.select(audit.domain_label(F.col("x")).alias("label")).distinct()

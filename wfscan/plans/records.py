@@ -16,7 +16,7 @@ def _servers(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT *, CASE WHEN trim(full_name) <> '' THEN lower(trim(full_name)) ELSE chr(1) || record_id END AS key FROM mcp_registry_servers)
+    """WITH k AS (SELECT *, CASE WHEN trim(full_name, ' ') <> '' THEN lower(trim(full_name, ' ')) ELSE chr(1) || record_id END AS key FROM mcp_registry_servers)
     SELECT record_id, full_name, version FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY coalesce(is_latest, false) DESC, coalesce(updated_at, '') DESC, record_id DESC) AS n FROM k) WHERE n = 1"""
 )
 def latest_per_key(spark, d):
@@ -24,7 +24,7 @@ def latest_per_key(spark, d):
 
 
 _ORDER = {"official_registry": 0, "npm": 1, "github_topic": 2}
-_NAME = "coalesce(CASE WHEN trim(url) <> '' THEN url END, CASE WHEN trim(clone_url) <> '' THEN clone_url END, CASE WHEN trim(full_name) <> '' THEN full_name END, CASE WHEN trim(name) <> '' THEN name END)"
+_NAME = "coalesce(CASE WHEN trim(url, ' ') <> '' THEN url END, CASE WHEN trim(clone_url, ' ') <> '' THEN clone_url END, CASE WHEN trim(full_name, ' ') <> '' THEN full_name END, CASE WHEN trim(name, ' ') <> '' THEN name END)"
 
 
 @query(
@@ -56,7 +56,7 @@ def union_sources(spark, d):
     return registry.union_sources(a, b).select("kind", "name", "stars", "lang")
 
 
-_NORMAL = "nullif(trim(string_split(string_split(regexp_replace(trim({c}), '^[vV]', ''), '+')[1], '-')[1]), '')"
+_NORMAL = "nullif(trim(string_split(string_split(regexp_replace(trim({c}, ' '), '^[vV]', ''), '+')[1], '-')[1]), '')"
 _PART = "coalesce(try_cast(string_split({n}, '.')[{i}] AS INT), 0)"
 
 
@@ -66,7 +66,7 @@ def version_normalise(spark, d):
 
 
 _TRIPLE = lambda n: f"CASE WHEN coalesce({', '.join(f'try_cast(string_split({n}, chr(46))[{i}] AS INT)' for i in (1, 2, 3))}) IS NOT NULL THEN [{', '.join(_PART.format(n=n, i=i) for i in (1, 2, 3))}] END"
-_PAIRS = f"""WITH o AS (SELECT record_id, {_NORMAL.format(c="version")} AS v, lag({_NORMAL.format(c="version")}) OVER (PARTITION BY lower(trim(full_name)) ORDER BY record_id) AS w FROM mcp_registry_servers WHERE trim(full_name) <> ''),
+_PAIRS = f"""WITH o AS (SELECT record_id, {_NORMAL.format(c="version")} AS v, lag({_NORMAL.format(c="version")}) OVER (PARTITION BY lower(trim(full_name, ' ')) ORDER BY record_id) AS w FROM mcp_registry_servers WHERE trim(full_name, ' ') <> ''),
     t AS (SELECT record_id, v, w, {_TRIPLE("v")} AS a, {_TRIPLE("w")} AS b FROM o),
     c AS (SELECT record_id, CASE WHEN v IS NULL THEN 'missing_npm_version' WHEN w IS NULL THEN 'missing_github_version' WHEN v = w THEN 'equal' WHEN a IS NULL OR b IS NULL THEN 'unparsable' WHEN a = b THEN 'equal' WHEN a > b THEN 'npm_newer' ELSE 'github_newer' END AS status,
       CASE WHEN v IS NULL OR w IS NULL THEN 'unknown' WHEN v = w THEN 'match' ELSE 'mismatch' END AS consistency FROM t)"""
@@ -92,7 +92,7 @@ def a9_version_asymmetry(spark, d):
 
 
 @query(
-    """WITH v AS (SELECT lower(trim(full_name)) AS server, trim(version) AS version, list_transform(list_filter(string_split_regex(trim(version), '[^0-9]+'), lambda x: x <> ''), lambda x: CAST(x AS BIGINT)) AS k FROM mcp_registry_servers WHERE trim(full_name) <> '' AND regexp_matches(version, '[0-9]')),
+    """WITH v AS (SELECT lower(trim(full_name, ' ')) AS server, trim(version, ' ') AS version, list_transform(list_filter(string_split_regex(trim(version, ' '), '[^0-9]+'), lambda x: x <> ''), lambda x: CAST(x AS BIGINT)) AS k FROM mcp_registry_servers WHERE trim(full_name, ' ') <> '' AND regexp_matches(version, '[0-9]')),
     r AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY list_resize(k, 3, 0) DESC, version DESC) AS n FROM v) SELECT server, version FROM r WHERE n = 1"""
 )
 def highest_version(spark, d):
@@ -101,7 +101,7 @@ def highest_version(spark, d):
 
 
 @query(
-    r"""SELECT record_id, regexp_replace(regexp_replace(trim(clone_url), '^git\+', ''), '\.git$', '') AS web, nullif(regexp_extract(url, '^https?://[^/]+/([^/]+)/([^/?#]+?)(?:\.git)?/?$', 1), '') AS owner, nullif(regexp_extract(url, '^https?://[^/]+/([^/]+)/([^/?#]+?)(?:\.git)?/?$', 2), '') AS repo,
+    r"""SELECT record_id, regexp_replace(regexp_replace(trim(clone_url, ' '), '^git\+', ''), '\.git$', '') AS web, nullif(regexp_extract(url, '^https?://[^/]+/([^/]+)/([^/?#]+?)(?:\.git)?/?$', 1), '') AS owner, nullif(regexp_extract(url, '^https?://[^/]+/([^/]+)/([^/?#]+?)(?:\.git)?/?$', 2), '') AS repo,
     list_last(string_split(full_name, '/')) AS tail, coalesce(nullif(regexp_replace(regexp_replace(full_name, '[@/]', '_', 'g'), '[^0-9A-Za-z_.-]+', '_', 'g'), ''), 'pkg') AS safe_name FROM mcp_registry_servers"""
 )
 def url_and_name_forms(spark, d):
@@ -110,7 +110,7 @@ def url_and_name_forms(spark, d):
 
 
 @query(
-    r"""SELECT record_id, coalesce(CASE WHEN trim(clone_url) <> '' THEN clone_url END, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_replace(url, '(\.git)?/?$', '') || '.git' END, CASE WHEN trim(repository) <> '' THEN repository END) AS address,
+    r"""SELECT record_id, coalesce(CASE WHEN trim(clone_url, ' ') <> '' THEN clone_url END, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_replace(url, '(\.git)?/?$', '') || '.git' END, CASE WHEN trim(repository, ' ') <> '' THEN repository END) AS address,
     md5(coalesce(clone_url, '') || coalesce(name, '')) AS cache_key FROM mcp_registry_servers"""
 )
 def clone_addresses(spark, d):
@@ -123,7 +123,7 @@ def truncated_texts(spark, d):
 
 
 _EARLY, _LATE = "created_at < TIMESTAMP '2025-06-01'", "created_at >= TIMESTAMP '2025-06-01'"
-_OLD, _NEW = f"(SELECT DISTINCT trim(template_id) AS t FROM template_records WHERE {_EARLY})", f"(SELECT DISTINCT trim(template_id) AS t FROM template_records WHERE {_LATE})"
+_OLD, _NEW = f"(SELECT DISTINCT trim(template_id, ' ') AS t FROM template_records WHERE {_EARLY})", f"(SELECT DISTINCT trim(template_id, ' ') AS t FROM template_records WHERE {_LATE})"
 
 
 def _snapshots(spark, d):
@@ -164,8 +164,8 @@ def default_lookup(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT lower(trim(full_name)) AS k, max(url) AS url FROM mcp_registry_servers WHERE trim(url) <> '' AND trim(full_name) <> '' GROUP BY ALL)
-    SELECT record_id, coalesce(CASE WHEN trim(s.url) <> '' THEN s.url END, e.url) AS url FROM mcp_registry_servers s LEFT JOIN e ON lower(trim(s.full_name)) = e.k"""
+    """WITH e AS (SELECT lower(trim(full_name, ' ')) AS k, max(url) AS url FROM mcp_registry_servers WHERE trim(url, ' ') <> '' AND trim(full_name, ' ') <> '' GROUP BY ALL)
+    SELECT record_id, coalesce(CASE WHEN trim(s.url, ' ') <> '' THEN s.url END, e.url) AS url FROM mcp_registry_servers s LEFT JOIN e ON lower(trim(s.full_name, ' ')) = e.k"""
 )
 def filled_fields(spark, d):
     s = _servers(spark, d).withColumn("k", F.lower(F.trim("full_name")))

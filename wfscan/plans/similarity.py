@@ -26,7 +26,8 @@ _WORDS = "[" + ", ".join(text(k) for k in sim.KEYWORDS) + "]"
 _RENAMED = f"""WITH t AS ({_TOKENS}), e AS (SELECT file_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM t),
     p AS (SELECT *, lag(tok) OVER (PARTITION BY file_id ORDER BY i) AS prev, regexp_matches(tok, '^[A-Za-z_$]') AND NOT list_contains({_WORDS}, tok) AS ident FROM e),
     c AS (SELECT *, CASE WHEN ident AND prev = 'function' THEN 'FUNC_' WHEN ident THEN 'VAR_' END AS kind FROM p),
-    f AS (SELECT file_id, kind, tok, row_number() OVER (PARTITION BY file_id, kind ORDER BY min(i)) AS no FROM c WHERE kind IS NOT NULL GROUP BY ALL),
+    o AS (SELECT file_id, kind, tok, min(i) AS i FROM c WHERE kind IS NOT NULL GROUP BY file_id, kind, tok),
+    f AS (SELECT file_id, kind, tok, row_number() OVER (PARTITION BY file_id, kind ORDER BY i) AS no FROM o),
     r AS (SELECT c.file_id, i, coalesce(c.kind || no, c.tok) AS x FROM c LEFT JOIN f ON c.file_id = f.file_id AND c.kind = f.kind AND c.tok = f.tok),
     a AS (SELECT file_id, list(x ORDER BY i) AS xs FROM r GROUP BY file_id)"""
 
@@ -57,7 +58,7 @@ def minhash_signature(spark, d):
 
 
 def _signed(spark, d):
-    return checkpoint(sim.signatures(table(spark, d, "source_files"), ["file_id", "npm_name"]))
+    return checkpoint(sim.signatures(table(spark, d, "server_files"), ["file_id", "server_name"]))
 
 
 @query()
@@ -75,4 +76,4 @@ def minhash_classes(spark, d):
 def similar_packages(spark, d):
     s = _signed(spark, d)
     members, links = sim.similar_signatures(s, "file_id")
-    return sim.top_pairs(sim.package_pairs(members, links, s, "file_id", "npm_name"), 0.5)
+    return sim.top_pairs(sim.package_pairs(members, links, s, "file_id", "server_name"), 0.5)
