@@ -50,7 +50,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def json_documents(spark: SparkSession, path: str, glob: str = "*.json*") -> DataFrame:
     """(source_file, doc VARIANT): whole files that are an object, a list, or records by line; a list's members are rows of their own."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("t"))
-    whole = raw.withColumn("v", F.try_parse_json("t"))
+    # a first line that is a document by itself, with more lines after it, makes a file of records by line
+    head = F.try_parse_json(F.regexp_extract("t", r"^\s*([^\n]*)", 1)).isNotNull() & F.col("t").rlike(r"^\s*[^\n]+\n\s*\S")
+    whole = raw.withColumn("v", F.when(~head, F.try_parse_json("t")))
     by_line = whole.where("v is null").select("source_file", F.explode(F.split("t", "\n")).alias("l")).select("source_file", F.try_parse_json("l").alias("v")).where("v is not null")
     docs = whole.where("v is not null").select("source_file", "v").unionByName(by_line)
     members = F.expr("try_variant_get(v, '$', 'array<variant>')")
