@@ -32,7 +32,7 @@ from wfscan.llm.common import cached, map_arrow
 MIN_WORDS, MIN_CHARS = 4, 8
 ORDER = 4
 SAMPLE_ROWS, SAMPLE_CHARS = 120, 60_000
-MAX_BITS = 4.5
+MAX_BITS, MAX_BITS_WIDE = 4.5, 9.0  # the second for scripts of thousands of signs
 
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
 _C_LIKE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|" + _STRING, re.S)
@@ -216,7 +216,8 @@ class LanguageModels:
             self._filled = len(self.rows)
         cost = self.matrix[at].sum(axis=0) / n
         best = min(among, key=lambda j: cost[j])
-        return (self.languages[best] if cost[best] <= MAX_BITS else None), float(cost[best])
+        most = MAX_BITS_WIDE if script in ("han", "kana", "hangul") else MAX_BITS
+        return (self.languages[best] if cost[best] <= most else None), float(cost[best])
 
 
 def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
