@@ -49,44 +49,45 @@ class Rule:
     holds: str | None = None  # the matched text itself must hold this
     block_lacks: str | None = None  # the brace block from the hit on must not hold this
     capture: str | None = None  # part of the hit that is reported
+    hints: tuple[str, ...] = ()  # one of these stands in any text with a hit, in lower case; looked for before the pattern
 
 
 # The patterns of the rules.
 RULES: tuple[Rule, ...] = (
-    Rule("PROCESS_ENV", "error", "Reads environment variables", r"\bprocess\.env\b"),
-    Rule("FS_CHILD_IMPORT", "error", "Imports file-system or process modules", r"(?m)^\s*import\s+(?!type\b).*from\s+['\"]fs['\"]|require\(\s*['\"]fs['\"]\s*\)|require\(\s*['\"]child_process['\"]\s*\)"),
-    Rule("RAW_NET", "error", "Imports raw network modules", r"(?im)(?:import\s+[^'\";]*\s+from\s+['\"](?:(?:node:)?(?:http|https|net))['\"])|(?:require\(\s*['\"](?:(?:node:)?(?:http|https|net))['\"]\s*\))"),
-    Rule("HTTP_PROTO", "error", "Uses unencrypted http", r"(?i)http://", skip_ui_text=True),
-    Rule("SSRF_HOST", "error", "Names an internal host", r"(?i)(localhost|127\.0\.0\.1|0\.0\.0\.0|169\.254\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[0-1])\.\d+\.\d+)", skip_ui_text=True),
-    Rule("EVAL_DYNAMIC", "error", "Calls eval", r"\beval\s*\("),
-    Rule("EVAL_DYNAMIC", "error", "Builds a function from text", r"\bnew\s+Function\s*\("),
-    Rule("EVAL_DYNAMIC", "error", "Runs text on a timer", r"(?i)\bset(?:Timeout|Interval)\s*\(\s*(['\"])"),
-    Rule("COMMAND_EXEC", "error", "Runs commands", r"(?i)\bchild_process\.(exec|execSync|spawn|spawnSync|execFile|execFileSync|fork)\s*\("),
-    Rule("VM_DYNAMIC", "error", "Runs code in a virtual machine context", r"(?i)\bvm\.(runInNewContext|runInThisContext|Script)\b"),
-    Rule("DYNAMIC_REQUIRE", "warn", "Requires a variable", r"(?i)require\s*\(\s*[A-Za-z_$][\w$]*\s*\)"),
-    Rule("DYNAMIC_REQUIRE", "warn", "Requires a joined text", r"(?i)require\s*\(\s*[^)\"']*\+[^)]+\)"),
-    Rule("DYNAMIC_IMPORT", "warn", "Imports at run time", r"(?i)\bimport\(\s*[^)]+?\s*\)"),
-    Rule("EXT_HTTP_CALL", "error", "Calls the network directly", r"(?i)\b(fetch|axios|request|got|superagent)\s*\(|\bhttp\.request\s*\(|\bhttps\.request\s*\("),
-    Rule("DYNAMIC_REGEX", "warn", "Builds a pattern at run time", r"(?i)\bnew\s+RegExp\s*\("),
-    Rule("DESERIALIZE", "warn", "Loads YAML", r"(?i)\byaml\.load\b"),
-    Rule("DATAURL_JSON", "warn", "Puts data addresses into JSON", r"toDataURL\s*\(", requires=r"(?ms)\.json\s*:\s*\{[^}]*data"),
-    Rule("BINARY_PREPARE", "error", "Returns binary data unprepared", r"(?m)\bbinary\s*:\s*\{", forbids="prepareBinaryData"),
-    Rule("CRED_DECL", "info", "Declares a credential", r"(?m)credentials\s*:\s*\[\s*\{[^}]*name\s*:\s*['\"]([^'\"]+)['\"]", capture=r"name\s*:\s*['\"]([^'\"]+)['\"]"),
+    Rule("PROCESS_ENV", "error", "Reads environment variables", r"\bprocess\.env\b", hints=("process.env",)),
+    Rule("FS_CHILD_IMPORT", "error", "Imports file-system or process modules", r"(?m)^\s*import\s+(?!type\b).*from\s+['\"]fs['\"]|require\(\s*['\"]fs['\"]\s*\)|require\(\s*['\"]child_process['\"]\s*\)", hints=("fs'", 'fs"', "child_process")),
+    Rule("RAW_NET", "error", "Imports raw network modules", r"(?im)(?:import\s+[^'\";]*\s+from\s+['\"](?:(?:node:)?(?:http|https|net))['\"])|(?:require\(\s*['\"](?:(?:node:)?(?:http|https|net))['\"]\s*\))", hints=("http'", 'http"', "https'", 'https"', "net'", 'net"')),
+    Rule("HTTP_PROTO", "error", "Uses unencrypted http", r"(?i)http://", skip_ui_text=True, hints=("http://",)),
+    Rule("SSRF_HOST", "error", "Names an internal host", r"(?i)(localhost|127\.0\.0\.1|0\.0\.0\.0|169\.254\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[0-1])\.\d+\.\d+)", skip_ui_text=True, hints=("localhost", "127.0.", "0.0.0.0", "169.254.", "10.", "192.168.", "172.")),
+    Rule("EVAL_DYNAMIC", "error", "Calls eval", r"\beval\s*\(", hints=("eval",)),
+    Rule("EVAL_DYNAMIC", "error", "Builds a function from text", r"\bnew\s+Function\s*\(", hints=("function",)),
+    Rule("EVAL_DYNAMIC", "error", "Runs text on a timer", r"(?i)\bset(?:Timeout|Interval)\s*\(\s*(['\"])", hints=("settimeout", "setinterval")),
+    Rule("COMMAND_EXEC", "error", "Runs commands", r"(?i)\bchild_process\.(exec|execSync|spawn|spawnSync|execFile|execFileSync|fork)\s*\(", hints=("child_process.",)),
+    Rule("VM_DYNAMIC", "error", "Runs code in a virtual machine context", r"(?i)\bvm\.(runInNewContext|runInThisContext|Script)\b", hints=("vm.",)),
+    Rule("DYNAMIC_REQUIRE", "warn", "Requires a variable", r"(?i)require\s*\(\s*[A-Za-z_$][\w$]*\s*\)", hints=("require",)),
+    Rule("DYNAMIC_REQUIRE", "warn", "Requires a joined text", r"(?i)require\s*\(\s*[^)\"']*\+[^)]+\)", hints=("require",)),
+    Rule("DYNAMIC_IMPORT", "warn", "Imports at run time", r"(?i)\bimport\(\s*[^)]+?\s*\)", hints=("import(",)),
+    Rule("EXT_HTTP_CALL", "error", "Calls the network directly", r"(?i)\b(fetch|axios|request|got|superagent)\s*\(|\bhttp\.request\s*\(|\bhttps\.request\s*\(", hints=("fetch", "axios", "request", "got", "superagent")),
+    Rule("DYNAMIC_REGEX", "warn", "Builds a pattern at run time", r"(?i)\bnew\s+RegExp\s*\(", hints=("regexp",)),
+    Rule("DESERIALIZE", "warn", "Loads YAML", r"(?i)\byaml\.load\b", hints=("yaml.load",)),
+    Rule("DATAURL_JSON", "warn", "Puts data addresses into JSON", r"toDataURL\s*\(", requires=r"(?ms)\.json\s*:\s*\{[^}]*data", hints=("todataurl",)),
+    Rule("BINARY_PREPARE", "error", "Returns binary data unprepared", r"(?m)\bbinary\s*:\s*\{", forbids="prepareBinaryData", hints=("binary",)),
+    Rule("CRED_DECL", "info", "Declares a credential", r"(?m)credentials\s*:\s*\[\s*\{[^}]*name\s*:\s*['\"]([^'\"]+)['\"]", capture=r"name\s*:\s*['\"]([^'\"]+)['\"]", hints=("credentials",)),
     Rule("I18N_NON_EN", "error", "Interface text beyond ASCII", rf"(?is)\b{_UI}\s*:\s*(?:'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\")", holds=r"[^\x00-\x7F]"),
     Rule("I18N_NON_EN", "error", "Interface template beyond ASCII", rf"(?is)\b{_UI}\s*:\s*`[^`]*+`", holds=r"[^\x00-\x7F]"),
-    Rule("BROWSER_STEALTH", "error", "Hides an automated browser", r"(?i)puppeteer|stealth", requires=r"(?is)(?=.*puppeteer)(?=.*stealth)", in_comments=True, first_only=True),
-    Rule("LOG_SENSITIVE", "error", "Logs sensitive values", r"(?i)\b(console\.(log|error|warn)|this\.logger\.(info|debug|warn|error)|logger\.(info|debug|warn|error))\s*\(", within=(300, SENSITIVE)),
-    Rule("BINARY_PREPARE_WEAK", "warn", "Encodes binary data by hand", r"(?i)(toString\(\s*['\"]base64['\"]\s*\)|Buffer\.from\s*\([^)]*,\s*['\"]base64['\"]\s*\)|data:\w+\/[\w.+-]+;base64,)", requires=r"(?i)\bbinary(PropertyName)?\b", first_only=True),
-    Rule("DELETE_RET_BOOL", "warn", "Delete returns a bare flag", r"(?is)return\s+\[\s*\{\s*['\"]deleted['\"]\s*:\s*(true|false)\s*\}\s*\]", requires=r"(?i)\b(operation|resource|method)\s*:\s*['\"](delete|remove|destroy)[\"']", first_only=True),
+    Rule("BROWSER_STEALTH", "error", "Hides an automated browser", r"(?i)puppeteer|stealth", requires=r"(?is)(?=.*puppeteer)(?=.*stealth)", in_comments=True, first_only=True, hints=("puppeteer", "stealth")),
+    Rule("LOG_SENSITIVE", "error", "Logs sensitive values", r"(?i)\b(console\.(log|error|warn)|this\.logger\.(info|debug|warn|error)|logger\.(info|debug|warn|error))\s*\(", within=(300, SENSITIVE), hints=("console.", "logger.")),
+    Rule("BINARY_PREPARE_WEAK", "warn", "Encodes binary data by hand", r"(?i)(toString\(\s*['\"]base64['\"]\s*\)|Buffer\.from\s*\([^)]*,\s*['\"]base64['\"]\s*\)|data:\w+\/[\w.+-]+;base64,)", requires=r"(?i)\bbinary(PropertyName)?\b", first_only=True, hints=("base64",)),
+    Rule("DELETE_RET_BOOL", "warn", "Delete returns a bare flag", r"(?is)return\s+\[\s*\{\s*['\"]deleted['\"]\s*:\s*(true|false)\s*\}\s*\]", requires=r"(?i)\b(operation|resource|method)\s*:\s*['\"](delete|remove|destroy)[\"']", first_only=True, hints=("deleted",)),
     Rule(
         "INPUT_SECRET_UNMASKED", "error", "Sensitive field without a mask",
         r"(?i)\b(name|displayName)\s*:\s*['\"]\s*((api[_-]?key|apikey|api key|token|access[_-]?token|bearer|password|pass|secret|client[_-]?secret|private[_-]?key|auth|authorization|cookie))\s*['\"]",
         block_lacks=MASKED, capture=r":\s*['\"]\s*(.+?)\s*['\"]$",
     ),
-    *(Rule("HTML_UNSANITIZED", "error", "Writes HTML without cleaning it", p, forbids=SANITIZERS) for p in (r"(?i)\.innerHTML\s*=", r"(?i)dangerouslySetInnerHTML", r"(?i)\bres\.send\s*\(", r"(?i)\bres\.render\s*\(", r"(?i)\breturn\s+[`'\"]\s*<", r"(?i)\bdocument\.write\s*\(")),
-    Rule("EXFIL_SDK_CALL", "warn", "Calls a telemetry service", r"(?i)\b(Sentry\.capture|mixpanel\.(track|people)|analytics\.)", in_comments=True, first_only=True),
-    Rule("REMOTE_SHELL_CALL", "error", "May open a remote shell", r"(?i)\b(node-pty|pty\.js|ssh2|spawn\(\s*['\"]sh|spawn\(\s*['\"]bash)", in_comments=True, first_only=True),
-    Rule("PROMPT_INJECTION_CANDIDATE", "warn", "A parameter may reach a model's prompt", r"(?m)getNodeParameter\s*\(\s*['\"]([^'\"]+)['\"]", requires=MODEL_SURFACE, holds="(?i)" + "|".join(PROMPT_NEEDLES), capture=r"['\"]([^'\"]+)['\"]"),
+    *(Rule("HTML_UNSANITIZED", "error", "Writes HTML without cleaning it", p, forbids=SANITIZERS, hints=("innerhtml", "setinnerhtml", "res.send", "res.render", "return", "document.write")) for p in (r"(?i)\.innerHTML\s*=", r"(?i)dangerouslySetInnerHTML", r"(?i)\bres\.send\s*\(", r"(?i)\bres\.render\s*\(", r"(?i)\breturn\s+[`'\"]\s*<", r"(?i)\bdocument\.write\s*\(")),
+    Rule("EXFIL_SDK_CALL", "warn", "Calls a telemetry service", r"(?i)\b(Sentry\.capture|mixpanel\.(track|people)|analytics\.)", in_comments=True, first_only=True, hints=("sentry.capture", "mixpanel.", "analytics.")),
+    Rule("REMOTE_SHELL_CALL", "error", "May open a remote shell", r"(?i)\b(node-pty|pty\.js|ssh2|spawn\(\s*['\"]sh|spawn\(\s*['\"]bash)", in_comments=True, first_only=True, hints=("node-pty", "pty.js", "ssh2", "spawn(")),
+    Rule("PROMPT_INJECTION_CANDIDATE", "warn", "A parameter may reach a model's prompt", r"(?m)getNodeParameter\s*\(\s*['\"]([^'\"]+)['\"]", requires=MODEL_SURFACE, holds="(?i)" + "|".join(PROMPT_NEEDLES), capture=r"['\"]([^'\"]+)['\"]", hints=("getnodeparameter",)),
 )
 # How modules are imported.
 IMPORTS = (r"(?m)import\s+(?:[^'\";]*?\s+from\s+)?['\"]([^'\"]+)['\"]", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)", r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)")
@@ -98,7 +99,7 @@ def prompt_like(key: Column) -> Column:
     return (low != "") & ~low.isin(*[d for d in PROMPT_DENIED]) & low.rlike("|".join(PROMPT_NEEDLES))
 
 
-def _rule_hits(r: Rule, text: Column, spans: Column | None) -> Column:
+def _rule_hits(r: Rule, text: Column, spans: Column | None, seen: Column) -> Column:
     hits = all_matches(text, r.pattern)
     if r.holds:
         hits = F.filter(hits, lambda h: h["match"].rlike(r.holds))
@@ -118,23 +119,27 @@ def _rule_hits(r: Rule, text: Column, spans: Column | None) -> Column:
         allowed = allowed & ~text.rlike(r.forbids)
     shown = (lambda h: F.regexp_extract(h["match"], r.capture, 1)) if r.capture else (lambda h: h["match"])
     rows = F.transform(hits, lambda h: F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), h["pos"].cast("int").alias("pos"), (h["pos"] + F.length(h["match"])).cast("int").alias("end"), shown(h).alias("matched_text")))
-    # the cheap test first: most files hold none of most patterns
-    return F.when(text.rlike(r.pattern) & allowed, rows)
+    return F.when(seen & allowed, rows)
+
+
+def _seen(r: Rule, text: Column, low: Column) -> Column:
+    hinted = F.lit(not r.hints)
+    for h in r.hints:
+        hinted = hinted | F.contains(low, F.lit(h))
+    return hinted & text.rlike(r.pattern)
 
 
 def find_hits(files: DataFrame, rules: Sequence[Rule] = RULES, comments: bool = True, text: str = "code") -> DataFrame:
     """The input's columns but the text, and rule, severity, message, pos, end, matched_text: a row per hit."""
     keep = [c for c in files.columns if c != text]
     t = F.col(text)
-    some = F.lit(False)
-    for r in rules:
-        some = some | t.rlike(r.pattern)
-    hit = files.where(t.isNotNull() & some)
+    # one test per rule and file first, kept as flags: most files hold none of most patterns
+    hit = files.where(t.isNotNull()).withColumn("_low", F.lower(t)).withColumn("_seen", F.array(*[_seen(r, t, F.col("_low")) for r in rules])).drop("_low")
     spans = None
     if comments:
-        hit = hit.withColumn("_spans", comment_spans_of(t))
+        hit = hit.withColumn("_spans", comment_spans_of(F.when(F.array_contains("_seen", True), t)))
         spans = F.col("_spans")
-    found = F.flatten(F.array_compact(F.array(*[_rule_hits(r, t, spans) for r in rules])))
+    found = F.flatten(F.array_compact(F.array(*[_rule_hits(r, t, spans, F.get("_seen", F.lit(i))) for i, r in enumerate(rules)])))
     out = hit.select(*keep, t.alias("_t"), F.explode(found).alias("h")).select(*keep, "_t", "h.*")
     late = [r for r in rules if r.skip_ui_text]
     if late:

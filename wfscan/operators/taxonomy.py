@@ -36,7 +36,7 @@ def keywords(spark: SparkSession, taxonomy: dict[str, list[str]] = DOMAINS) -> D
 
 def word_match(text: Column, keyword: str) -> Column:
     """The keyword as a whole word or phrase, in any case; only ASCII letters, digits and _ count as parts of words."""
-    return text.rlike(r"(?i)(?<![0-9A-Za-z_])" + re.escape(keyword).replace(r"\ ", " ").replace(r"\-", "-") + r"(?![0-9A-Za-z_])")
+    return F.contains(F.lower(text), F.lit(keyword.lower())) & text.rlike(r"(?i)(?<![0-9A-Za-z_])" + re.escape(keyword).replace(r"\ ", " ").replace(r"\-", "-") + r"(?![0-9A-Za-z_])")
 
 
 def domain_scores(texts: DataFrame, key: str, title: str, description: str, taxonomy: dict[str, list[str]] = DOMAINS, least: float = 0.5) -> DataFrame:
