@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from wfscan import streaming
 from wfscan.plans.registry import query
-from wfscan.session import table
-
-
-def _folder(spark):
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/wfscan-stream-{uuid.uuid4()}"
+from wfscan.session import shared_folder, table
 
 
 def _events(spark, d):
@@ -25,7 +17,7 @@ def _events(spark, d):
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
     """Windowed counts per micro-batch, added up: the stream's partial totals give the batch's result."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     s = _events(spark, d).select(F.date_trunc("DAY", "ts").alias("day"), "event_type")
     streaming.partial_totals(s, ["day", "event_type"], f"{base}/totals", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/totals").groupBy("day", "event_type").agg(F.sum("n").alias("n"))
@@ -33,7 +25,7 @@ def stream_daily_counts(spark, d):
 
 @query("SELECT DISTINCT event_id, event_type FROM events")
 def stream_ingest_dedup(spark, d):
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     s = streaming.without_repeats(_events(spark, d), ["event_id"], "ts", "30 days").select("event_id", "event_type")
     streaming.to_table(s, f"{base}/events", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema("event_id bigint, event_type string").parquet(f"{base}/events")
