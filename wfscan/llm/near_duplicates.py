@@ -18,10 +18,7 @@ Results: null, empty and texts of fewer than SHINGLE words form no pair; repeate
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wfscan.llm.common import map_arrow
-from wfscan.session import checkpoint
+from wfscan.session import checkpoint, shared_table
 
 EXPAND, EXPAND_PRODUCT = 256, 4096
 CELL, BROADCAST_ROWS, MAX_COMMON = 20_000, 1_000_000, 50_000
@@ -40,25 +37,6 @@ _WORD = re.compile(r"[^\W_]+")
 SETS = "id bigint, s1 bigint, s2 bigint, n int, tokens binary"
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write the rows once into the shared folder of spark.checkpoint.dir and read them from there; removed when the driver ends."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/wfscan-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def remove() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the session may be gone
-            pass
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -314,6 +292,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """(id_a, id_b): pairs of rows at least `threshold` alike; classes of more than EXPAND equal sets by their first row."""
     members, links = similar_classes(df, id_col, text_col, threshold, shingle)
+    links = checkpoint(links)
     small = members.where(F.col("m") <= EXPAND)
     x, y = small.select("rep", F.col("id").alias("id_a")), small.select("rep", F.col("id").alias("id_b"))
     within = x.join(y, "rep").where("id_a < id_b").select("id_a", "id_b").unionByName(members.where(F.col("m") > EXPAND).where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
