@@ -56,3 +56,16 @@ def merged_counts(main: DataFrame, extra: DataFrame, key: str) -> DataFrame:
 def named_totals(df: DataFrame, key: str, name: str, package: str) -> DataFrame:
     """(key, name, packages, has_server): the longest name of each key, the first in order among equals, and its packages."""
     return df.groupBy(key).agg(F.min_by(name, F.struct((-F.length(F.col(name))).alias("l"), F.col(name))).alias("name"), F.count_distinct(package).alias("packages"), F.coalesce(F.bool_or(F.lower(package).contains("mcp")), F.lit(False)).alias("has_server"))
+
+
+def server_hits(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, letter, number, n): server classes counted in JSON, as an object of counts or as a list of objects with a name and a count."""
+    d = df.select(key, F.try_parse_json(F.col(text)).alias("v")).where("v is not null")
+    as_map = F.expr("try_variant_get(v, '$', 'map<string,int>')")
+    as_list = F.expr("try_variant_get(v, '$', 'array<struct<id:string,rule:string,count:int,n:int>>')")
+    pairs = F.coalesce(
+        F.transform(as_list, lambda x: F.struct(F.coalesce(x["id"], x["rule"]).alias("k"), F.coalesce(x["count"], x["n"], F.lit(1)).alias("n"))),
+        F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("n"))),
+    )
+    r = d.select(key, F.explode(pairs).alias("p")).where(F.col("p.k").rlike(r"^M\d+$"))
+    return r.groupBy(key, F.lit("M").alias("letter"), F.substring("p.k", 2, 9).cast("int").alias("number")).agg(F.sum("p.n").alias("n"))
