@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wfscan.functions.text import non_blank
 from wfscan.functions.versions import sort_key
+from wfscan.session import checkpoint
 
 
 def latest_per_key(df: DataFrame, key: Column, latest: str, updated: str, position: str) -> DataFrame:
@@ -94,6 +95,13 @@ def view_statistics(df: DataFrame, views: str, created: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg(views), 2).alias("avg_views"), F.count_if(F.col(views) < 10).alias("under_ten"), F.count_if(F.col(views) == 0).alias("none"), F.min(created).alias("first"), F.max(created).alias("last"))
 
 
-def last_position(df: DataFrame, by: list[str]) -> DataFrame:
-    """A 1-based position of each row in a total order; for tables that fit a sort, such as file lists."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*by)))
+def last_position(df: DataFrame, by: list) -> DataFrame:
+    """A 1-based position of each row in a total order, without gathering the rows in one task.
+
+    The rows are range-partitioned and sorted, and cut off by a checkpoint so that partitions keep still; a row's position is its
+    place in its partition plus the rows of earlier ones, of which there is one count a partition.
+    """
+    rows = checkpoint(df.orderBy(*by)).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    return rows.join(F.broadcast(before), "_p").withColumn("position", F.col("_b") + F.col("_i") + 1).drop("_p", "_i", "_b")

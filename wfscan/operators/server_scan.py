@@ -109,10 +109,14 @@ def scan_totals(findings: DataFrame) -> DataFrame:
 
 
 def findings_by_family(findings: DataFrame, most: int = 20) -> DataFrame:
-    """(server, family, n, examples): count, and the first findings of each family of a server by file and line."""
+    """(server, family, n, examples): count, and the first findings of each family of a server by file and line.
+
+    Counts combine on the map side, and the ranking is limited there; only a group's first rows are gathered.
+    """
     w = Window.partitionBy("server", "family").orderBy("file", "line", "rule")
-    ranked = findings.withColumn("_n", F.row_number().over(w))
-    return ranked.groupBy("server", "family").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", F.concat_ws(":", "file", "line").alias("at"))))), lambda x: x["at"]), "|").alias("examples"))
+    first = findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    examples = first.groupBy("server", "family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.concat_ws(":", "file", "line").alias("at")))), lambda x: x["at"]), "|").alias("examples"))
+    return findings.groupBy("server", "family").agg(F.count("*").alias("n")).join(examples, ["server", "family"])
 
 
 def manifests(files: DataFrame, server: str = "server_name", file: str = "file") -> DataFrame:

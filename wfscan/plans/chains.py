@@ -82,8 +82,8 @@ def longest_names(spark, d):
 
 @query("SELECT template, CAST(row_number() OVER (ORDER BY try_cast(template AS BIGINT) NULLS LAST, template) AS BIGINT) AS place FROM (SELECT DISTINCT trim(template_id) AS template FROM template_records WHERE template_id IS NOT NULL)")
 def numeric_order(spark, d):
-    """Ids in numeric order, others last; the place in a total order is the feature."""
-    from pyspark.sql import Window
+    """Ids in numeric order, others last."""
+    from wfscan.operators.registry import last_position
 
     t = table(spark, d, "template_records").where("template_id is not null").select(F.trim("template_id").alias("template")).distinct()
-    return t.select("template", F.row_number().over(Window.orderBy(F.col("template").try_cast("bigint").asc_nulls_last(), "template")).cast("bigint").alias("place"))
+    return last_position(t, [F.col("template").try_cast("bigint").asc_nulls_last(), "template"]).select("template", F.col("position").alias("place"))

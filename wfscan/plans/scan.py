@@ -265,7 +265,10 @@ def server_totals(spark, d):
     return server_scan.scan_totals(server_findings(spark, d))
 
 
-@query()
+@query(
+    f"""{_SERVER}, o AS (SELECT *, row_number() OVER (PARTITION BY server, family ORDER BY file, line, rule) AS n FROM z)
+    SELECT server, family, count(*) AS n, string_agg(file || ':' || line, '|' ORDER BY o.n) FILTER (WHERE o.n <= 20) AS examples FROM o GROUP BY server, family"""
+)
 def server_families(spark, d):
     return server_scan.findings_by_family(server_findings(spark, d))
 
