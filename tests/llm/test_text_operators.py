@@ -386,3 +386,14 @@ def test_queries_run(spark, data):
 
     for name, f in QUERIES.items():
         assert f(spark, data).limit(5).count() >= 0, name
+
+
+def test_queries_equal_their_sql(spark, data):
+    from tests import oracle
+    from wfscan.llm.queries import QUERIES, SQL
+
+    con = oracle.connection(data)
+    for name, sql in SQL.items():
+        cols, mine = oracle.rows_of_frame(QUERIES[name](spark, data))
+        names, theirs = oracle.rows_of_sql(con, sql)
+        assert cols == names and oracle.same(mine, theirs), name

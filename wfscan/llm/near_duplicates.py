@@ -313,7 +313,7 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
     return within.unionByName(across)
 
 
-def connected(links: DataFrame, limit: int = 40) -> DataFrame:
+def connected(links: DataFrame, limit: int = 200) -> DataFrame:
     """(id, label): the smallest id of each connected part; labels jump, so long chains take few rounds."""
     edges = checkpoint(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     labels = checkpoint(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")))
@@ -326,6 +326,8 @@ def connected(links: DataFrame, limit: int = 40) -> DataFrame:
         labels = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"labels still change after {limit} rounds")
     return labels.select(F.col("x").alias("id"), "label")
 
 

@@ -139,3 +139,27 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
     prompts = near_groups(table(spark, d, "template_records"), "rec_id", "prompt_text", 0.6, 3).withColumn("origin", F.lit("prompt_text"))
     return prompts.unionByName(near_groups(table(spark, d, "scan_findings"), "finding_id", "code_snippet", 0.6, 3).withColumn("origin", F.lit("code_snippet")))
+
+
+# --- SQL where it can say the same --------------------------------------------------------------------------------------------------
+
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("'", "''")
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_NAME = f"nullif(regexp_replace(lower(translate(regexp_replace(full_name, '[\\p{{Cf}}\\p{{Cc}}]', '', 'g'), '{_WIDE}', '{_PLAIN}')), '^[\\s\\p{{Z}}/]+|[\\s\\p{{Z}}/]+$', '', 'g'), '')"
+_TIME = "coalesce(CASE WHEN regexp_matches(t, '^[0-9]{9,15}$') THEN CAST(t AS BIGINT) * 1000 END, " + ", ".join(f"epoch_us(try_strptime(t, '{f}'))" for f in ("%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%fZ", "%Y-%m-%d %H:%M:%S UTC", "%Y/%m/%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S%z", "%d %b %Y %H:%M:%S %z")) + ")"
+_NUMBER = "CASE WHEN regexp_matches(w, '^[0-9]+([.][0-9]+)*$') THEN list_resize(list_transform(string_split(w, '.'), lambda x: CAST(x AS BIGINT)), 4, 0) END"
+
+SQL["p2_found"] = f"""WITH a AS (SELECT record_id, {_NAME} AS k, coalesce(is_latest, false) AS l, trim(updated_at, ' ') AS t, regexp_replace(trim(version, ' '), '^[vV]', '') AS w FROM mcp_registry_servers),
+    r AS (SELECT record_id, k, l, {_TIME} AS u, {_NUMBER} AS v FROM a WHERE k IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY l DESC, u DESC NULLS LAST, v DESC NULLS LAST, record_id) AS n, row_number() OVER (PARTITION BY k ORDER BY v IS NULL, l DESC, u DESC NULLS LAST, v DESC NULLS LAST, record_id) AS m FROM r)
+    SELECT min(record_id) AS group_id, min(CASE WHEN n = 1 THEN record_id END) AS record_id, min(CASE WHEN m = 1 AND v IS NOT NULL THEN record_id END) AS version_record_id FROM o GROUP BY k HAVING count(*) >= 2"""
+
+
+def _near(table_name: str, row_id: str, column: str, origin: str) -> str:
+    return f"""(WITH w AS (SELECT {row_id} AS id, regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table_name}),
+      s AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+      n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS o FROM s x JOIN s y ON x.sh = y.sh AND x.id < y.id GROUP BY ALL)
+      SELECT '{origin}' AS origin, id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE o >= 0.6 * (a.n + b.n - o) - 1e-9)"""
+
+
+SQL["p3_found"] = _near("template_records", "rec_id", "prompt_text", "prompt_text") + " UNION ALL " + _near("scan_findings", "finding_id", "code_snippet", "code_snippet")
