@@ -124,7 +124,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
         take(*m.span(), "address")
     for m in ID_NAMED.finditer(t):
         digits = sum(c.isdigit() for c in m[1])
-        if digits >= 5 or digits and re.fullmatch(r"[A-Z0-9]{8,12}", m[1]):
+        if digits >= 5 or digits and re.fullmatch(r"[A-Z0-9]{8,12}", m[1]) or "ausweis" in m[0].lower() and re.fullmatch(r"[A-Z0-9]{9}", m[1]):
             take(*m.span(1), "id_number")
     for m in ID_PLAIN.finditer(t):
         if m["ssn"] and _NOT_ID.search(t[max(0, m.start() - 30) : m.start()]):
