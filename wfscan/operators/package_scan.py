@@ -17,6 +17,7 @@ from wfscan.functions.names import is_tooling, module_base, network_reason, same
 from wfscan.functions.text import all_matches, line_of, lines_around
 from wfscan.operators import dims
 from wfscan.operators.lexing import blocks_at, comment_spans_of, in_spans, ui_text_positions
+from wfscan.session import spread
 
 # Keys whose strings are interface text.
 UI_KEYS = "placeholder default example examples hint help tooltip sample description displayName".split()
@@ -134,7 +135,7 @@ def find_hits(files: DataFrame, rules: Sequence[Rule] = RULES, comments: bool =
     keep = [c for c in files.columns if c != text]
     t = F.col(text)
     # one test per rule and file first, kept as flags: most files hold none of most patterns
-    hit = files.where(t.isNotNull()).withColumn("_low", F.lower(t)).withColumn("_seen", F.array(*[_seen(r, t, F.col("_low")) for r in rules])).drop("_low")
+    hit = spread(files.where(t.isNotNull())).withColumn("_low", F.lower(t)).withColumn("_seen", F.array(*[_seen(r, t, F.col("_low")) for r in rules])).drop("_low")
     spans = None
     if comments:
         hit = hit.withColumn("_spans", comment_spans_of(F.when(F.array_contains("_seen", True), t)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wfscan.functions.text import all_matches, any_match, is_comment_line, line_of, lines_around, truncated
+from wfscan.session import spread
 
 # Rule, family and pattern of the server rules.
 SERVER_RULES = (
@@ -76,7 +77,8 @@ def scan_servers(files: DataFrame, server: str = "server_name", file: str = "fil
     """A finding per rule, file and line: its first match, guards and chains nearby, confidence, severity, platform hints."""
     t = F.col(text)
     hits = F.array_compact(F.array(*[F.when(t.rlike(rx), _hits(t, rule, family, rx)) for rule, family, rx in SERVER_RULES]))
-    h = files.where(t.isNotNull()).select(F.col(server).alias("server"), F.col(file).alias("file"), t.alias("_t"), F.explode(F.flatten(hits)).alias("h")).select("server", "file", "_t", "h.*")
+    f = spread(files.where(t.isNotNull()).select(server, file, text))
+    h = f.select(F.col(server).alias("server"), F.col(file).alias("file"), t.alias("_t"), F.explode(F.flatten(hits)).alias("h")).select("server", "file", "_t", "h.*")
     h = h.withColumn("line", line_of(F.col("_t"), F.col("pos")))
     h = h.where(~is_comment_line(F.get(F.split("_t", "\n", -1), F.col("line") - 1)))
     near, wide = lines_around(F.col("_t"), F.col("line"), 6, 6), lines_around(F.col("_t"), F.col("line"), 8, 8)

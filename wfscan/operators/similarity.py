@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wfscan.session import spread
+
 K, HASHES, BANDS, ROWS, LEAST = 5, 80, 20, 4, 0.9
 # Words of the language that aren't identifiers, tokens, and the constants of the hash family.
 KEYWORDS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var let void while with yield async await".split()
@@ -78,7 +80,7 @@ def md5_hash(s: Column) -> Column:
 
 def signatures(files: DataFrame, keep: list[str], code: str = "code", base=crc_hash, hashes: int = HASHES) -> DataFrame:
     """keep, n_shingles, signature: files with at least one shingle."""
-    f = files.where(F.col(code).isNotNull()).select(*keep, tokens(normalised(F.col(code))).alias("_t"))
+    f = spread(files.where(F.col(code).isNotNull()).select(*keep, code)).select(*keep, tokens(normalised(F.col(code))).alias("_t"))
     f = with_renumbered(f, "_t", "_r").select(*keep, shingles(F.col("_r")).alias("_s")).where(F.size("_s") > 0)
     e = f.select(*keep, F.size("_s").alias("n_shingles"), F.explode(F.transform("_s", base)).alias("_h"))
     minima = [F.min((F.lit(A0 + i * A1).cast("bigint") * F.col("_h") + F.lit(B0 + i * B1).cast("bigint")) % PRIME).alias(f"_{i}") for i in range(hashes)]

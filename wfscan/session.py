@@ -49,6 +49,20 @@ def ship_package(spark: SparkSession) -> None:
     spark.conf.set(_SHIPPED, sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few splits over all cores, before costly work on each row; what already has enough partitions isn't moved.
+
+    A file of one row group is one task however many cores there are. Inputs of that kind are small, so what is moved is small too.
+    """
+    sc = df.sparkSession.sparkContext
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString() or "Adaptive" in plan.toString():  # asking for its partitions would run its stages
+        return df
+    if plan.execute().getNumPartitions() * 2 > sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it; a temporary one only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
