@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wfscan.session import ship_package
+from wfscan.session import ship_package, spread
 
 _CACHE: dict = {}
 
@@ -31,4 +31,4 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch |
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
