@@ -87,12 +87,12 @@ def is_official(name: Column, prefixes: list[str]) -> Column:
     return out
 
 
-def is_community(node_type: Column, official: list[str], scope: str, community: str = "n8n-nodes-") -> Column:
-    """A node type of nobody official: a scoped package other than the platform's own, or one with the community prefix."""
+def is_community(node_type: Column, official: list[str], scope: str, community: str = "^[a-z0-9]+-nodes-") -> Column:
+    """A node type of nobody official: a scoped package other than the platform's own, or one named as the platform's packages are."""
     own = F.lit(False)
     for p in official:
         own = own | F.startswith(node_type, F.lit(p))
-    foreign = F.contains(node_type, F.lit("@custom/")) | (F.startswith(node_type, F.lit("@")) & ~F.startswith(node_type, F.lit(scope))) | F.startswith(node_type, F.lit(community))
+    foreign = F.contains(node_type, F.lit("@custom/")) | (F.startswith(node_type, F.lit("@")) & ~F.startswith(node_type, F.lit(scope))) | node_type.rlike(community)
     return F.coalesce(~own & foreign, F.lit(False))
 
 

@@ -31,9 +31,9 @@ def prompt_like_names(spark, d):
     return n.where(package_scan.prompt_like(F.col("node_name"))).select("node_name").distinct()
 
 
-@query("SELECT DISTINCT npm_name FROM source_files WHERE contains(lower(npm_name), 'n8n-nodes')")
+@query("SELECT DISTINCT npm_name FROM source_files WHERE contains(lower(npm_name), '-nodes-')")
 def package_keyword(spark, d):
-    return table(spark, d, "source_files").where(F.contains(F.lower("npm_name"), F.lit("n8n-nodes"))).select("npm_name").distinct()
+    return table(spark, d, "source_files").where(F.contains(F.lower("npm_name"), F.lit("-nodes-"))).select("npm_name").distinct()
 
 
 @query("SELECT record_id FROM mcp_registry_servers WHERE lower(regexp_replace(trim(repository, ' '), '/+$', '')) = (SELECT min(lower(regexp_replace(trim(repository, ' '), '/+$', ''))) FROM mcp_registry_servers WHERE trim(repository, ' ') <> '')")

@@ -15,7 +15,7 @@ _NODES = f"""{_DOC}, l AS (SELECT record_id, j, json_extract(j, '$.workflow.work
     n AS (SELECT record_id, CAST(node_no AS INT) AS node_no, node, trim(coalesce(CASE WHEN trim(node->>'$.type') <> '' THEN node->>'$.type' END, CASE WHEN trim(node->>'$.name') <> '' THEN node->>'$.name' END)) AS node_type, node->>'$.name' AS node_name
       FROM e WHERE json_type(node) = 'OBJECT')"""
 _PACKAGED = f"""{_NODES}, p AS (SELECT *, string_split(node_type, '.')[1] AS package,
-    coalesce(NOT (starts_with(node_type, 'flow-base.') OR starts_with(node_type, '@flow/')) AND (contains(node_type, '@custom/') OR (starts_with(node_type, '@') AND NOT starts_with(node_type, '@flow/')) OR starts_with(node_type, 'n8n-nodes-')), false) AS community FROM n)"""
+    coalesce(NOT (starts_with(node_type, 'flow-base.') OR starts_with(node_type, '@flow/')) AND (contains(node_type, '@custom/') OR (starts_with(node_type, '@') AND NOT starts_with(node_type, '@flow/')) OR regexp_matches(node_type, '^[a-z0-9]+-nodes-')), false) AS community FROM n)"""
 
 
 def _nodes(spark, d):
@@ -68,12 +68,12 @@ def package_risk(spark, d):
 
 
 # Node types of the templates and scanned packages have few names in common, so the first word of a package stands for it.
-_STEM = "regexp_extract(package, '^(?:@[a-z]+/)?n8n-nodes-([a-z]+)', 1)"
+_STEM = "regexp_extract(package, '^(?:@[a-z]+/)?[a-z0-9]+-nodes-([a-z]+)', 1)"
 _STEM_RISK = f"SELECT {_STEM} AS package, CASE WHEN count(*) FILTER (WHERE lower(severity) = 'error') >= 30 THEN 'high' WHEN count(*) FILTER (WHERE lower(severity) = 'error') >= 3 THEN 'medium' ELSE 'low' END AS risk_level FROM (SELECT npm_name AS package, severity FROM scan_findings) GROUP BY 1"
 
 
 def _stem_risk(spark, d):
-    f = table(spark, d, "scan_findings").withColumn("npm_name", F.regexp_extract("npm_name", r"^(?:@[a-z]+/)?n8n-nodes-([a-z]+)", 1))
+    f = table(spark, d, "scan_findings").withColumn("npm_name", F.regexp_extract("npm_name", r"^(?:@[a-z]+/)?[a-z0-9]+-nodes-([a-z]+)", 1))
     return wf.package_risk(f, 3)
 
 
@@ -83,7 +83,7 @@ def _stem_risk(spark, d):
 )
 def template_risk_rollup(spark, d):
     n = _nodes(spark, d)
-    n = n.withColumn("node_type", F.when(F.startswith("node_type", F.lit("n8n-nodes-")), F.concat(F.regexp_extract("node_type", r"^(?:@[a-z]+/)?n8n-nodes-([a-z]+)", 1), F.lit("."))).otherwise(F.col("node_type")))
+    n = n.withColumn("node_type", F.when(F.col("node_type").rlike("^[a-z0-9]+-nodes-"), F.concat(F.regexp_extract("node_type", r"^(?:@[a-z]+/)?[a-z0-9]+-nodes-([a-z]+)", 1), F.lit("."))).otherwise(F.col("node_type")))
     return wf.risk_rollup(n, _stem_risk(spark, d), "record_id").select("record_id", "nodes", "risky_nodes", "high_nodes", "has_high")
 
 
