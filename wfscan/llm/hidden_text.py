@@ -179,9 +179,16 @@ class LanguageModels:
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[tuple[str, str], int] = {}
-        self.rows: list[list[float]] = []
-        self.matrix = np.zeros((0, len(self.languages)))
+        self.memo: dict[str, int] = {}
+        self.matrix = np.zeros((1024, len(self.languages)))
+
+    def row(self, gram: str) -> int:
+        """The row of the matrix with the bits of the gram's last character under every model."""
+        k = self.memo[gram] = len(self.memo)
+        if k == len(self.matrix):
+            self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[k] = [self.trees[lang].bits(gram) for lang in self.languages]
+        return k
 
     def identify(self, text: str) -> tuple[str | None, float]:
         """The language and its bits a character; null if every model of the script finds the text too strange."""
@@ -193,27 +200,13 @@ class LanguageModels:
         n = len(t) - ORDER
         if n <= 0:
             return None, float("inf")
-        memo = self.memo
-        if len(memo) > self.MEMO:
+        if len(self.memo) > self.MEMO:
             self.reset()
-            memo = self.memo
-        at = []
+        memo, at = self.memo, []
         for i in range(n):
             gram = t[i : i + ORDER + 1]
             k = memo.get(gram)
-            if k is None:
-                k = memo[gram] = len(self.rows)
-                self.rows.append([self.trees[lang].bits(gram) for lang in self.languages] if script == "latin" or len(among) > 1 else [self.trees[lang].bits(gram) if j in among else 0.0 for j, lang in enumerate(self.languages)])
-            at.append(k)
-        if len(self.rows) > len(self.matrix):
-            grown = np.zeros((max(1024, 2 * len(self.rows)), len(self.languages)))
-            grown[: len(self.matrix)] = self.matrix
-            self._filled = getattr(self, "_filled", 0) if len(self.matrix) else 0
-            self.matrix = grown
-        filled = getattr(self, "_filled", 0)
-        if filled < len(self.rows):
-            self.matrix[filled : len(self.rows)] = self.rows[filled:]
-            self._filled = len(self.rows)
+            at.append(self.row(gram) if k is None else k)
         cost = self.matrix[at].sum(axis=0) / n
         best = min(among, key=lambda j: cost[j])
         most = MAX_BITS_WIDE if script in ("han", "kana", "hangul") else MAX_BITS

@@ -26,8 +26,8 @@ from wfscan.llm.common import cached, map_arrow
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_STATES = 400_000
-MAX_WORDS = 400_000
+MAX_STATES = 200_000
+MAX_WORDS = 300_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
