@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wfscan.functions.names import is_community, package_of_type
 from wfscan.functions.text import contains_any, non_blank
 from wfscan.operators.findings import percent
+from wfscan.session import ship_package
 
 # Names of the platform's own packages; parameters with the values of the tables at hand.
 OFFICIAL = ["flow-base.", "@flow/"]
@@ -157,6 +158,7 @@ def contained_ids(ids: DataFrame, id_col: str, texts: DataFrame, key: str, text:
     import ahocorasick
     import pandas as pd
 
+    ship_package(texts.sparkSession)
     listed = ids.select(F.col(id_col).cast("string").alias("i")).where("trim(i) <> ''").distinct()
     blocks, held = [], []
     for r in listed.toLocalIterator():

@@ -30,14 +30,13 @@ def session(app: str = "wfscan", cores: int | str = "*", shuffle: int = 8) -> Sp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors once per application; a local session already has it."""
+    """Send the package to the Python workers once per application, wherever the driver was started."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local":
-        return
     if spark.conf.get(_SHIPPED, "") == sc.applicationId:
         return
     root = Path(__file__).resolve().parent
@@ -54,6 +53,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file of one row group is one task however many cores there are. Inputs of that kind are small, so what is moved is small too.
     """
+    ship_package(df.sparkSession)
     sc = df.sparkSession.sparkContext
     plan = df._jdf.queryExecution().executedPlan()
     if "Exchange" in plan.toString() or "Adaptive" in plan.toString():  # asking for its partitions would run its stages
