@@ -397,3 +397,20 @@ def test_queries_equal_their_sql(spark, data):
         cols, mine = oracle.rows_of_frame(QUERIES[name](spark, data))
         names, theirs = oracle.rows_of_sql(con, sql)
         assert cols == names and oracle.same(mine, theirs), name
+
+
+@pytest.mark.parametrize("unit", ["a", "1 ", ".", '"', "/*", "@", "A.", "(", "“", "Aa ", "a@a.", "%41", "AB", "\\x41", "1 A ", "字。", "`${", "'a' + ", "x = ", "- a\n", "://a:b@", "Mr. ", "[a"])
+def test_long_odd_texts_take_linear_time(tagger, unit):
+    import time
+
+    import pyarrow as pa
+
+    text = (unit * 40_000)[:40_000]
+    began = time.process_time()
+    personal.mentions(text)
+    secrets.find_in_batch(pa.array([text]))
+    [hidden_text.natural_text(i) for _, _, i in hidden_text.spans(text, None)]
+    hidden_text.natural_text(text)
+    sentences.sentences(text, tagger)
+    provenance.content_class(text, "/a/b.js")
+    assert time.process_time() - began < 10

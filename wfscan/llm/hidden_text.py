@@ -40,14 +40,14 @@ _HASH = re.compile(r"#[^\n]*|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"
 _ANY = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![^\s;{}])#[^\n]*|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|" + _STRING, re.S)
 _HASH_FILES = (".py", ".pyi", ".rb", ".sh", ".env", ".local", ".yml", ".yaml", ".conf", ".cfg", ".ini", ".toml", ".properties", ".r", ".pl")
 _ESCAPE = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrtbfv0'\"`\\/])")
-_TAGS = re.compile(r"\$?\{[^{}]*\}|%[sdif]|<[^<>]{1,80}>|&#?\w{1,8};|@(?:param|returns?|type|throws|see|link|typedef|property)[^\n]*|:(?:param|returns?|type|rtype|raises)[^\n]*|https?://\S+|\w+@[\w.]+")
+_TAGS = re.compile(r"\$?\{[^{}]*\}|%[sdif]|<[^<>]{1,80}>|&#?\w{1,8};|@(?:param|returns?|type|throws|see|link|typedef|property)[^\n]*|:(?:param|returns?|type|rtype|raises)[^\n]*|https?://\S+|(?<!\w)\w{1,64}@[\w.]+")
 _MARGIN = re.compile(r"(?m)^[ \t]*(?:\*+|//+|#+)[ \t]?")
 _SQL = re.compile(r"(?is)^\W*(?:select\b.*\bfrom\b|insert\s+into\b|update\b.*\bset\b|delete\s+from\b|create\s+(?:table|index|view)\b|alter\s+table\b|with\b.*\bas\s*\()")
 _WORD = re.compile(r"^[\"'“”„«»‘’(\[¿¡*_-]*([^\W\d_]+(?:['’·-][^\W\d_]+)*)[.,;:!?…)\]\"'“”»’*_。、！？।-]*$")
 _CAMEL = re.compile(r"[a-z][A-Z]|^[A-Z]{2,}[a-z]|[A-Za-z]\d")
 _CODE_LINE = re.compile(r"[;{}]\s*(?://.*|#.*)?$|^\s*[\w$.\[\]]+\s*(?:\(.*\)|[-+*/|&?]{0,3}=\s*\S.*)\s*(?://.*|#.*)?$")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-䶿一-鿿ｦ-ﾟ฀-๿຀-໿က-႟ក-៿]")
-_IDENTIFIER = re.compile(r"[A-Za-z0-9_$./-]*(?:[a-z][A-Z]|\d)[A-Za-z0-9_$./-]*|[A-Za-z]+(?:[_.][A-Za-z]+)+")
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_$./-])(?:[A-Za-z0-9_$./-]*(?:[a-z][A-Z]|\d)[A-Za-z0-9_$./-]*|[A-Za-z]+(?:[_.][A-Za-z]+)+)")
 # Unicode blocks by script.
 _SCRIPTS = {"kana": r"[぀-ヿｦ-ﾟ]", "han": r"[㐀-䶿一-鿿]", "cyrillic": r"[Ѐ-ӿ]", "deva": r"[ऀ-ॿ]", "thai": r"[฀-๿]", "hangul": r"[가-힯]", "arabic": r"[؀-ۿ]", "greek": r"[Ͱ-Ͽ]", "hebrew": r"[֐-׿]", "latin": r"[A-Za-zÀ-ɏ]"}
 _SCRIPT_RX = {k: re.compile(v) for k, v in _SCRIPTS.items()}
