@@ -74,7 +74,7 @@ RULES: tuple[Rule, ...] = (
     Rule("DATAURL_JSON", "warn", "Puts data addresses into JSON", r"toDataURL\s*\(", requires=r"(?ms)\.json\s*:\s*\{[^}]*data", hints=("todataurl",)),
     Rule("BINARY_PREPARE", "error", "Returns binary data unprepared", r"(?m)\bbinary\s*:\s*\{", forbids="prepareBinaryData", hints=("binary",)),
     Rule("CRED_DECL", "info", "Declares a credential", r"(?m)credentials\s*:\s*\[\s*\{[^}]*name\s*:\s*['\"]([^'\"]+)['\"]", capture=r"name\s*:\s*['\"]([^'\"]+)['\"]", hints=("credentials",)),
-    Rule("I18N_NON_EN", "error", "Interface text beyond ASCII", rf"(?is)\b{_UI}\s*:\s*(?:'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\")", holds=r"[^\x00-\x7F]"),
+    Rule("I18N_NON_EN", "error", "Interface text beyond ASCII", rf"(?is)\b{_UI}\s*:\s*(?:'(?:[^'\\]++|\\.)*+'|\"(?:[^\"\\]++|\\.)*+\")", holds=r"[^\x00-\x7F]"),
     Rule("I18N_NON_EN", "error", "Interface template beyond ASCII", rf"(?is)\b{_UI}\s*:\s*`[^`]*+`", holds=r"[^\x00-\x7F]"),
     Rule("BROWSER_STEALTH", "error", "Hides an automated browser", r"(?i)puppeteer|stealth", requires=r"(?is)(?=.*puppeteer)(?=.*stealth)", in_comments=True, first_only=True, hints=("puppeteer", "stealth")),
     Rule("LOG_SENSITIVE", "error", "Logs sensitive values", r"(?i)\b(console\.(log|error|warn)|this\.logger\.(info|debug|warn|error)|logger\.(info|debug|warn|error))\s*\(", within=(300, SENSITIVE), hints=("console.", "logger.")),
