@@ -57,7 +57,7 @@ class Rule:
 RULES: tuple[Rule, ...] = (
     Rule("PROCESS_ENV", "error", "Reads environment variables", r"\bprocess\.env\b", hints=("process.env",)),
     Rule("FS_CHILD_IMPORT", "error", "Imports file-system or process modules", r"(?m)^\s*import\s+(?!type\b).*from\s+['\"]fs['\"]|require\(\s*['\"]fs['\"]\s*\)|require\(\s*['\"]child_process['\"]\s*\)", hints=("fs'", 'fs"', "child_process")),
-    Rule("RAW_NET", "error", "Imports raw network modules", r"(?im)(?:import\s+[^'\";]*\s+from\s+['\"](?:(?:node:)?(?:http|https|net))['\"])|(?:require\(\s*['\"](?:(?:node:)?(?:http|https|net))['\"]\s*\))", hints=("http'", 'http"', "https'", 'https"', "net'", 'net"')),
+    Rule("RAW_NET", "error", "Imports raw network modules", r"(?im)(?:import\s++[^'\";]*\s+from\s+['\"](?:(?:node:)?(?:http|https|net))['\"])|(?:require\(\s*['\"](?:(?:node:)?(?:http|https|net))['\"]\s*\))", hints=("http'", 'http"', "https'", 'https"', "net'", 'net"')),
     Rule("HTTP_PROTO", "error", "Uses unencrypted http", r"(?i)http://", skip_ui_text=True, hints=("http://",)),
     Rule("SSRF_HOST", "error", "Names an internal host", r"(?i)(localhost|127\.0\.0\.1|0\.0\.0\.0|169\.254\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[0-1])\.\d+\.\d+)", skip_ui_text=True, hints=("localhost", "127.0.", "0.0.0.0", "169.254.", "10.", "192.168.", "172.")),
     Rule("EVAL_DYNAMIC", "error", "Calls eval", r"\beval\s*\(", hints=("eval",)),
@@ -66,8 +66,8 @@ RULES: tuple[Rule, ...] = (
     Rule("COMMAND_EXEC", "error", "Runs commands", r"(?i)\bchild_process\.(exec|execSync|spawn|spawnSync|execFile|execFileSync|fork)\s*\(", hints=("child_process.",)),
     Rule("VM_DYNAMIC", "error", "Runs code in a virtual machine context", r"(?i)\bvm\.(runInNewContext|runInThisContext|Script)\b", hints=("vm.",)),
     Rule("DYNAMIC_REQUIRE", "warn", "Requires a variable", r"(?i)require\s*\(\s*[A-Za-z_$][\w$]*\s*\)", hints=("require",)),
-    Rule("DYNAMIC_REQUIRE", "warn", "Requires a joined text", r"(?i)require\s*\(\s*[^)\"']*\+[^)]+\)", hints=("require",)),
-    Rule("DYNAMIC_IMPORT", "warn", "Imports at run time", r"(?i)\bimport\(\s*[^)]+?\s*\)", hints=("import(",)),
+    Rule("DYNAMIC_REQUIRE", "warn", "Requires a joined text", r"(?i)require\s*\((?>[^)\"'+]*\+)[^)]++\)", hints=("require",)),
+    Rule("DYNAMIC_IMPORT", "warn", "Imports at run time", r"(?i)\bimport\([^)]++\)", hints=("import(",)),
     Rule("EXT_HTTP_CALL", "error", "Calls the network directly", r"(?i)\b(fetch|axios|request|got|superagent)\s*\(|\bhttp\.request\s*\(|\bhttps\.request\s*\(", hints=("fetch", "axios", "request", "got", "superagent")),
     Rule("DYNAMIC_REGEX", "warn", "Builds a pattern at run time", r"(?i)\bnew\s+RegExp\s*\(", hints=("regexp",)),
     Rule("DESERIALIZE", "warn", "Loads YAML", r"(?i)\byaml\.load\b", hints=("yaml.load",)),
