@@ -95,6 +95,26 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
+UNSPACED_ITEMS = [
+    "编号805的辰水雪流程把癸甲乙壬送往庚丙己节点水未。火松分支若超过20次则改走丑木火雪与川甲云。请问己雨竹最终收到哪一份卯乙癸石？",
+    "赤い灯台の処理は銅の箱を七番の節点へ送り、石の枝が二十回を超えると青い橋に切り替わります。最後に受け取るのはどの箱ですか。",
+    "กระบวนการโคมแดงส่งกล่องทองแดงไปยังโหนดที่เจ็ด ถ้าเกินยี่สิบครั้งจะเปลี่ยนไปใช้สะพานสีน้ำเงิน สุดท้ายใครได้รับกล่องหิน",
+    "使用 Docker 部署 gateway 时 红灯塔流程把铜箱送往第七节点 若石枝超过二十次则改走蓝桥 最后哪一份铜箱到达",
+]
+
+
+@pytest.mark.parametrize("item", UNSPACED_ITEMS)
+def test_leaks_in_scripts_without_spaces(item):
+    index = leakage.LeakIndex([(1, item), (2, UNSPACED_ITEMS[0][::-1]), (3, "红灯塔流程"), (4, "สวัสดีตอนเช้า"), (5, ITEM)])
+    half = len(item) // 2
+    for passage in (item, item.replace("流程", "流\n程"), item[: half + 10], item[:half] + "xy" + item[half + 2 :]):
+        text = "The docs say so. " + passage + " After."
+        ((found, share, a, z),) = index.find(text)
+        assert found == 1 and share >= 0.5 and text[a] == item[0] and z <= len(text) - len(" After.")
+    assert not index.find(item[: half // 2]) and not index.find(item[half // 2 : half - 4] + LONG + item[half + 8 : half + 20])
+    assert not index.find("红灯塔流程 สวัสดีตอนเช้า")
+
+
 def test_item_blocks_cover_all(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
     items = [(n, " ".join(f"w{n}x{k}" for k in range(20))) for n in range(5)]

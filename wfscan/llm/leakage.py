@@ -1,14 +1,15 @@
 """Problem 9: passages of held-out test items inside a training corpus.
 
 One Aho-Corasick automaton holds every run of WINDOW consecutive words of every item, normalised to letters and digits without
-spacing, so that case, punctuation, spacing and invisible characters don't matter. Each text is normalised and scanned once. Hits of
-an item that follow one another in the text and in the item form a stretch; a few changed words only leave short holes in it. The
+spacing, so that case, punctuation, spacing and invisible characters don't matter. In scripts without spaces each letter is a unit
+that counts as 1 / LETTERS of a word, so a window begins at every letter. Each text is normalised and scanned once. Hits of an item that follow one another in the text and in the item form a stretch; a few changed words only leave short holes in it. The
 item has leaked if the longest stretch spans at least MIN_SHARE of it and at least MIN_DENSE of the stretch is hit. Positions are
 mapped back to the original text only for what has leaked.
 
 Items come in blocks of bounded size, one automaton a block, so any number of items can be asked for; documents aren't shuffled.
 Results: null, empty and blank texts leak nothing; a repeated document gives a row each time; repeated item ids are joined into one.
-Items of fewer than MIN_WORDS words never leak: they'd be short phrases.
+Items of fewer than MIN_WORDS words never leak: they'd be short phrases; LETTERS letters of Han and kana count as a word there, and
+twice as many of Thai and the like.
 """
 
 from __future__ import annotations
@@ -26,10 +27,16 @@ from pyspark.sql import functions as F
 from wfscan.llm.common import cached, map_arrow
 
 WINDOW, MIN_WORDS = 4, 6
+LETTERS = 2  # letters of a script without spaces that count as one word
 MIN_SHARE, MIN_DENSE = 0.5, 0.5
 GAP, DRIFT = 60, 40  # letters that one hole may span, and by which the item's and the text's side of it may differ
+GAP_UNSPACED, DRIFT_UNSPACED = 24, 16  # the same number of words in letters of scripts without spaces
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 _DROP = re.compile(r"[\W_]+")
+# Thai, Lao, Tibetan, Myanmar, Khmer, Tai scripts, kana, Han
+_UNSPACED = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uaa60-\uaadf\uf900-\ufaff\U0001b000-\U0001b16f\U00020000-\U000323af]")
+_ALPHABETIC = re.compile(r"[\u0e00-\u1aaf\uaa60-\uaadf]")  # of these, those whose letters are sounds
+_UNIT = re.compile(rf"{_UNSPACED.pattern}|(?:(?!{_UNSPACED.pattern}).)+", re.S)
 SCHEMA = "doc_id bigint, item_id bigint, share double, doc_start bigint, doc_end bigint"
 
 
@@ -49,16 +56,28 @@ class LeakIndex:
     def __init__(self, items: list[tuple[int, str]]):
         windows: dict[str, set[tuple[int, int]]] = defaultdict(set)
         self.length: dict[int, int] = {}
+        self.reach: dict[int, tuple[int, int]] = {}
         for item, text in items:
-            words = [w for w in map(normalise, (text or "").split()) if w]
-            if len(words) < MIN_WORDS:
-                continue
-            at = [0]
+            words = [u for w in map(normalise, (text or "").split()) for u in _UNIT.findall(w)]
+            at, weight, letters, size = [0], [0], 0, 0.0  # weight and size: in 1 / LETTERS of a word
             for w in words:
+                single = bool(_UNSPACED.match(w))
+                letters += single
+                size += 0.5 if single and _ALPHABETIC.match(w) else 1 if single else LETTERS
                 at.append(at[-1] + len(w))
+                weight.append(weight[-1] + (1 if single else LETTERS))
+            if size < MIN_WORDS * LETTERS:
+                continue
             self.length[item] = at[-1]
-            for k in range(len(words) - WINDOW + 1):
-                windows["".join(words[k : k + WINDOW])].add((item, at[k]))
+            if 2 * letters > at[-1]:
+                self.reach[item] = (GAP_UNSPACED, DRIFT_UNSPACED)
+            end = 0
+            for k in range(len(words)):
+                while end < len(words) and weight[end] - weight[k] < WINDOW * LETTERS:
+                    end += 1
+                if weight[end] - weight[k] < WINDOW * LETTERS:
+                    break
+                windows["".join(words[k:end])].add((item, at[k]))
         self.automaton = ahocorasick.Automaton()
         for w, where in windows.items():
             self.automaton.add_word(w, (len(w), tuple(where)))
@@ -76,14 +95,14 @@ class LeakIndex:
                 hits[item].append((end - n + 1, at, n))
         out, back = [], None
         for item, found in hits.items():
-            best = self._stretch(found, self.length[item])
+            best = self._stretch(found, self.length[item], *self.reach.get(item, (GAP, DRIFT)))
             if best and best[0] >= MIN_SHARE:
                 back = back or offsets(text)
                 out.append((item, best[0], back[best[1]], back[best[2] - 1] + 1))
         return out
 
     @staticmethod
-    def _stretch(found: list[tuple[int, int, int]], length: int) -> tuple[float, int, int] | None:
+    def _stretch(found: list[tuple[int, int, int]], length: int, most: int, drift: int) -> tuple[float, int, int] | None:
         if max(at + n for _, at, n in found) - min(at for _, at, _ in found) < MIN_SHARE * length:
             return None
         best = None
@@ -91,7 +110,7 @@ class LeakIndex:
         for pos, at, n in sorted(found):
             for s in open_:
                 gap, step = pos - s[1], at - s[3]
-                if gap <= GAP and step <= GAP and abs(gap - step) <= DRIFT and at + n > s[3]:
+                if gap <= most and step <= most and abs(gap - step) <= drift and at + n > s[3]:
                     s[4] += min(n, at + n - s[3])
                     s[1], s[3] = max(s[1], pos + n), at + n
                     break
@@ -108,7 +127,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str):
     block, chars = [], 0
     for r in items.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
         block.append((r[0], r[1]))
-        chars += len(r[1])
+        chars += len(r[1]) + 5 * len(_UNSPACED.findall(r[1]))  # these have a window a letter
         if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
             yield block
             block, chars = [], 0
