@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+from urllib.parse import quote
 
 import pytest
 from hypothesis import given, settings
@@ -254,6 +255,23 @@ def test_placeholders_and_references_are_left(line):
     assert secrets.mask_text(line) == line
 
 
+DECODED = ['{"user":"a","password":"Tr0ub4dor9"}', "DB_HOST=x\nDB_PASS=Tr0ub4dor9\n", "Authorization: Basic " + base64.b64encode(b"user:Tr0ub4dor9").decode(), 'a = 1\npassword = "Tr0ub4dor9"']
+
+
+@pytest.mark.parametrize("text", DECODED)
+@pytest.mark.parametrize("form", ["x = '{}'", "config: {}", "  - data={} # note", "<value name=a>x={}</value>", "set(config={});"])
+def test_decoded_texts_are_scanned_whole(text, form):
+    import pyarrow as pa
+
+    plain, encoded = text.encode(), base64.b64encode(text.encode()).decode()
+    for value in (encoded, plain.hex(), base64.b64encode(encoded.encode()).decode(), quote(text, safe="")):
+        line = form.format(value)
+        found = secrets.find_in_batch(pa.array(["first\n" + line + "\nlast"]))
+        assert [f[1] for f in found] == [2] and value not in secrets.mask_text(line)
+    harmless = base64.b64encode(b'{"user":"a","colour":"light blue"}\nDB_HOST=x').decode()
+    assert secrets.find_in_batch(pa.array([form.format(harmless)])) == []
+
+
 def test_der_containers():
     version, number = b"\x02\x01\x00", b"\x02\x20" + bytes(range(1, 33))
     assert secrets.der_private(b"\x30" + bytes((len(version + number),)) + version + number)

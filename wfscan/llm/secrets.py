@@ -3,7 +3,7 @@
 Texts are cut into lines by Arrow's kernels, and one RE2 pass (linear in the text) keeps the lines that can hold a credential at all;
 only those reach Python. There each value is judged by its own form, by the name it is given to, and by the way it is used. A value
 that shows nothing is decoded - base64, hex, percent and backslash escapes, up to MAX_LAYERS deep - and what comes out is scanned
-again; a hit makes the whole encoded literal a credential. Binary that decodes to DER is walked by its tag-length grammar: private
+again line by line with all the rules; a hit makes the whole encoded literal a credential. Binary that decodes to DER is walked by its tag-length grammar: private
 key containers count, public ones don't. Literals joined by '+' are judged as one.
 
 Map-only: whole texts, nothing shuffled. Results: null and empty texts hold no credential; lines are numbered from 1 and cut at line
@@ -47,6 +47,7 @@ _ONE = re.compile(_STRING)
 _NAME_BEFORE = re.compile(r"([\w$.-]+)[\"'\]]*\s*(?:=>|:=|[:=])\s*(?:[\w.$\[\]()]+\s*(?:\|\||\?\?|\bor\b)\s*)?[brfu]?$")
 _FALLBACK = re.compile(r"(?:\|\||\?\?|\bor\b)\s*[brfu]?$")
 _BARE = re.compile(r"^\s*(?:(?://+|#+|/?\*+|--|;+|<!--)\s*|export\s+|-\s+)?[\"']?([\w$.-]+)[\"']?\s*(?:=>|[:=])\s*([^\s\"'`;(){}\[\],]+?)\s*(?:\*/|-->)?\s*$")
+_UNQUOTED = re.compile(r"[:=]>?\s*+([^\s\"'`;,<>(){}\[\]=:?&]{16,}+={0,2}+)")
 _OPEN_NAME = re.compile(r"([\w$.-]+)[\"'\]]*\s*(?:=>|:=|[:=])\s*\(?\s*$")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.•#_-]+|<[^>]*>|\[[^\]]*\]|\$\{?.*|%[\w()]+%?|=?\s*\{\{.*|#\{.*|@\w+@|.*(?:replace|change)[-_ ]?(?:me|it|this)(?![a-z]).*|.*(?:insert|enter|put|add)[-_ ].*(?:here|secret|key|token|password)(?![a-z]).*"
@@ -66,8 +67,8 @@ _PASS_WORDS = {"password", "passwd", "pwd", "pass", "pw", "passphrase", "passcod
 # Lines without any of these can't hold a credential; RE2 syntax.
 CANDIDATE = (
     r"(?i:(?:pass|pwd|pw|login|creds?|secret|token|key|credentials?|dsn|auth|authorization|bearer)[\w\-]*[\"'\]]*\s*(?:=|:)\s*\S)|://[^\s/@]*:[^\s@/]+@|(?i:[?&](?:sig|signature|key|api_?key|token|access_token|auth|secret|password)=)"
-    r"|-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE|(?i:basic|bearer) [\w+/=.~\-]{8,}|sk_live_|sk_test_|gh[pousr]_|glpat-|xox[a-z]-|SG\.|AKIA|ASIA|AIza|eyJ|npm_|sk-|hf_|[\"'`][A-Za-z0-9+/=_.\-]{18,}[\"'`]|[\"'`]\s*\+\s*[\"'`]|(?:\|\||\?\?|\bor)\s*[\"'`][^\s\"'`]{16,}[\"'`]"
-    r"|\b[a-z]{3,12}_[0-9A-Za-z]{24,}|(?:\\x[0-9a-fA-F]{2}){8}|(?:\\u[0-9a-fA-F]{4}){6}|(?:%[0-9a-fA-F]{2}){4}"
+    r"|-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE|(?i:basic|bearer) [\w+/=.~\-]{8,}|sk_live_|sk_test_|gh[pousr]_|glpat-|xox[a-z]-|SG\.|AKIA|ASIA|AIza|eyJ|npm_|sk-|hf_|[\"'`][A-Za-z0-9+/=_.\-]{16,}[\"'`]|[:=]>?\s*[A-Za-z0-9+/_\-]{16,}|[\"'`]\s*\+\s*[\"'`]|(?:\|\||\?\?|\bor)\s*[\"'`][^\s\"'`]{16,}[\"'`]"
+    r"|\b[a-z]{3,12}_[0-9A-Za-z]{24,}|(?:\\x[0-9a-fA-F]{2}){8}|(?:\\u[0-9a-fA-F]{4}){6}|(?:%[0-9a-fA-F]{2}[^%\s]*){3}"
 )
 
 
@@ -149,6 +150,9 @@ def hides_secret(value: str, layer: int = 0) -> bool:
             return True
         if (m := _BARE.match(text)) and (kind := secret_name(m[1])) and good_value(m[2], kind):
             return True
+        lines = ["", *text.split("\n"), ""]
+        if any(scan_line(line, lines[k], lines[k + 2], layer + 1) for k, line in enumerate(lines[1:-1])):
+            return True
         if layer + 1 < MAX_LAYERS and hides_secret(text.strip(), layer + 1):
             return True
     return False
@@ -177,10 +181,10 @@ def random_value(v: str) -> bool:
     return digits >= 2 and upper + lower >= 8 and (upper >= 2 and lower >= 2 or digits >= 6) and entropy(v) > 3.5
 
 
-def scan_line(line: str, before: str = "", after: str = "") -> list[tuple[int, int]]:
-    """Start and end of each credential value that begins on the line."""
+def scan_line(line: str, before: str = "", after: str = "", layer: int = 0) -> list[tuple[int, int]]:
+    """Start and end of each credential value that begins on the line; layer: how many layers of encoding were taken off it."""
     if len(line) > 200_000:
-        return _long_line(line)
+        return _long_line(line, layer)
     spans: list[tuple[int, int]] = []
     if m := _PRIVATE.search(line):
         spans.append((m.start(), len(line)))
@@ -226,24 +230,26 @@ def scan_line(line: str, before: str = "", after: str = "") -> list[tuple[int, i
             spans.append((m.start() + 1, end - 1))
         elif _FALLBACK.search(left) and random_value(value):
             spans.append((m.start() + 1, end - 1))
-        elif len(value) >= 16 and not value.startswith("data:") and "integrity" not in name.lower() and hides_secret(value):
+        elif len(value) >= 16 and not value.startswith("data:") and "integrity" not in name.lower() and layer < MAX_LAYERS and hides_secret(value, layer):
             spans.append((m.start() + 1, end - 1))
     comment = line.lstrip()[:1] in ("/", "#", "*", "-", ";", "<")
     if (m := _BARE.match(line)) and (kind := secret_name(m[1]) or ("pass" if comment and m[1].lower() in _NOTED else None)):
         value = m[2]
         if good_value(value, kind) and (kind == "pass" and comment or random_value(value) or re.search(r"\d", value) and not re.search(r"\.[a-z]|->|::", value) and (kind == "pass" or entropy(value) > 3)):
             spans.append(m.span(2))
-        elif len(value) >= 16 and hides_secret(value):
+        elif len(value) >= 16 and layer < MAX_LAYERS and hides_secret(value, layer):
             spans.append(m.span(2))
+    if layer < MAX_LAYERS:
+        spans += [m.span(1) for m in _UNQUOTED.finditer(line) if hides_secret(m[1], layer)]
     return _merged(spans)
 
 
-def _long_line(line: str) -> list[tuple[int, int]]:
+def _long_line(line: str, layer: int) -> list[tuple[int, int]]:
     """Very long lines in overlapping pieces, so that no pattern runs over megabytes at once."""
     size, overlap = 100_000, 10_000
     spans = []
     for at in range(0, len(line), size - overlap):
-        spans += [(at + a, at + b) for a, b in scan_line(line[at : at + size])]
+        spans += [(at + a, at + b) for a, b in scan_line(line[at : at + size], layer=layer)]
     return _merged(spans)
 
 
