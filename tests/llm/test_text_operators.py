@@ -272,6 +272,35 @@ def test_decoded_texts_are_scanned_whole(text, form):
     assert secrets.find_in_batch(pa.array([form.format(harmless)])) == []
 
 
+def test_long_literals_and_lines():
+    import pyarrow as pa
+
+    bundle = "# " + "harmless words\n" * 900 + "password: Tr0ub4dor9\n"
+    encoded = base64.b64encode(bundle.encode()).decode()
+    lines = [f"x = '{encoded}'", "apiKey = '" + "aB3x9Kq7" * 600 + "'", "f('it is so');" * 30_000 + f'g("plain");h={{password:"Tr0ub4dor9",v:"{encoded}"}};' + "k('a' + 'b');" * 9_000]
+    assert [n for _, n, _ in secrets.find_in_batch(pa.array(["\n".join(lines)]))] == [1, 2, 3]
+    masked = secrets.mask_text("\n".join(lines))
+    assert encoded not in masked and "Tr0ub4dor9" not in masked and f'{{password:"{secrets.MASK}",v:"{secrets.MASK}"}}' in masked
+    for at in range(89_000, 101_000, 997):  # a quote sign at whatever place
+        line = "f('" + "a " * (at // 2) + "');g(\"it's\");h={password:'Tr0ub4dor9'};" + "w('a b');" * 16_000
+        ((_, _, spans),) = secrets.find_in_batch(pa.array([line]))
+        assert [line[a:z] for a, z in spans] == ["Tr0ub4dor9"]
+    pem = "-----BEGIN PRIVATE KEY-----aB3x9K-----END PRIVATE KEY-----"
+    masked = secrets.mask_text(f"a = '{pem}'; b = '{pem}'; password = 'Tr0ub4dor9'; c = 1")
+    assert "aB3x9K" not in masked and "Tr0ub4dor9" not in masked and masked.endswith("c = 1")
+
+
+@pytest.mark.parametrize("unit", ["a1", "\\\"", "'a'+\"", "add_", "1.", "k=", '"k":"v",', "-----BEGIN PRIVATE KEY-----"])
+def test_long_lines_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    line = "password = '" + unit * (600_000 // len(unit)) + "!' + '"
+    secrets.scan_line(line, line, line)
+    secrets.scan_line(line[12:], line, line)
+    assert time.process_time() - began < 30
+
+
 def test_der_containers():
     version, number = b"\x02\x01\x00", b"\x02\x20" + bytes(range(1, 33))
     assert secrets.der_private(b"\x30" + bytes((len(version + number),)) + version + number)

@@ -36,21 +36,25 @@ TOKEN = (
 )
 _TOKEN = re.compile(rf"(?<![\w-])(?:{TOKEN})(?![\w-])")
 _VENDOR = re.compile(r"(?<![\w-])[a-z]{3,12}_(?=\w*[a-z])(?=\w*[A-Z]\w*[A-Z]\w*[A-Z])(?=\w*(?:\d|[A-Z]{2}))[0-9A-Za-z]{24,}(?![\w-])")
-_URL = re.compile(r"[A-Za-z][\w+.-]*://([^\s:/@'\"`<>{}]*):([^\s@/'\"`<>{}]+)@(?=[\w\[])")
+_URL = re.compile(r"(?<=[\w+.-])://([^\s:/@'\"`<>{}]*):([^\s@/'\"`<>{}]+)@(?=[\w\[])")
 _PARAM = re.compile(r"(?i)[?&;](?:sig|signature|key|api[_-]?key|token|access[_-]?token|auth|secret|client[_-]?secret|password|pwd)=([\w%+/=.~-]{16,})")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _AUTH = re.compile(r"(?i)\b(basic|bearer|token|digest)\s+([\w+/=.~-]{8,})")
-_STRING = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"
+_STRING = r"\"(?:[^\"\\]+|\\.)*+\"|'(?:[^'\\]+|\\.)*+'|`(?:[^`\\]+|\\.)*+`"
 _JOINED = re.compile(rf"({_STRING})((?:\s*\+\s*(?:{_STRING}))*)")
 _ONE = re.compile(_STRING)
-_NAME_BEFORE = re.compile(r"([\w$.-]+)[\"'\]]*\s*(?:=>|:=|[:=])\s*(?:[\w.$\[\]()]+\s*(?:\|\||\?\?|\bor\b)\s*)?[brfu]?$")
-_FALLBACK = re.compile(r"(?:\|\||\?\?|\bor\b)\s*[brfu]?$")
+# What stands before a literal, for the line reversed: matched from the literal on, never searched for.
+_NAME_BEFORE = re.compile(r"[brfu]?(?:\s*(?:\|\||\?\?|\bro\b)\s*[\w.$\[\]()]+)?\s*(?:>=|=:|[:=])\s*[\"'\]]*([\w$.-]+)")
+_FALLBACK = re.compile(r"[brfu]?\s*(?:\|\||\?\?|\bro\b)")
+_OPEN_NAME = re.compile(r"\s*+(?:\(\s*+)?(?:>=|=:|[:=])\s*[\"'\]]*([\w$.-]+)")
+_QUOTE = re.compile(r"[\"'`]")
+_QUOTED = re.compile(r"(?<!\\)(\\*+)([\"'`])")
+_PLUS = re.compile(r"\s*\+\s*")
 _BARE = re.compile(r"^\s*(?:(?://+|#+|/?\*+|--|;+|<!--)\s*|export\s+|-\s+)?[\"']?([\w$.-]+)[\"']?\s*(?:=>|[:=])\s*([^\s\"'`;(){}\[\],]+?)\s*(?:\*/|-->)?\s*$")
 _UNQUOTED = re.compile(r"[:=]>?\s*+([^\s\"'`;,<>(){}\[\]=:?&]{16,}+={0,2}+)")
-_OPEN_NAME = re.compile(r"([\w$.-]+)[\"'\]]*\s*(?:=>|:=|[:=])\s*\(?\s*$")
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:[x*.•#_-]+|<[^>]*>|\[[^\]]*\]|\$\{?.*|%[\w()]+%?|=?\s*\{\{.*|#\{.*|@\w+@|.*(?:replace|change)[-_ ]?(?:me|it|this)(?![a-z]).*|.*(?:insert|enter|put|add)[-_ ].*(?:here|secret|key|token|password)(?![a-z]).*"
+    r"(?i)^(?:[x*.•#_-]+|<[^>]*>|\[[^\]]*\]|\$\{?.*|%[\w()]+%?|=?\s*\{\{.*|#\{.*|@\w+@|.*(?:replace|change)[-_ ]?(?:me|it|this)(?![a-z]).*|(?>.*?(?:insert|enter|put|add)[-_ ])(?>.*?(?:here|secret|key|token|password)(?![a-z])).*"
     r"|(?:my|your|example|sample|dummy|fake|test)[-_ ]?(?:own[-_ ])?(?:api|secret|token|key|pass|auth|access|client|private|cred|user|bot|app|value|string).*|.*(?:placeholder|redacted).*|example|sample|dummy"
     r"|todo|tbd|none|null|nil|undefined|true|false|test|changeme|secret|password|token|string|text|hidden|masked|empty|vault:.*|ssm:.*|env[:.].*|secretref:.*|arn:.*|kms:.*|op://.*|file:.*|process\.env.*|os\.(?:environ|getenv).*|!?(?:ref|sub|env|vault)\b.*|-?\d+(?:\.\d+)*)$"
 )
@@ -160,7 +164,7 @@ def hides_secret(value: str, layer: int = 0) -> bool:
 
 def good_value(v: str, kind: str) -> bool:
     """A literal that stands where a secret belongs: neither a placeholder nor a reference, and not an ordinary word."""
-    if len(v) < 6 or len(v) > 4096 or any(c.isspace() for c in v) or _PLACEHOLDER.match(v) or _UUID.match(v) or "://" in v or v.startswith(("data:", "sha256-", "sha384-", "sha512-", "ssh-")):
+    if len(v) < 6 or any(c.isspace() for c in v) or _PLACEHOLDER.match(v) or _UUID.match(v) or "://" in v or v.startswith(("data:", "sha256-", "sha384-", "sha512-", "ssh-")):
         return False
     digits = sum(c.isdigit() for c in v)
     letters = sum(c.isalpha() for c in v)
@@ -168,7 +172,7 @@ def good_value(v: str, kind: str) -> bool:
         if letters == len(v) and v.islower():
             return len(v) >= 8
         return digits > 0 or not v.isalnum() and "." not in v and len(v) >= 8 and not re.fullmatch(r"[\w-]+", v)
-    return len(v) >= 8 and digits > 0 and letters > 0 and (len(v) >= 16 or digits >= 2) and not re.fullmatch(r"v?\d+(?:\.\d+)+[\w.-]*|[A-Za-z]+\d{1,2}", v)
+    return len(v) >= 8 and digits > 0 and letters > 0 and (len(v) >= 16 or digits >= 2) and not re.fullmatch(r"v?\d+\.\d[\w.-]*|[A-Za-z]+\d{1,2}", v)
 
 
 def random_value(v: str) -> bool:
@@ -181,13 +185,25 @@ def random_value(v: str) -> bool:
     return digits >= 2 and upper + lower >= 8 and (upper >= 2 and lower >= 2 or digits >= 6) and entropy(v) > 3.5
 
 
+def joined_literals(line: str):
+    """_JOINED's matches. A quote sign opens a literal only if one of its kind that isn't escaped follows, so none is sought in vain."""
+    last = {m[2]: m.end() - 1 for m in _QUOTED.finditer(line) if len(m[1]) % 2 == 0}
+    at = 0
+    while m := _QUOTE.search(line, at):
+        at = m.end()
+        if m.start() < last.get(m[0], 0) and (m := _JOINED.match(line, m.start())):
+            at = m.end()
+            yield m
+
+
 def scan_line(line: str, before: str = "", after: str = "", layer: int = 0) -> list[tuple[int, int]]:
     """Start and end of each credential value that begins on the line; layer: how many layers of encoding were taken off it."""
-    if len(line) > 200_000:
-        return _long_line(line, layer)
     spans: list[tuple[int, int]] = []
-    if m := _PRIVATE.search(line):
-        spans.append((m.start(), len(line)))
+    for m in _PRIVATE.finditer(line):
+        ends = _PRIVATE_END.search(line, m.end())
+        spans.append((m.start(), ends.end() if ends else len(line)))
+        if not ends:
+            break
     for m in _TOKEN.finditer(line):
         if not _PLACEHOLDER.match(m[0]) and (re.search(r"\d", m[0]) or m[0][:4] in ("AKIA", "ASIA") and entropy(m[0]) > 2.5):
             spans.append(m.span())
@@ -210,25 +226,26 @@ def scan_line(line: str, before: str = "", after: str = "", layer: int = 0) -> l
                 spans.append(m.span(2))
         elif not _PLACEHOLDER.match(value) and good_value(value, "key") and len(value) >= 16 and (scheme != "token" or random_value(value)):
             spans.append(m.span(2))
-    for m in _JOINED.finditer(line):
+    turned, indent = line[::-1], len(line) - len(line.lstrip())
+    for m in joined_literals(line):
         parts = [m[1], *_ONE.findall(m[2])]
         end = m.end()
-        if after and re.fullmatch(r"\s*\+\s*", line[m.end() :]) and (more := _ONE.match(after.strip())):
+        if after and _PLUS.fullmatch(line, m.end()) and (more := _ONE.match(after.strip())):
             parts.append(more[0])
         value = "".join(p[1:-1] for p in parts)
-        if not 6 <= len(value) <= 8192:
+        if len(value) < 6:
             continue
-        left = line[: m.start()]
-        named = _NAME_BEFORE.search(left)
-        if not named and not left.strip() and before:
-            named = _OPEN_NAME.search(before)
-        name = named[1] if named else ""
+        left = len(line) - m.start()
+        named = _NAME_BEFORE.match(turned, left)
+        if not named and m.start() <= indent and before:
+            named = _OPEN_NAME.match(before[::-1])
+        name = named[1][::-1] if named else ""
         kind = secret_name(name)
         if kind and good_value(value, kind):
             spans.append((m.start() + 1, end - 1))
         elif len(parts) > 1 and (_TOKEN.search(value) or _VENDOR.search(value) or random_value(value)):
             spans.append((m.start() + 1, end - 1))
-        elif _FALLBACK.search(left) and random_value(value):
+        elif _FALLBACK.match(turned, left) and random_value(value):
             spans.append((m.start() + 1, end - 1))
         elif len(value) >= 16 and not value.startswith("data:") and "integrity" not in name.lower() and layer < MAX_LAYERS and hides_secret(value, layer):
             spans.append((m.start() + 1, end - 1))
@@ -244,15 +261,6 @@ def scan_line(line: str, before: str = "", after: str = "", layer: int = 0) -> l
     return _merged(spans)
 
 
-def _long_line(line: str, layer: int) -> list[tuple[int, int]]:
-    """Very long lines in overlapping pieces, so that no pattern runs over megabytes at once."""
-    size, overlap = 100_000, 10_000
-    spans = []
-    for at in range(0, len(line), size - overlap):
-        spans += [(at + a, at + b) for a, b in scan_line(line[at : at + size], layer=layer)]
-    return _merged(spans)
-
-
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -324,8 +332,9 @@ def mask_text(text: str | None) -> str | None:
             for a, b in reversed(found[i + 1]):
                 if m := _PRIVATE.match(line[a:b]):
                     tail = line[a + m.end() :]
-                    within = not _PRIVATE_END.search(tail)
-                    line = line[: a + m.end()] + (re.sub(r"^.*?(?=-----END)", MASK, tail) if not within else MASK if tail.strip() else "")
+                    ended = _PRIVATE_END.search(tail)
+                    within = within or not ended
+                    line = line[: a + m.end()] + (re.sub(r"^.*?(?=-----END)", MASK, tail) if ended else MASK if tail.strip() else "")
                 else:
                     line = line[:a] + MASK + line[b:]
             lines[i] = line
