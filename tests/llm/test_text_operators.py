@@ -384,6 +384,26 @@ def test_provenance(spark):
     assert provenance.classify(df.limit(0)).count() == 0
 
 
+LICENCE = ["Licensed under the Apache License, Version 2.0", *(f"clause {n} of the licence" for n in range(20))]
+MARK, BANNER = "Code generated by foo. DO NOT EDIT.", "lib 1.2.3 (c) 2019 Lib contributors, MIT"
+
+
+@pytest.mark.parametrize(
+    "frame",
+    ["// {}\n", "#!/usr/bin/env node\n'use strict';\n\n# {}\n", "/*\n{}\n*/\n", "<?php\n/**\n * {}\n */\n", "<!--\n{}\n-->\n", '"""\n{}\n"""\n', "\ufeff/* a */ // b\n// {}\n"],
+)
+def test_headers_after_long_comments(spark, frame):
+    sep = "\n// " if "// {" in frame else "\n# " if "# {" in frame else "\n * " if " * {" in frame else "\n"
+    hand = "const a = b + 1;\nfunction f(b) {\n  return b + 1;\n}\n"
+    filled = frame.format(sep.join([*LICENCE, MARK]))
+    assert provenance.content_class(filled + hand, "src/a.x") == "generated"
+    assert provenance.content_class(frame.format(sep.join(LICENCE)) + hand * 4 + frame.format(MARK), "src/a.x") is None
+    imports = "import a from 'a';\nimport {\n  b,\n} from 'b';\nconst c = require('c');\n"
+    codes = [(1, frame.format(sep.join([*LICENCE, BANNER])) + hand), (2, frame.format(sep.join(LICENCE)) + imports + f"// {BANNER}\n" + hand), (3, frame.format(sep.join(LICENCE)) + hand * 4 + f"// {BANNER}\n")]
+    df = spark.createDataFrame([(i, "o/one", "/r/1", f"s{i}.x", code) for i, code in codes], "file_id bigint, server_name string, code_path string, file string, code string")
+    assert {r.file_id: r.found for r in provenance.file_facts(df).collect()} == {1: "vendored", 2: "vendored", 3: None}
+
+
 # --- hidden text -------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Problem 6: source files that nobody wrote by hand for the repository they lie in.
 
-Header and layout rules see generated, minified, bundled and data files in one pass over the content. The same pass hashes each file
+Header and layout rules see generated, minified, bundled and data files in one pass over the content; headers stand anywhere in the
+leading comment block. The same pass hashes each file
 without its white space and leading comments. Merkle hashes then grow bottom-up over the directory trees, one grouped sum a level:
 a directory's hash is a sum over its children's (name, hash), so a directory with any number of files is combined on the map side
 and never collected. Files and subtrees that occur under two unrelated owners are vendored. After the content pass only ids, paths
@@ -14,6 +15,8 @@ themselves, only as part of a shared subtree.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -38,18 +41,49 @@ MINIFIED_PATH = re.compile(r"(?i)[.-]min\.(?:js|mjs|cjs|css)$|\.bundle\.js$|\.[0
 LIBRARY_HEADER = re.compile(r"(?i)^\W{0,6}([\w@./-]+?) v?\d+\.\d+[\w.-]*\s+(?:\(c\)|©|copyright)\s*\d{4}\b.*(?:contributors|authors|licen[cs]e|\bMIT\b|\bBSD\b|apache)")
 SOURCE_MAP = re.compile(r"(?m)^//[#@] sourceMappingURL=\S+\s*\Z")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|\"\"\"|'''|;)")
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_OPENS = re.compile(r"\s*(?:<\?php\b\s*)?[rRuU]?(/\*|<!--|\"\"\"|''')")
+_PRAGMA = re.compile(r"(?i)^\s*(?:<[?!]|@charset\b|\{-#|%|([\"'])use [\w ]+\1\s*;?\s*$)")
+_IMPORT = re.compile(r"^\s*(?:import\b|from\s+\S+\s+import\b|(?:const|let|var)\b.*\brequire\(|require\b|use\s+[\w:\\]+|using\s+[\w.]+|package\b|export\b.*\bfrom\b)")
 _HEAD = re.compile(r"\A(?:\s*(?://[^\n]*|#[^\n]*|/\*.*?\*/)\s*?(?:\n|\Z))+", re.S)
 _LITERAL = re.compile(r"\"(?:\\.|[^\"\\\s])*\"|'(?:\\.|[^'\\\s])*'|[\d.,:;\[\](){}=\s+-]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
+def head_lines(code: str, imports: bool = False) -> Iterator[str]:
+    """The leading comment block, however long: the lines up to the first that is neither blank, comment, shebang nor pragma (nor import)."""
+    at, ends, closes = len(code) - len(code.lstrip("\ufeff")), "", ""
+    while at < len(code):
+        n = code.find("\n", at)
+        line, at = (code[at:n], n + 1) if n >= 0 else (code[at:], len(code))
+        if closes:  # within an import over several lines
+            closes = closes if closes not in line else ""
+            continue
+        rest, comment = line, bool(ends)
+        while ends or (m := _OPENS.match(rest)):
+            if not ends:
+                ends, rest, comment = _BLOCKS[m[1]], rest[m.end() :], True
+            _, mark, rest = rest.partition(ends)
+            if not mark:
+                break
+            ends = ""
+        if imports and not ends and _IMPORT.match(rest):
+            closes = next((z for a, z in ("{}", "()") if rest.count(a) > rest.count(z)), "")
+            rest = ""
+        ended = bool(rest.strip()) and not _COMMENT.match(rest) and not _PRAGMA.match(rest)
+        if comment or not ended:
+            yield line
+        if ended:
+            return
+
+
 def content_class(code: str, path: str) -> str | None:
     """generated, minified or data, by the rules for header and layout; null for what looks written by hand."""
     lines = code.split("\n", 12)[:12]
     for line in lines:
         if _COMMENT.match(line) and GENERATED.search(line):
             return "generated"
-    if GENERATED_PATH.search(path):
+    if any(GENERATED.search(line) for line in head_lines(code)) or GENERATED_PATH.search(path):
         return "generated"
     if not code.strip():
         return None
@@ -99,7 +133,8 @@ def file_facts(df: DataFrame) -> DataFrame:
             server, code = (server or "").strip(), code or ""
             found = content_class(code, path)
             if found is None:
-                head = next((m for x in code.lstrip("﻿").split("\n", 3)[:3] if (m := LIBRARY_HEADER.match(x.strip()))), None)
+                tops = chain(code.lstrip("﻿").split("\n", 3)[:3], head_lines(code, imports=True))
+                head = next((m for x in tops if (m := LIBRARY_HEADER.match(x.strip()))), None)
                 if VENDORED_PATH.search(path) or head and head[1].lower() not in server.lower():
                     found = "vendored"
             out.append((i, server.split("/")[0].lower(), server.lower(), root, name, *content_hash(code), found))
