@@ -404,6 +404,18 @@ def test_headers_after_long_comments(spark, frame):
     assert {r.file_id: r.found for r in provenance.file_facts(df).collect()} == {1: "vendored", 2: "vendored", 3: None}
 
 
+def test_deep_trees(spark):
+    def tree(owner, top, last):
+        x = top + "/".join(f"d{k}" for k in range(24)) + "/"
+        return [(owner, x + f"f{k}.py", f"call_{k}(one)\n" * 4) for k in range(12)] + [(owner, x + "sub/g.py", last)]
+
+    rows = tree("a/a", "", "one = 1") + tree("b/b", "", "two = 2") + tree("c/c", "same/", "three = 3") + tree("d/d", "same/", "three = 3")
+    rows = [(i, owner, "/r", path, code + ("# same\n" if path.startswith("same") else "")) for i, (owner, path, code) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "file_id bigint, server_name string, code_path string, file string, code string")
+    got = {r.file_id for r in provenance.classify(df).collect()}
+    assert got == {i for i, _, _, path, _ in rows if path.startswith("same")}  # the first two differ in sub/g.py alone
+
+
 # --- hidden text -------------------------------------------------------------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wfscan.llm.common import map_arrow
 from wfscan.session import checkpoint
 
-MIN_CHARS, MIN_TREE_CHARS, MAX_DEPTH = 80, 400, 24
+MIN_CHARS, MIN_TREE_CHARS = 80, 400
 LONG_LINE = 240
 # What generators write at the head of a file, in several languages.
 GENERATED = re.compile(
@@ -150,9 +150,9 @@ def merkle_directories(facts: DataFrame) -> DataFrame:
 
     Every level is checkpointed: a row per directory, so the plan stays short however deep the trees are.
     """
-    depth = F.least(F.size(F.split("path", "/")), F.lit(MAX_DEPTH))
+    depth = F.size(F.split("path", "/"))
     files = facts.where("hash is not null").select("owner", "server", "root", "path", "hash", F.lit(1).cast("bigint").alias("files"), "chars", depth.alias("depth"))
-    deepest = files.agg(F.max("depth")).first()[0] or 0  # one number, at most MAX_DEPTH
+    deepest = files.agg(F.max("depth")).first()[0] or 0  # one number
     done, below = None, None
     for level in range(deepest, 0, -1):
         nodes = files.where(F.col("depth") == level).drop("depth")
