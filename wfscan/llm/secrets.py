@@ -2,12 +2,14 @@
 
 Texts are cut into lines by Arrow's kernels, and one RE2 pass (linear in the text) keeps the lines that can hold a credential at all;
 only those reach Python. There each value is judged by its own form, by the name it is given to, and by the way it is used. A value
-that shows nothing is decoded - base64, hex, percent and backslash escapes, up to MAX_LAYERS deep - and what comes out is scanned
-again line by line with all the rules; a hit makes the whole encoded literal a credential. Binary that decodes to DER is walked by its tag-length grammar: private
-key containers count, public ones don't. Literals joined by '+' are judged as one.
+that shows nothing is decoded - base64, hex, percent and backslash escapes, in any number of layers, since each layer is shorter than
+the one around it - and what comes out is scanned again line by line with all the rules; a hit makes the whole encoded literal a
+credential. Binary that comes out is walked by its grammar: DER (plain and encrypted PKCS#8, PKCS#1, SEC1, PKCS#12), OpenSSH, Java
+key stores and OpenPGP secret keys count, public keys and certificates don't. Literals joined by '+' are judged as one.
 
 Map-only: whole texts, nothing shuffled. Results: null and empty texts hold no credential; lines are numbered from 1 and cut at line
-feeds only; several values on one line give one row; repeated rows give theirs again. Masking keeps quotes, names, schemes and hosts.
+feeds only; several values on one line give one row; repeated rows give theirs again. Masking keeps quotes, names, schemes and hosts;
+a private key without its end mark ends at the first line that isn't the body of a key.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from wfscan.llm.common import map_arrow
 
-MAX_LAYERS = 4
 MASK = "[REDACTED]"
 # Published forms of service tokens.
 TOKEN = (
@@ -40,6 +41,9 @@ _URL = re.compile(r"(?<=[\w+.-])://([^\s:/@'\"`<>{}]*):([^\s@/'\"`<>{}]+)@(?=[\w
 _PARAM = re.compile(r"(?i)[?&;](?:sig|signature|key|api[_-]?key|token|access[_-]?token|auth|secret|client[_-]?secret|password|pwd)=([\w%+/=.~-]{16,})")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_BODY = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=\s])*")  # what follows the begin mark on its line
+_KEY_LINE = re.compile(r"[A-Za-z0-9+/=]+(?:\\[nr])*")
+_KEY_HEADER = re.compile(r"\W*(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID)\s*:", re.I)
 _AUTH = re.compile(r"(?i)\b(basic|bearer|token|digest)\s+([\w+/=.~-]{8,})")
 _STRING = r"\"(?:[^\"\\]+|\\.)*+\"|'(?:[^'\\]+|\\.)*+'|`(?:[^`\\]+|\\.)*+`"
 _JOINED = re.compile(rf"({_STRING})((?:\s*\+\s*(?:{_STRING}))*)")
@@ -95,41 +99,80 @@ def secret_name(name: str) -> str | None:
     return None
 
 
-def der_private(data: bytes) -> bool:
-    """Whether the bytes are a private-key container: a sequence that begins with a version number and a key or an algorithm."""
+# Object identifiers, as bytes, of password-based encryption (PKCS#5 and PKCS#12) and of PKCS#7 contents.
+_PBE = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+_PKCS7 = b"\x2a\x86\x48\x86\xf7\x0d\x01\x07"
+_OPENSSH = b"openssh-key-v1\0"
+_KEY_STORES = (b"\xfe\xed\xfe\xed\0\0\0", b"\xce\xce\xce\xce\0\0\0")
+
 
-    def header(at: int) -> tuple[int, int, int] | None:
-        if at + 2 > len(data):
+def _element(data: bytes, at: int) -> tuple[int, int, int] | None:
+    """Tag, start and end of the DER element at a position."""
+    if at + 2 > len(data):
+        return None
+    tag, n, at = data[at], data[at + 1], at + 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or at + k > len(data):
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
-        if n & 0x80:
-            k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > len(data):
-                return None
-            n, at = int.from_bytes(data[at : at + k], "big"), at + k
-        return tag, at, n
-
-    outer = header(0)
-    if not outer or outer[0] != 0x30 or outer[1] + outer[2] > len(data):
-        return False
-    version = header(outer[1])
-    if not version or version[0] != 0x02 or version[2] != 1 or data[version[1]] > 3:
+        n, at = int.from_bytes(data[at : at + k], "big"), at + k
+    return (tag, at, at + n) if at + n <= len(data) else None
+
+
+def der_private(data: bytes) -> bool:
+    """Whether the bytes are a DER container of a private key."""
+    outer = _element(data, 0)
+    if not outer or outer[0] != 0x30:
         return False
-    second = header(version[1] + 1)
+    first = _element(data, outer[1])
+    second = first and _element(data, first[2])
     if not second:
         return False
-    if second[0] == 0x30:  # an algorithm and then the key
-        third = header(second[1] + second[2])
-        return bool(third and third[0] == 0x04)
-    return second[0] == 0x04 or second[0] == 0x02 and second[2] >= 32
+    if first[0] == 0x30:  # encrypted: a method of encryption by password, then the encrypted key
+        oid = _element(data, first[1])
+        return bool(oid and oid[0] == 0x06 and data[oid[1] : oid[2]].startswith(_PBE) and second[0] == 0x04 and second[2] <= outer[2])
+    if first[0] != 0x02 or first[2] - first[1] != 1 or data[first[1]] > 3:
+        return False
+    if second[0] == 0x30:  # an algorithm and then the key, or a PKCS#12 store
+        third, oid = _element(data, second[2]), _element(data, second[1])
+        return bool(third and third[0] == 0x04 or data[first[1]] == 3 and oid and oid[0] == 0x06 and data[oid[1] : oid[2]].startswith(_PKCS7))
+    return second[0] == 0x04 or second[0] == 0x02 and second[2] - second[1] >= 32
+
+
+def pgp_secret(data: bytes) -> bool:
+    """Whether the bytes begin with an OpenPGP packet of a secret key, of version 3 to 6 and within the data."""
+    new = data[0] & 0x40
+    if data[0] & 0x80 == 0 or (data[0] & 0x3F if new else data[0] >> 2 & 0x0F) != 5:
+        return False
+    if new:
+        k, at = (0, 1) if data[1] < 192 else (1, 1) if data[1] < 224 else (4, 2)
+        n, at = (data[1] if k == 0 else (data[1] - 192 << 8) + data[2] + 192 if k == 1 else int.from_bytes(data[2:6], "big")), at + k + (k < 4)
+    else:
+        k = 1 << (data[0] & 3)
+        n, at = (int.from_bytes(data[1 : 1 + k], "big"), 1 + k) if k < 8 else (len(data) - 1, 1)
+    return 3 <= data[at] <= 6 and 40 <= n <= len(data) - at
+
+
+def key_container(data: bytes) -> bool:
+    """Whether bytes are a container of private keys in any of the binary formats known here."""
+    return len(data) >= 40 and (der_private(data) or data.startswith(_OPENSSH) or data.startswith(_KEY_STORES) or pgp_secret(data))
+
+
+_ESCAPED = re.compile(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\([0-7]{3})")
+_ESCAPED_BACKSLASH = re.compile(r"\\(?:x5[cC]|u005[cC])+(?=x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})")  # layers of escapes in one step
+_ESCAPED_PERCENT = re.compile(r"%(?:25)+(?=[0-9a-fA-F]{2})")
+_BREAKS = re.compile(r"(?:\\[nr]|\s)+")
 
 
 def decodings(value: str):
-    """The texts and bytes that one layer of encoding may hide."""
-    if "\\" in value and re.search(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})", value):
-        yield re.sub(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\([0-7]{3})", lambda m: chr(int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8)), value).encode("utf-8", "replace")
+    """The texts and bytes that one layer of encoding may hide; each is shorter than the value."""
+    if "\\" in value and _ESCAPED.search(value):
+        yield _ESCAPED.sub(lambda m: chr(int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8)), _ESCAPED_BACKSLASH.sub(r"\\", value)).encode("utf-8", "replace")
     if value.count("%") >= 3:
-        yield unquote(value).encode("utf-8", "replace")
+        yield unquote(_ESCAPED_PERCENT.sub("%", value)).encode("utf-8", "replace")
+    lines = _BREAKS.split(value.strip())
+    if len(lines) > 1 and min(map(len, lines[:-1])) >= 16:  # an encoded block broken into lines
+        value = "".join(lines)
     if len(value) >= 24 and _HEX.match(value):
         yield bytes.fromhex(value)
     if len(value) >= 16 and _B64.match(value):
@@ -139,26 +182,33 @@ def decodings(value: str):
             pass
 
 
-def hides_secret(value: str, layer: int = 0) -> bool:
-    """Whether a credential appears once the layers of encoding are taken off."""
-    for data in decodings(value):
-        if len(data) >= 40 and data[0] == 0x30 and der_private(data):
-            return True
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text.isprintable() and not text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
-            continue
-        if _TOKEN.search(text) or _VENDOR.search(text) or _PRIVATE.search(text) or any(good_value(m[2], "pass") for m in _URL.finditer(text)):
-            return True
-        if (m := _BARE.match(text)) and (kind := secret_name(m[1])) and good_value(m[2], kind):
-            return True
-        lines = ["", *text.split("\n"), ""]
-        if any(scan_line(line, lines[k], lines[k + 2], layer + 1) for k, line in enumerate(lines[1:-1])):
-            return True
-        if layer + 1 < MAX_LAYERS and hides_secret(text.strip(), layer + 1):
-            return True
+def hides_secret(value: str) -> bool:
+    """Whether a credential appears once the layers of encoding are taken off.
+
+    What a layer holds is scanned with all the rules, and its own encoded values go onto the stack instead of being judged in place.
+    """
+    todo, seen = [value], {value}
+    while todo:
+        for data in decodings(todo.pop()):
+            if key_container(data):
+                return True
+            try:
+                text = data.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if not text.isprintable() and not text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
+                continue
+            if _TOKEN.search(text) or _VENDOR.search(text) or _PRIVATE.search(text) or any(good_value(m[2], "pass") for m in _URL.finditer(text)):
+                return True
+            if (m := _BARE.match(text)) and (kind := secret_name(m[1])) and good_value(m[2], kind):
+                return True
+            lines, deeper = ["", *text.split("\n"), ""], [text.strip()]
+            if any(scan_line(line, lines[k], lines[k + 2], deeper) for k, line in enumerate(lines[1:-1])):
+                return True
+            for inner in deeper:
+                if len(inner) < len(value) and inner not in seen:
+                    seen.add(inner)
+                    todo.append(inner)
     return False
 
 
@@ -196,14 +246,20 @@ def joined_literals(line: str):
             yield m
 
 
-def scan_line(line: str, before: str = "", after: str = "", layer: int = 0) -> list[tuple[int, int]]:
-    """Start and end of each credential value that begins on the line; layer: how many layers of encoding were taken off it."""
+def scan_line(line: str, before: str = "", after: str = "", deeper: list[str] | None = None) -> list[tuple[int, int]]:
+    """Start and end of each credential value that begins on the line; encoded values are judged, or added to `deeper` if it is given."""
+
+    def hidden(value: str) -> bool:
+        if deeper is None:
+            return hides_secret(value)
+        deeper.append(value)
+        return False
+
     spans: list[tuple[int, int]] = []
+    ends: re.Match | bool | None = True
     for m in _PRIVATE.finditer(line):
-        ends = _PRIVATE_END.search(line, m.end())
-        spans.append((m.start(), ends.end() if ends else len(line)))
-        if not ends:
-            break
+        ends = ends and _PRIVATE_END.search(line, m.end())  # sought in vain once only
+        spans.append((m.start(), ends.end() if ends else _KEY_BODY.match(line, m.end()).end()))
     for m in _TOKEN.finditer(line):
         if not _PLACEHOLDER.match(m[0]) and (re.search(r"\d", m[0]) or m[0][:4] in ("AKIA", "ASIA") and entropy(m[0]) > 2.5):
             spans.append(m.span())
@@ -247,17 +303,16 @@ def scan_line(line: str, before: str = "", after: str = "", layer: int = 0) -> l
             spans.append((m.start() + 1, end - 1))
         elif _FALLBACK.match(turned, left) and random_value(value):
             spans.append((m.start() + 1, end - 1))
-        elif len(value) >= 16 and not value.startswith("data:") and "integrity" not in name.lower() and layer < MAX_LAYERS and hides_secret(value, layer):
+        elif len(value) >= 16 and not value.startswith("data:") and "integrity" not in name.lower() and hidden(value):
             spans.append((m.start() + 1, end - 1))
     comment = line.lstrip()[:1] in ("/", "#", "*", "-", ";", "<")
     if (m := _BARE.match(line)) and (kind := secret_name(m[1]) or ("pass" if comment and m[1].lower() in _NOTED else None)):
         value = m[2]
         if good_value(value, kind) and (kind == "pass" and comment or random_value(value) or re.search(r"\d", value) and not re.search(r"\.[a-z]|->|::", value) and (kind == "pass" or entropy(value) > 3)):
             spans.append(m.span(2))
-        elif len(value) >= 16 and layer < MAX_LAYERS and hides_secret(value, layer):
+        elif len(value) >= 16 and hidden(value):
             spans.append(m.span(2))
-    if layer < MAX_LAYERS:
-        spans += [m.span(1) for m in _UNQUOTED.finditer(line) if hides_secret(m[1], layer)]
+    spans += [m.span(1) for m in _UNQUOTED.finditer(line) if hidden(m[1])]
     return _merged(spans)
 
 
@@ -318,23 +373,52 @@ def find_secrets(df: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataF
     return map_arrow(df.select(F.col(id_col).cast("bigint").alias("row_id"), *names), kernel, "origin string, row_id bigint, line_no bigint")
 
 
+def _key_line(line: str, full: bool, ended: bool) -> tuple[int, int] | None:
+    """Where the body of a private key stands on a line, between quotes, signs and margins; null if the line is something else.
+
+    full: whether the line before was a full line of the body, after which a shorter one may come; ended: whether an end mark follows.
+    """
+    core = line.strip(" \t\r\"'`+,;#*|>\\")
+    if not core or _KEY_HEADER.match(line):
+        return 0, 0
+    a = line.index(core)
+    if not _KEY_LINE.fullmatch(core):
+        return None
+    short = full and (core[-1] == "=" or any(c.isdigit() for c in core) or core.lower() != core != core.upper())
+    return (a, a + len(core)) if ended or len(core) >= 40 or short else None
+
+
 def mask_text(text: str | None) -> str | None:
     if not text:
         return text
-    lines, within = text.split("\n"), False
+    lines, within, full = text.split("\n"), False, False
     found = {line: spans for _, line, spans in find_in_batch(pa.array([text]))}
+    ending, ahead = [False] * len(lines), False  # whether the next mark below a line is that of an end
+    if "PRIVATE KEY" in text:
+        for i in range(len(lines) - 1, -1, -1):
+            ending[i] = ahead
+            ahead = bool(_PRIVATE_END.search(lines[i])) or ahead and not _PRIVATE.search(lines[i])
     for i, line in enumerate(lines):
         if within:
-            ends = _PRIVATE_END.search(line)
-            lines[i] = (MASK if not ends else "") + (line[ends.start() :] if ends else "")
-            within = not ends
-        elif i + 1 in found:
+            if ends := _PRIVATE_END.search(line):
+                lines[i] = re.sub(r"[A-Za-z0-9+/=]{4,}", MASK, line[: ends.start()]) + line[ends.start() :]
+                within = False
+                continue
+            body = _key_line(line, full, ending[i])
+            if body:
+                a, b = body
+                lines[i] = line[:a] + MASK + line[b:] if b > a else line
+                full = b - a >= 40
+                continue
+            within = False
+        if i + 1 in found:
             for a, b in reversed(found[i + 1]):
                 if m := _PRIVATE.match(line[a:b]):
-                    tail = line[a + m.end() :]
+                    tail, rest = line[a + m.end() : b], line[b:]
                     ended = _PRIVATE_END.search(tail)
-                    within = within or not ended
-                    line = line[: a + m.end()] + (re.sub(r"^.*?(?=-----END)", MASK, tail) if ended else MASK if tail.strip() else "")
+                    within = not ended and not rest.strip(" \t\r\"'`+,;\\")
+                    full = True
+                    line = line[: a + m.end()] + (MASK + tail[ended.start() :] if ended and ended.start() else tail if ended else MASK if tail.strip() else tail) + rest
                 else:
                     line = line[:a] + MASK + line[b:]
             lines[i] = line
