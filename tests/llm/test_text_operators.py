@@ -123,6 +123,46 @@ def test_item_blocks_cover_all(spark, monkeypatch):
     i = spark.createDataFrame(items, "item_id bigint, text string")
     d = spark.createDataFrame(items, "doc_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, i).collect()} == {(n, n) for n in range(5)}
+    for name, value in (("BLOCK_CHARS", 100), ("ROUND_CHARS", 300), ("HELD_CHARS", 50)):
+        monkeypatch.setattr(leakage, name, value)
+    df = leakage.find_leaks(d, i)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the rounds before were written
+    assert sorted((r.doc_id, r.item_id) for r in df.collect()) == [(n, n) for n in range(5)]
+
+
+def test_short_items_leak_as_a_whole(spark):
+    items = [(1, "Port 8443 rejects amber lanterns"), (2, "too short to leak"), (3, "朱雀水路第七"), (4, None)]
+    docs = [(1, "Note: port 8443 -- rejects AMBER lanterns! Yes."), (2, "support 8443 rejects amber lanternship"), (3, "too short to leak"), (4, "port 8443 rejects amber"), (5, "我们走朱雀水路第七的门"), (6, "Port 8443 rejects amber lanterns")]
+    i, d = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = leakage.find_leaks(d, i).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1), (6, 1)] and {r.share for r in rows} == {1.0}
+    assert next(docs[0][1][r.doc_start : r.doc_end] for r in rows if r.doc_id == 1) == "port 8443 -- rejects AMBER lanterns"
+    assert sorted((r.doc_id, r.item_id) for r in leakage.find_leaks(d, i, whole=3).collect()) == [(1, 1), (3, 2), (5, 3), (6, 1)]
+
+
+def test_partial_leaks_have_their_share():
+    words = [f"w{n}q" for n in range(40)]
+    (hit,) = leakage.LeakIndex([(1, " ".join(words))], share=0.2).find("before " + " ".join(words[10:22]) + " after")
+    assert hit[0] == 1 and abs(hit[1] - 0.32) < 0.01  # in letters
+    assert not leakage.LeakIndex([(1, " ".join(words))]).find(" ".join(words[10:22]))
+
+
+def test_items_with_a_common_opening():
+    import time
+
+    opening = "You are given the following table of meadow and cedar counts by branch and month"
+    tail = lambda n: " ".join(f"k{n}v{j}" for j in range(30))
+    items = [(n, f"{opening} {tail(n)}") for n in range(3000)]
+    index = leakage.LeakIndex(items)
+    text = f"{opening} nothing else. " * 40 + f"{opening} {tail(7)}"
+    began = time.time()
+    ((item, share, a, z),) = index.find(text)
+    assert time.time() - began < 0.5 and item == 7 and share > 0.99 and text[a:z].endswith(tail(7))
+    # what is common makes up most of each item: it leaks by itself, and all of them are named
+    mostly = leakage.LeakIndex([(n, f"{opening} k{n}") for n in range(100)] + [(500, f"{opening} k1")])
+    assert sorted(i for i, *_ in mostly.find(f"so: {opening}.")) == [*range(100), 500]
+    few = leakage.LeakIndex([(n, f"{opening} {tail(n)}") for n in range(20)])  # too few to be hot: the same results
+    assert [i for i, *_ in few.find(text)] == [7]
 
 
 # --- survivorship ------------------------------------------------------------------------------------------------------------------

@@ -45,6 +45,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Partial leaks too: from a quarter of an item on, with the greatest share that stands in one stretch."""
+    from pyspark.sql import functions as F
+
+    from wfscan.llm.leakage import find_leaks
+
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), share=0.25).groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 4).alias("share"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from wfscan.llm.provenance import classify
