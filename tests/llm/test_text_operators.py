@@ -4,6 +4,7 @@ import re
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -471,9 +472,72 @@ def test_surrogates_keep_kind_distinctness_and_format():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("ab01Z-. ", min_size=4, max_size=8), min_size=2, max_size=40, unique=True))
+@given(st.lists(st.text("abéèñßÉ01Z-. жЖыЫ李王ひカ한", min_size=1, max_size=6), min_size=2, max_size=40, unique=True))
 def test_permutation_is_one_to_one(texts):
-    assert len({personal.permute(t, b"key") for t in texts}) == len(texts)
+    made = [personal.permute(t, b"key") for t in texts]
+    assert len(set(made)) == len(texts) and [personal.permute(m, b"key", back=True) for m in made] == texts
+    for t, m in zip(texts, made, strict=True):
+        assert m != t or not any(map(personal._class_of, t))
+
+
+_MENTIONS = {
+    "name": st.builds(" ".join, st.lists(st.sampled_from(["José", "Jose", "Ruiz", "Ruíz", "Marta", "Anton", "de", "Müller", "Muller", "Žižek", "Анна", "Петров", "王小明", "O'Neil"]) | st.text("abeéàÀBñ", min_size=1, max_size=4), min_size=1, max_size=3)),
+    "email": st.from_regex(r"[a-z.é]{1,4}@[a-z]{1,3}\.(?:com|de)", fullmatch=True),
+    "phone": st.from_regex(r"\+49 [0-9]{2,4}-[0-9]{2}", fullmatch=True),
+    "address": st.from_regex(r"(?:via|rue|calle|[A-Z][a-zü]{1,3})(?: de)? [A-Z][a-z]{1,3} [0-9]{1,2}", fullmatch=True),
+    "id_number": st.from_regex(r"[A-Z]{0,2}[0-9]{1,4}", fullmatch=True),
+}
+
+
+@pytest.mark.parametrize("kind", personal.KINDS)
+def test_surrogates_are_one_to_one_and_can_be_taken_back(kind):
+    @settings(max_examples=60, deadline=None)
+    @given(st.lists(_MENTIONS[kind], min_size=1, max_size=12))
+    def check(texts):
+        texts = [personal.canonical(t) for t in texts]
+        texts += [personal.surrogate(t, kind, b"k") for t in texts]  # surrogates as mentions of the same corpus
+        texts = list(dict.fromkeys(t for t in texts if "_" not in t))
+        made = [personal.surrogate(t, kind, b"k") for t in texts]
+        assert len(set(made)) == len(made)
+        for t, m in zip(texts, made, strict=True):
+            assert m != t and ("_" in m or personal.original(m, kind, b"k") == t)
+
+    check()
+
+
+def test_surrogates_depend_on_nothing_but_the_mention(spark):
+    a = "jane.miller@corp.com"
+    b = personal.surrogate(a, "email", b"k")
+    text = personal.replace(f"Write to {a} or {b} now", b"k")
+    assert b in text and text.count(b) == 1 and personal.replace(f"Write to {a}", b"k") == f"Write to {b}"
+    made = {n: personal.surrogate(n, "name", b"k") for n in ("Jose Ruiz", "José Ruíz", "Jose Ruíz")}
+    assert len({m.split()[1] for m in made.values()}) == 2 and len(set(made.values())) == 3
+    assert personal.surrogate("José Ruíz", "name", b"k") == personal.surrogate("Jose\u0301 Rui\u0301z", "name", b"k")
+    df = spark.createDataFrame([(1, None, f"From {a} to {b}"), (2, "", f"{a}"), (3, "I am José Ruíz.", "I am Jose Ruiz.")], "row_id bigint, title string, doc_text string")
+    assert personal.collisions(df, ("title", "doc_text"), b"k").count() == 0 and personal.collisions(df.limit(0), ("title",), b"k").count() == 0
+    rows = {r.row_id: r for r in personal.surrogate_personal(df, "row_id", ("title", "doc_text"), b"k").collect()}
+    assert rows[2].doc_text == b and rows[3].title != rows[3].doc_text
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("Меня зовут Анна Петрова, помогите.", ["name"]), ("Спросите Иван Сергеевич Козлов завтра", ["name"]), ("大家好，我叫王小明，请帮忙。", ["name"]), ("请联系李娜女士", ["name"]), ("担当の田中太郎と申します。", ["name"]), ("저는 김민수입니다.", ["name"]),
+        ("我的手机 13812345678 谢谢", ["phone"]), ("execution 13812345678 failed", []), ("Тел 8 (912) 345-67-89", ["phone"]), ("我是新手，请多关照", []), ("Добавьте Новый Узел сюда", []), ("金属节点和高级选项", []),
+    ],
+)
+def test_names_and_numbers_of_other_scripts(text, kinds):
+    assert [k for _, _, k in personal.mentions(text)] == kinds
+    assert personal.mentions(personal.replace(text)) == []
+
+
+def test_the_linear_patterns_lose_nothing():
+    names = ("EMAIL", "ADDRESS", "ID_NAMED", "ID_PLAIN", "PHONE", "NAME_GIVEN", "NAME_CONTEXT", "PHONE_LOCAL")
+    texts = ["Calle de la Rosa, 12", "12 Great Oak Street", "5 bis, rue des Érables", "Ulmenstraße 7b", "Viale Łódź 3", "P.O. Box 12", "Mein Name ist Łukasz Żółć", "Señora Ángela Ñuñez", "name: Ömer Şahin", "— Zoé Noël", "a\u00e9b@x.example", "x [at] y [dot] org", "Reisepass: C01X00T47", "078-05-1120", "+49 (0)30 1234567", "1 85 05 78 006 084 36", "13812345678"]
+    for name, tried in zip(names, personal._TRIED, strict=False):
+        for t in texts:
+            flat = personal.flatten(t)[0]
+            assert not getattr(personal, name).search(flat) or pa.compute.match_substring_regex(pa.array([flat]), tried)[0].as_py()
 
 
 def test_personal_tables(spark):

@@ -116,11 +116,29 @@ def p7_placeholders(spark: SparkSession, d: str) -> DataFrame:
     return replace_personal(table(spark, d, "topics_full"), "row_id", ("title", "doc_text"))
 
 
+def _surrogate_key(spark: SparkSession) -> bytes:
+    """The owner's key, from the session's settings; where none is set, one that lives as long as the session."""
+    import secrets
+
+    name = "wfscan.surrogate.key"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, secrets.token_hex(16))
+    return spark.conf.get(name).encode()[:64]
+
+
 @query
 def p7_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    from wfscan.llm.personal import replace_personal
+    from wfscan.llm.personal import surrogate_personal
+
+    return surrogate_personal(table(spark, d, "topics_full"), "row_id", ("title", "doc_text"), _surrogate_key(spark))
+
+
+@query
+def p7_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """No rows unless two different mentions would get the same surrogate."""
+    from wfscan.llm.personal import collisions
 
-    return replace_personal(table(spark, d, "topics_full"), "row_id", ("title", "doc_text"), b"wfscan surrogate key")
+    return collisions(table(spark, d, "topics_full"), ("title", "doc_text"), _surrogate_key(spark))
 
 
 @query
