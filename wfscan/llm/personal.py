@@ -347,10 +347,10 @@ def _given_order(sex: str, key: bytes) -> list[str]:
     return sorted(FEMALE if sex == "f" else MALE, key=lambda n: hashlib.blake2b(n.encode(), key=key, digest_size=8).digest())
 
 
-def _name_word(word: str, first: bool, key: bytes, back: bool) -> str:
+def _name_word(word: str, key: bytes, back: bool) -> str:
     if word in _PARTICLES:
         return word
-    if first and word in _GIVEN:
+    if word in _GIVEN:
         order = _given_order(_GIVEN[word], key)
         return order[(order.index(word) + (-1 if back else 1)) % len(order)]
     return _walk(word, key, lambda w: ((), w in _GIVEN or w in _PARTICLES), back)
@@ -395,7 +395,7 @@ def original(made: str, kind: str, key: bytes) -> str:
 
 def _exchanged(text: str, kind: str, key: bytes, back: bool) -> str:
     if kind == "name":
-        out = " ".join(_name_word(w, i == 0, key, back) for i, w in enumerate(text.split(" ")))
+        out = " ".join(_name_word(w, key, back) for w in text.split(" "))
     else:
         out = _walk(text, key, _STRUCTURES.get(kind, _plain_structure), back)
     if out == text and not back:  # nothing to exchange
