@@ -52,7 +52,7 @@ def test_package_rules_find_what_they_are_for(spark):
         ]
     )
     df = spark.createDataFrame([(1, "p", "f.ts", code, 9), (2, "p", "g.ts", None, 9), (3, "p", "h.ts", "", 9)], "file_id bigint, npm_name string, file string, code string, pos int").drop("pos")
-    hits = package_scan.with_lines(package_scan.find_hits(df))
+    hits = package_scan.find_hits(df)
     got = sorted((r.rule, r.match_lines[0]) for r in hits.collect())
     assert ("EVAL_DYNAMIC", 2) not in got and ("HTTP_PROTO", 7) not in got
     assert {("FS_CHILD_IMPORT", 1), ("EVAL_DYNAMIC", 3), ("PROCESS_ENV", 4), ("EVAL_DYNAMIC", 5), ("HTML_UNSANITIZED", 6), ("HTTP_PROTO", 8), ("SSRF_HOST", 8), ("LOG_SENSITIVE", 9), ("INPUT_SECRET_UNMASKED", 10), ("DESERIALIZE", 12), ("DYNAMIC_REGEX", 12), ("DYNAMIC_IMPORT", 12)} <= set(got)
@@ -62,6 +62,30 @@ def test_package_rules_find_what_they_are_for(spark):
     assert package_scan.find_hits(df.limit(0)).count() == 0
 
 
+def test_scans_are_linear_in_hits_and_carry_no_text(spark):
+    import time
+
+    code = "\n".join(["eval(x); fetch(u);"] * 10_000)
+    df = spark.createDataFrame([(1, "s", "a.js", code)], "file_id int, server_name string, file string, code string")
+    began = time.time()
+    hits = package_scan.find_hits(df.drop("server_name"))
+    assert hits.where("rule = 'EVAL_DYNAMIC'").count() == 10_000 and "code" not in hits.columns
+    assert server_scan.scan_servers(df.drop("file_id")).count() == 20_000
+    assert time.time() - began < 30
+    last = hits.where("rule = 'EXT_HTTP_CALL'").orderBy(F.desc("pos")).first()
+    assert (last.match_lines, last.line_start, last.line_end, last.code_snippet.count("\n")) == ([10_000, 10_000], 9_997, 10_000, 3)
+
+
+def test_findings_end_where_their_span_ends(spark):
+    code = "{ name: 'token',\n  type: 'string'\n}\nconsole.log('x', api_key)\n"
+    df = spark.createDataFrame([("a.ts", code, 7, "x")], "file string, code string, pos_ int, rule_ string")
+    got = {r.rule: r for r in package_scan.find_hits(df).collect()}
+    assert got["INPUT_SECRET_UNMASKED"].match_lines == [1, 3] and got["INPUT_SECRET_UNMASKED"].matched_text == "token"
+    assert got["LOG_SENSITIVE"].match_lines == [4, 5] and got["LOG_SENSITIVE"].pos_ == 7
+    plain = package_scan.find_hits(df.select(F.lit("a.html").alias("file"), F.lit("// eval(x)").alias("code")))
+    assert plain.count() == 1  # only scripts have comments
+
+
 def test_imports_and_dependencies(spark):
     code = "import a from 'ngrok';\nconst b = require('@sentry/node/x');\nimport('axios?x')\nimport 'eslint-http';"
     df = spark.createDataFrame([(1, code)], "file_id int, code string")

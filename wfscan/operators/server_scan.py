@@ -1,15 +1,21 @@
 """Pattern rules over the files of tool servers, with the lines around a hit as context.
 
-One row per hit is made by native expressions; the context is a slice of the file's lines, so no window and no shuffle is needed.
+One Arrow kernel reads a file once and gives small rows: a hit's line, its context and what stands nearby. The text isn't carried on;
+what is nearby is asked once per line and not per hit.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wfscan.functions.text import all_matches, any_match, is_comment_line, line_of, lines_around, truncated
-from wfscan.session import spread
+from wfscan.functions.text import any_match
+from wfscan.session import ship_package, spread
 
 # Rule, family and pattern of the server rules.
 SERVER_RULES = (
@@ -63,35 +69,78 @@ def scannable(path: Column) -> Column:
     )
 
 
-def platform_hints(text: Column) -> Column:
-    t = F.lower(text)
-    pairs = (("container", "docker|container"), ("linux", "linux|systemd"), ("macos", "darwin|launchctl"), ("windows", "powershell|win32"))
-    return F.array_compact(F.array(*[F.when(t.rlike(rx), F.lit(k)) for k, rx in pairs]))
+# What tells of the platform a server runs on.
+PLATFORMS = (("container", "docker|container"), ("linux", "linux|systemd"), ("macos", "darwin|launchctl"), ("windows", "powershell|win32"))
+_COMMENT = re.compile(r"\s*(?://|#|\*|/\*)")
+_HIT = "server string, file string, rule string, family string, line int, pos int, match string, guarded boolean, source_sink_chain boolean, platform_hints string, context string"
+
+
+def _any(patterns: list[str]) -> list[re.Pattern]:
+    return [re.compile(p) for p in patterns]
+
+
+class _Context:
+    """The lines of a file, and what stands around each, found when first asked."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self._asked: dict[tuple[int, int, str], bool] = {}
+
+    def line(self, at: int) -> int:
+        return bisect_right(self.starts, at)
 
+    def around(self, line: int, n: int) -> str:
+        first, last = max(1, line - n), min(len(self.starts), line + n)
+        return self.text[self.starts[first - 1] : self.starts[last] - 1 if last < len(self.starts) else len(self.text)]
 
-def _hits(text: Column, rule: str, family: str, pattern: str) -> Column:
-    return F.transform(all_matches(text, pattern), lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), h["pos"].cast("int").alias("pos"), h["match"].alias("match")))
+    def has(self, line: int, n: int, what: str, patterns: list[re.Pattern]) -> bool:
+        key = (line, n, what)
+        if key not in self._asked:
+            near = self.around(line, n)
+            self._asked[key] = any(p.search(near) for p in patterns)
+        return self._asked[key]
 
 
 def scan_servers(files: DataFrame, server: str = "server_name", file: str = "file", text: str = "code") -> DataFrame:
     """A finding per rule, file and line: its first match, guards and chains nearby, confidence, severity, platform hints."""
-    t = F.col(text)
-    hits = F.array_compact(F.array(*[F.when(t.rlike(rx), _hits(t, rule, family, rx)) for rule, family, rx in SERVER_RULES]))
-    f = spread(files.where(t.isNotNull()).select(server, file, text))
-    h = f.select(F.col(server).alias("server"), F.col(file).alias("file"), t.alias("_t"), F.explode(F.flatten(hits)).alias("h")).select("server", "file", "_t", "h.*")
-    h = h.withColumn("line", line_of(F.col("_t"), F.col("pos")))
-    h = h.where(~is_comment_line(F.get(F.split("_t", "\n", -1), F.col("line") - 1)))
-    near, wide = lines_around(F.col("_t"), F.col("line"), 6, 6), lines_around(F.col("_t"), F.col("line"), 8, 8)
-    h = h.withColumns({"_near": near, "_wide": wide, "context": lines_around(F.col("_t"), F.col("line"), 2, 2)}).drop("_t")
-    skip = F.when(F.col("rule") == "path_traversal", ~(F.col("_near").rlike(FILE_OPERATION) & F.col("_near").rlike(USER_PATH))).when(F.col("rule") == "secret_env_source", ~any_match(F.col("_near"), SINKS)).otherwise(F.lit(False))
-    h = h.where(~skip).withColumn("_n", F.row_number().over(Window.partitionBy("server", "file", "rule", "line").orderBy("pos", "match", "context"))).where("_n = 1")
-    guard = any_match(F.col("_near"), GUARDS)
-    chain = any_match(F.col("_wide"), SOURCES) & any_match(F.col("_wide"), SINKS)
+    ship_package(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = [(rule, family, re.compile(rx)) for rule, family, rx in SERVER_RULES]
+        guards, sources, sinks, operation, user = _any(GUARDS), _any(SOURCES), _any(SINKS), _any([FILE_OPERATION]), _any([USER_PATH])
+        platforms = [(k, _any(["(?i)" + rx])) for k, rx in PLATFORMS]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
+        names = [c.split()[0] for c in _HIT.split(", ")]
+        for b in batches:
+            rows: list[tuple] = []
+            for who, where, code in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                c = _Context(code)
+                for rule, family, rx in rules:
+                    seen = 0
+                    for m in rx.finditer(code):
+                        line = c.line(m.start())
+                        if line == seen:  # the first match of a line counts
+                            continue
+                        if _COMMENT.match(code, c.starts[line - 1], c.starts[line] if line < len(c.starts) else len(code)):
+                            continue
+                        if rule == "path_traversal" and not (c.has(line, 6, "operation", operation) and c.has(line, 6, "user", user)) or rule == "secret_env_source" and not c.has(line, 6, "sinks", sinks):
+                            continue
+                        seen = line
+                        chain = c.has(line, 8, "sources", sources) and c.has(line, 8, "sinks", sinks)
+                        hints = "|".join(k for k, p in platforms if c.has(line, 6, k, p))
+                        rows.append((who, where, rule, family, line, m.start(), m[0][:120], c.has(line, 6, "guards", guards), chain, hints, c.around(line, 2)[:2000]))
+            for k in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 20_000], strict=True), kinds, strict=True)], names)
+
+    h = spread(files.where(F.col(text).isNotNull()).select(server, file, text)).mapInArrow(run, _HIT)
+    # a file that is there more than once counts once
+    h = h.withColumn("_n", F.row_number().over(Window.partitionBy("server", "file", "rule", "line").orderBy("pos", "match", "context"))).where("_n = 1")
     return h.select(
-        "server", "file", "rule", "family", "line", F.substring("match", 1, 120).alias("match"), guard.alias("guarded"), chain.alias("source_sink_chain"),
-        F.when(chain & ~guard, "strong").otherwise("weak").alias("chain_confidence"),
-        F.when(guard, "low").when(F.col("family").isin(*HIGH_FAMILIES), "high").otherwise("medium").alias("severity"),
-        F.array_join(platform_hints(F.col("_near")), "|").alias("platform_hints"), truncated(F.col("context"), 2000, "").alias("context"),
+        "server", "file", "rule", "family", "line", "match", "guarded", "source_sink_chain",
+        F.when(F.col("source_sink_chain") & ~F.col("guarded"), "strong").otherwise("weak").alias("chain_confidence"),
+        F.when(F.col("guarded"), "low").when(F.col("family").isin(*HIGH_FAMILIES), "high").otherwise("medium").alias("severity"),
+        "platform_hints", "context",
     )
 
 

@@ -141,7 +141,7 @@ def _package_files(spark, d):
 @query()
 def package_findings(spark, d):
     """All package rules with comment filter, lines and snippets, repeats removed and enriched."""
-    f = package_scan.with_lines(package_scan.find_hits(_package_files(spark, d)))
+    f = package_scan.find_hits(_package_files(spark, d))
     e = package_scan.enriched(package_scan.distinct_findings(f, ["file_id", "pos"]))
     return package_scan.labelled(e).select("file_id", "npm_name", "file", "rule", "severity", "rule_category", "class_id", "tier", "line_start", "line_end", "matched_text", "evidence_score", "confidence", "label")
 
