@@ -181,7 +181,10 @@ def test_groups_and_survivors(spark):
     got = {tuple(r)[:3] for r in survivorship.duplicate_groups(df).collect()}
     assert got == {(1, 3, 2), (7, 7, None), (9, 9, 9)}
     s = {r.group_id: r for r in survivorship.survivors(df.drop("group_id"), ["version", "description"]).collect()}
-    assert s[1].description == "text" and s[1].version == "1.9.0" and s[7].version is None and s[9].description == "a"
+    assert s[1].description == "text" and s[1].version == "1.9.0" and s[7].version is None
+    assert s[9].description == "b"  # of two records of one source the later, whatever the flag says
+    trusted = spark.createDataFrame([(1, "t/t", "1.0.0", "2025-01-01T00:00:00Z", False, "official_registry", "of the registry"), (2, "t/t", "2.0.0", "2025-02-01T00:00:00Z", True, "npm", "later")], SERVERS)
+    assert survivorship.survivors(trusted, ["version", "description"]).select("version", "description").collect() == [("1.0.0", "of the registry")]
     assert survivorship.duplicate_groups(df.limit(0)).count() == 0
 
 

@@ -183,6 +183,19 @@ SQL["p2_found"] = f"""WITH a AS (SELECT record_id, {_NAME} AS k, coalesce(is_lat
     SELECT min(record_id) AS group_id, min(CASE WHEN n = 1 THEN record_id END) AS record_id, min(CASE WHEN m = 1 AND v IS NOT NULL THEN record_id END) AS version_record_id FROM o GROUP BY k HAVING count(*) >= 2"""
 
 
+# Built records: for each attribute the first value that isn't blank, by trust in the source, time, flag and id.
+_ATTRIBUTES = ("full_name", "name", "description", "version", "status", "url", "clone_url", "repository", "stars")
+_FILLED = {a: f"CASE WHEN lower({{0}}) NOT IN ('', '-', 'n/a', 'na', 'none', 'null', 'unknown', 'latest') THEN {{0}} END".format(rf"trim(regexp_replace(regexp_replace({a}, '\p{{Cf}}', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'), ' ')") for a in _ATTRIBUTES}
+_FILLED["stars"] = "stars"
+_FILLED["version"] = f"CASE WHEN v IS NOT NULL THEN {_FILLED['version']} END"
+_TRUST = "CASE source WHEN 'official_registry' THEN 3 WHEN 'npm' THEN 2 WHEN 'github_topic' THEN 1 ELSE 0 END"
+_PICKED = {a: f"(list({x} ORDER BY p DESC, u DESC NULLS LAST, l DESC, record_id) FILTER (WHERE {x} IS NOT NULL))[1]" for a, x in _FILLED.items()}
+SQL["p2_survivors"] = f"""WITH a AS (SELECT *, {_NAME} AS k, coalesce(is_latest, false) AS l, trim(updated_at, ' ') AS t, regexp_replace(trim(version, ' '), '^[vV]', '') AS w, {_TRUST} AS p FROM mcp_registry_servers),
+    r AS (SELECT *, {_TIME} AS u, {_NUMBER} AS v FROM a WHERE k IS NOT NULL),
+    g AS (SELECT min(record_id) AS group_id, count(*) AS n_records, {", ".join(f"{x} AS {a}" for a, x in _PICKED.items())} FROM r GROUP BY k)
+    SELECT group_id, n_records, {" + ".join(f"CAST({a} IS NOT NULL AS INT)" for a in _ATTRIBUTES)} AS n_filled, {", ".join(_ATTRIBUTES)} FROM g"""
+
+
 def _near(table_name: str, row_id: str, column: str, origin: str) -> str:
     return f"""(WITH w AS (SELECT {row_id} AS id, regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table_name}),
       s AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),

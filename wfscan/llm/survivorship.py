@@ -1,8 +1,10 @@
 """Problem 2: the best representative of each group of duplicate records, built field by field.
 
-One aggregation finds every survivor: for each attribute the maximum of a composite struct (the value isn't blank, rank of the record,
-value). Maxima of structs combine on the map side, so a key with a third of all rows costs one row per map task; nothing is collected
-per group and nothing is sorted.
+One aggregation finds every survivor: for each field the maximum of a composite struct (whether there is a value, priority of the
+source, time, what breaks ties, value). Maxima combine on the map side, so a key with a third of all rows costs one row per map task
+and nothing is collected per group. Structs have no place in a hash aggregation's buffer, so partial maxima are taken over sorted
+runs; one shuffle moves them. What fields a record fills, and which priority it has, are parameters of one operator: whole best
+records (`duplicate_groups`) are the case where the field is the record's id.
 
 Results: rows without a key belong to no group; nulls, blanks and the words for 'none' never win over a value and survive only as
 null; repeated rows change nothing but n_records; ties end at the smaller record_id.
@@ -62,38 +64,44 @@ def version_number(c: Column) -> Column:
     return F.when(ok, padded)
 
 
-def rank_struct(latest: Column, updated: Column, version: Column, record_id: Column) -> Column:
-    """What orders records of a group, greatest first; nulls are least in Spark's struct order."""
-    return F.struct(F.coalesce(latest, F.lit(False)).alias("latest"), updated.alias("updated"), version.alias("number"), (-record_id).alias("minus_id"))
+def survive(df: DataFrame, key: Column, record_id: Column, fields: Mapping[str, Column], priority: Column, time: Column, ties: Sequence[Column] = ()) -> DataFrame:
+    """(group_id, n_records, the fields): one row per key, each field with its best value.
+
+    The best value of a field is that of the record with a value that isn't null, the highest priority, the latest time, the greatest
+    ties in their order (nulls are least throughout) and the smallest id.
+    """
+    kept = {f"_v{i}": c for i, c in enumerate(fields.values())}
+    rank = F.struct(F.coalesce(priority.cast("int"), F.lit(0)).alias("priority"), time.alias("time"), *[t.alias(f"tie{i}") for i, t in enumerate(ties)], (-record_id).alias("minus_id"))
+    r = df.select(key.alias("_k"), record_id.alias("_id"), rank.alias("_rank"), *[c.alias(v) for v, c in kept.items()]).where("_k is not null and _id is not null")
+    best = [F.max(F.struct(F.col(v).isNotNull().alias("there"), F.col("_rank").alias("rank"), F.col(v).alias("value"))).alias(v) for v in kept]
+    g = r.groupBy("_k").agg(F.min("_id").alias("group_id"), F.count("*").alias("n_records"), *best)
+    return g.select("group_id", "n_records", *[F.col(v)["value"].alias(f) for v, f in zip(kept, fields, strict=True)])
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
-    """(group_id, record_id, version_record_id, n_records): one row per key with two or more records."""
-    version = version_number(F.col("version"))
-    r = df.select(name_key(F.col("full_name")).alias("k"), F.col("record_id").cast("bigint").alias("id"), "is_latest", instant(F.col("updated_at")).alias("u"), version.alias("v")).where("k is not null and id is not null")
-    rank = rank_struct(F.col("is_latest"), F.col("u"), F.col("v"), F.col("id"))
-    g = r.groupBy("k").agg(F.min("id").alias("group_id"), F.max(rank).alias("best"), F.max(F.when(F.col("v").isNotNull(), rank)).alias("versioned"), F.count("*").alias("n_records"))
-    return g.where("n_records >= 2").select("group_id", (-F.col("best.minus_id")).alias("record_id"), (-F.col("versioned.minus_id")).alias("version_record_id"), "n_records")
+    """(group_id, record_id, version_record_id, n_records): one row per key with two or more records: the best of them, and the best with a version.
+
+    Priority is the flag of the latest; then come the time of the update and the version number.
+    """
+    id_, version = F.col("record_id").cast("bigint"), version_number(F.col("version"))
+    fields = {"record_id": id_, "version_record_id": F.when(version.isNotNull(), id_)}
+    return survive(df, name_key(F.col("full_name")), id_, fields, F.col("is_latest"), instant(F.col("updated_at")), [version]).where("n_records >= 2").select("group_id", "record_id", "version_record_id", "n_records")
+
+
+def source_priority(source: Column, trust: Mapping[str, int] = SOURCE_TRUST) -> Column:
+    return F.coalesce(*[F.when(source == s, F.lit(t)) for s, t in trust.items()], F.lit(0))
 
 
 def survivors(df: DataFrame, attributes: Sequence[str], trust: Mapping[str, int] = SOURCE_TRUST) -> DataFrame:
-    """One built record per key: each attribute takes the best value that isn't blank, by flag, trust in the source, time and id.
+    """One built record per key: each attribute takes the best value that isn't blank, by trust in the source, time, flag and id.
 
     Columns: group_id, n_records, n_filled and the attributes. Keys with one record give that record, cleaned.
     """
-    trusted = F.coalesce(*[F.when(F.col("source") == s, F.lit(t)) for s, t in trust.items()], F.lit(0))
     kinds = dict(df.dtypes)
-    values = {}
+    fields = {}
     for a in attributes:
         v = clean(F.col(a)) if kinds[a] == "string" else F.when(F.size(a) > 0, F.array_join(F.array_sort(a), ",")) if kinds[a].startswith("array") else F.col(a)
-        values[a] = F.when(version_number(F.col(a)).isNotNull(), v) if a == "version" else v
-    r = df.select(
-        name_key(F.col("full_name")).alias("_k"),
-        F.col("record_id").cast("bigint").alias("_id"),
-        F.struct(F.coalesce(F.col("is_latest"), F.lit(False)).alias("latest"), trusted.alias("trust"), instant(F.col("updated_at")).alias("updated"), (-F.col("record_id").cast("bigint")).alias("minus_id")).alias("_rank"),
-        *[v.alias(a) for a, v in values.items()],
-    ).where("_k is not null and _id is not null")
-    best = [F.max(F.struct(F.col(a).isNotNull().alias("there"), F.col("_rank").alias("rank"), F.col(a).alias("value")))["value"].alias(a) for a in attributes]
-    g = r.groupBy("_k").agg(F.min("_id").alias("group_id"), F.count("*").alias("n_records"), *best)
+        fields[a] = F.when(version_number(F.col(a)).isNotNull(), v) if a == "version" else v
+    g = survive(df, name_key(F.col("full_name")), F.col("record_id").cast("bigint"), fields, source_priority(F.col("source"), trust), instant(F.col("updated_at")), [F.coalesce(F.col("is_latest"), F.lit(False))])
     filled = sum((F.col(a).isNotNull().cast("int") for a in attributes), F.lit(0))
     return g.select("group_id", "n_records", filled.alias("n_filled"), *attributes)
