@@ -251,6 +251,61 @@ def test_large_classes_give_membership(spark, monkeypatch):
     assert set(g.values()) == {0} and len(g) == 8
 
 
+def edited(seed, n=90, words=120):
+    """Long texts in families of small edits, families in larger kinships."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = rng.choice(rows)[1].split() if rows and rng.random() < 0.85 else [f"w{rng.randrange(400)}" for _ in range(words)]
+        for _ in range(rng.choice([0, 1, 1, 1, 2, 6, 12])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.6), (2, 0.8), (3, 0.7), (4, 0.97), (5, 0.5)])
+def test_answers_carried_from_leaders_equal_brute_force(spark, seed, threshold):
+    rows = edited(seed)
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    sets = near_duplicates.build_sets(df, "id", "t", 3)
+    followers = near_duplicates.followers_of(sets).collect()
+    assert len(followers) >= 5  # the case at hand is there
+    token_sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    for f in followers:
+        a, b = token_sets[f.id], token_sets[f.leader]
+        assert (f.plus, f.minus) == (len(a - b), len(b - a)) and len(a ^ b) <= near_duplicates.FAMILY * len(a | b)
+    got = [tuple(r) for r in near_duplicates.near_pairs(df, "id", "t", threshold, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, threshold, 3)
+
+
+def test_only_copies_word_for_word_are_shortened(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "EXPAND", 3)
+    text = "one two three one two three one two three"
+    rows = [(i, text) for i in range(6)] + [(i, text.upper() + "!") for i in range(6, 8)]  # the same words: copies
+    rows += [(10, text + " one two three"), (11, text + " one two"), (12, text + " one")]  # the same sets, other texts
+    rows += [(20, text + " four"), (21, text + " four")]
+    got = {tuple(r) for r in near_duplicates.near_pairs(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", 0.6, 3).collect()}
+    every = brute_pairs(rows, 0.6, 3)
+    copies = set(range(1, 8))
+    assert got == {p for p in every if not copies & set(p)} | {(0, i) for i in copies}
+
+
+def test_repeated_ids_are_one_row(spark):
+    rows = variants(6, 40)
+    df = spark.createDataFrame(rows + rows[:10], "id bigint, t string")
+    got = [tuple(r) for r in near_duplicates.near_pairs(df, "id", "t", 0.6, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 0.6, 3)
+
+
+def test_lists_are_streamed_whole():
+    import numpy as np
+
+    token = np.repeat(np.arange(50), 7)
+    batches = [pa.RecordBatch.from_arrays([pa.array(token[i : i + 5]), pa.array(token[i : i + 5] * 0)], ["token", "cell"]) for i in range(0, len(token), 5)]
+    parts = [p[0] for p in near_duplicates._whole_lists(iter(batches), 20)]
+    assert len(parts) > 5 and np.concatenate(parts).tolist() == token.tolist() and all(a[-1] < b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_groups_of_chains_and_empty_tables(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.id: r.label for r in near_duplicates.connected(links).collect()}

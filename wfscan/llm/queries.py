@@ -197,10 +197,12 @@ SQL["p2_survivors"] = f"""WITH a AS (SELECT *, {_NAME} AS k, coalesce(is_latest,
 
 
 def _near(table_name: str, row_id: str, column: str, origin: str) -> str:
-    return f"""(WITH w AS (SELECT {row_id} AS id, regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table_name}),
-      s AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+    return f"""(WITH v AS (SELECT {row_id} AS id, regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table_name}),
+      u AS (SELECT id, ws, count(*) OVER (PARTITION BY ws) AS copies, min(id) OVER (PARTITION BY ws) AS first FROM v WHERE len(ws) >= 3), w AS (SELECT id, ws FROM u WHERE copies <= 256 OR id = first),
+      s AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
       n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS o FROM s x JOIN s y ON x.sh = y.sh AND x.id < y.id GROUP BY ALL)
-      SELECT '{origin}' AS origin, id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE o >= 0.6 * (a.n + b.n - o) - 1e-9)"""
+      SELECT '{origin}' AS origin, id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE o >= 0.6 * (a.n + b.n - o) - 1e-9
+      UNION ALL SELECT '{origin}', first, id FROM u WHERE copies > 256 AND id <> first)"""
 
 
 SQL["p3_found"] = _near("template_records", "rec_id", "prompt_text", "prompt_text") + " UNION ALL " + _near("scan_findings", "finding_id", "code_snippet", "code_snippet")
