@@ -374,15 +374,21 @@ def followers_of(firsts: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("id", "leader", "tokens", "led"), kernel, "id bigint, leader bigint, n int, plus int, minus int")
 
 
-def set_links(firsts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of different sets at least `threshold` alike. Leaders are joined; their answers are carried on to followers."""
+def set_links(sets: DataFrame, dropped: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of different sets at least `threshold` alike. Leaders are joined; their answers are carried on to followers.
+
+    `dropped` (id) are the rows that others of the same set stand for.
+    """
+    firsts = sets.join(_bounded(dropped, dropped.count()), "id", "left_anti")
     followers = checkpoint(followers_of(firsts))
     count = followers.count()
     if not count:
         base = firsts.withColumn("slack", F.lit(0))
         return overlaps(candidate_pairs(index_entries(base, threshold), threshold), base, threshold).select("a", "b")
-    leaders = checkpoint(followers.select(F.col("leader").alias("id"), F.lit(1).alias("slack")).distinct())
-    base = firsts.join(_bounded(followers.select("id"), count), "id", "left_anti").join(_bounded(leaders, count), "id", "left").withColumn("slack", F.coalesce("slack", F.lit(0)))
+    # one small table says of each row whether it is left out or leads
+    roles = dropped.select("id", F.lit(None).cast("int").alias("slack")).unionByName(followers.select("id", F.lit(None).cast("int").alias("slack"))).unionByName(followers.select(F.col("leader").alias("id"), F.lit(1).alias("slack")).distinct())
+    roles = checkpoint(roles.withColumn("known", F.lit(True)))
+    base = sets.join(_bounded(roles, roles.count()), "id", "left").where("known is null or slack is not null").withColumn("slack", F.coalesce("slack", F.lit(0))).drop("known")
     found = checkpoint(overlaps(candidate_pairs(index_entries(base, threshold, FAMILY), threshold, FAMILY), base, threshold, FAMILY))
     # members of a family: the leader itself without a difference, and its followers
     led = base.where("slack = 1").select(F.col("id").alias("leader"), "id", "n", F.lit(0).alias("plus"), F.lit(0).alias("minus")).unionByName(followers.select("leader", "id", "n", "plus", "minus"))
@@ -398,7 +404,7 @@ def set_links(firsts: DataFrame, threshold: float) -> DataFrame:
     open_ = F.least(F.col("o") + F.col("pa") + F.col("pb"), "ma", "mb") >= need
     pair = (F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
     told = checkpoint(every.where(open_).select(*pair, sure.alias("sure")))
-    compared = overlaps(told.where("not sure").select("a", "b"), firsts.withColumn("slack", F.lit(0)), threshold)
+    compared = overlaps(told.where("not sure").select("a", "b"), sets.withColumn("slack", F.lit(0)), threshold)
     return told.where("sure").select("a", "b").unionByName(compared.select("a", "b"))
 
 
@@ -413,8 +419,8 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float,
     members = checkpoint(sets.select("id", "s1", "s2", "n", "t1", "t2").distinct().join(classes, ["s1", "s2", "n"]).select("rep", "id", "m", "t1", "t2"))
     many = members.where(F.col("m") > EXPAND).groupBy("t1", "t2").agg(F.min("id").alias("first"), F.count("*").alias("c")).where(F.col("c") > EXPAND).select("t1", "t2", "first")
     copies = checkpoint(members.where(F.col("m") > EXPAND).join(many, ["t1", "t2"]).where("id <> first").select("first", "id"))
-    firsts = sets.select("id", "n", "family", "tokens").join(_bounded(members.where("id <> rep").select("id"), members.count()), "id", "left_anti")
-    return members.select("rep", "id", "m"), checkpoint(set_links(firsts, threshold)), copies
+    links = set_links(sets.select("id", "n", "family", "tokens"), members.where("id <> rep").select("id"), threshold)
+    return members.select("rep", "id", "m"), checkpoint(links), copies
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
