@@ -494,6 +494,31 @@ def test_keys_without_an_end_leave_the_code_alone():
     assert body not in masked and masked.endswith("-----END PRIVATE KEY-----';\ngo(k)") and masked.count("'") == 6
 
 
+COMMENTS = {
+    "a.html": "<p>x</p><!-- the tool server waits here -->", "q.sql": "select 1 -- the tool server waits here\nfrom t", "m.lua": "x = 1 --[[ the tool server waits here ]] y = 2", "h.hs": "f x = x {- the tool server waits here -}", "c.ini": "; the tool server waits here\na=1",
+    "e.lisp": "(f) ;; the tool server waits here", "t.tex": "\\a % the tool server waits here", "o.ml": "let x = (* the tool server waits here *) 1", "b.bat": "@echo off\nrem the tool server waits here", "Dockerfile": "FROM x\n# the tool server waits here", "d.ts": "/* the tool server waits here */", "e.py": "'''the tool server waits here'''",
+}
+
+
+@pytest.mark.parametrize("name", COMMENTS)
+def test_comment_forms_of_many_languages(name):
+    code = COMMENTS[name]
+    ((a, z, inside),) = hidden_text.spans(code, f"src/{name}")
+    assert hidden_text.natural_text(inside) == "the tool server waits here" and "the tool server waits here" in code[a:z]
+
+
+@pytest.mark.parametrize("code", ["<!-- the tool server waits here -->", "select 1 -- the tool server waits here"])
+def test_comment_forms_without_a_name(code):
+    assert [hidden_text.natural_text(i) for _, _, i in hidden_text.spans(code, None)] == ["the tool server waits here"]
+    assert hidden_text.spans("while (i --> 0) x--; y = a --b;", None) == []
+
+
+def test_short_remarks_by_parameter():
+    for t in ("Bonjour mes amis", "проверка входных данных"):
+        assert hidden_text.natural_text(t) is None and hidden_text.natural_text(t, 3) == t
+    assert hidden_text.natural_text("检查输入", 2, 4) == "检查输入" and hidden_text.natural_text("检查输入") is None
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------------------
 
 
@@ -683,6 +708,8 @@ def test_spans_and_tables(spark, labelled_documents):
     finds = spark.createDataFrame([(7, "El agente de chat necesita un permiso nuevo desde el cambio"), (8, None), (9, "taskScorePlan")], "finding_id bigint, matched_text string")
     got = {tuple(r) for r in hidden_text.text_languages(files, finds, labelled_documents).collect()}
     assert {("file", 1, "en"), ("file", 1, "pt"), ("file", 4, "en"), ("finding", 7, "es")} == got
+    short = hidden_text.text_shares(files, finds, labelled_documents)
+    assert {r.origin for r in short.collect()} == {"file", "finding"} and short.where("share > 2 or share <= 0").count() == 0
     s = hidden_text.file_shares(files, labelled_documents)
     assert all(0 < r.share <= 1.0001 * 2 for r in s.collect())
     assert hidden_text.text_languages(files.limit(0), finds.limit(0), labelled_documents.limit(0)).count() == 0

@@ -1,14 +1,14 @@
 """Problem 1: natural language inside source code - comments and string literals, their languages and their share of a file.
 
 A lexer that knows the comment and string forms of each kind of file yields spans; wrapped line comments are one span. What is left
-of a span without marks, tags, placeholders and identifiers must have MIN_WORDS words, or MIN_CHARS characters in a script without
-spaces. Its language is the one whose model compresses it best: prediction by partial matching, a context tree per language with the
-longest known context first and escapes to shorter ones. Languages of other scripts aren't asked. A span above MAX_BITS a character
-under every model is undetermined and gives no case.
+of a span without marks, tags, placeholders and identifiers must have `words` words, or `chars` characters in a script without spaces
+(both parameters; the cases of p1_found are defined by four and eight). Its language is the one whose model compresses it best:
+prediction by partial matching, a context tree per language with the longest known context first and escapes to shorter ones.
+Languages of other scripts aren't asked. A span above MAX_BITS a character under every model is undetermined and gives no case.
 
-The models are trained on the labelled rows of a documents table: at most SAMPLE_ROWS rows and SAMPLE_CHARS characters a language,
-the documented bound of the sample; rows are taken by the hash of their id. Labels in any notation count by their first two letters;
-rows whose script contradicts the label are left out. All files are scanned whole, map-only.
+The models are trained on labelled rows of a documents table, a bounded sample whose bounds are parameters: at most SAMPLE_ROWS rows a
+language, SAMPLE_TEXT characters of each, SAMPLE_CHARS in all; rows are taken by the hash of their id. Labels in any notation count by
+their first two letters; rows whose script contradicts the label are left out. All files are scanned whole, map-only.
 
 Results: null and empty texts give nothing; a text without delimiters is itself a span, since only the inside may have been kept.
 """
@@ -31,14 +31,28 @@ from wfscan.llm.common import cached, map_arrow
 
 MIN_WORDS, MIN_CHARS = 4, 8
 ORDER = 4
-SAMPLE_ROWS, SAMPLE_CHARS = 120, 60_000
+SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 120, 2000, 60_000
 MAX_BITS, MAX_BITS_WIDE = 4.5, 9.0  # the second for scripts of thousands of signs
 
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
-_C_LIKE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|" + _STRING, re.S)
-_HASH = re.compile(r"#[^\n]*|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|" + _STRING, re.S)
-_ANY = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![^\s;{}])#[^\n]*|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|" + _STRING, re.S)
-_HASH_FILES = (".py", ".pyi", ".rb", ".sh", ".env", ".local", ".yml", ".yaml", ".conf", ".cfg", ".ini", ".toml", ".properties", ".r", ".pl")
+_MARKUP = r"<!--.*?(?:-->|\Z)"
+_TRIPLE = r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''"
+_C_LIKE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|" + _MARKUP + "|" + _STRING, re.S)
+_HASH = re.compile(r"#[^\n]*|" + _TRIPLE + "|" + _STRING, re.S)
+_ANY = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![^\s;{}])#[^\n]*|(?<![^\s;])--(?=[ \t]+[^\W\d_])[^\n]*|" + _MARKUP + "|" + _TRIPLE + "|" + _STRING, re.S)
+# Comment forms of other languages, and the files that have them.
+_FORMS = (
+    (_HASH, (".py", ".pyi", ".rb", ".sh", ".bash", ".zsh", ".env", ".local", ".yml", ".yaml", ".conf", ".cfg", ".toml", ".properties", ".r", ".pl", ".tf", ".ps1", ".jl", ".ex", ".exs", ".mk", "dockerfile", "makefile", "gemfile", "rakefile", ".gitignore", ".dockerignore")),
+    (re.compile(r"--\[\[.*?(?:\]\]|\Z)|\{-.*?(?:-\}|\Z)|/\*.*?(?:\*/|\Z)|--[^\n]*|" + _STRING, re.S), (".sql", ".lua", ".hs", ".elm", ".ads", ".adb", ".vhd", ".vhdl", ".applescript")),
+    (re.compile(r"[;#][^\n]*|" + _STRING, re.S), (".ini", ".inf", ".reg")),
+    (re.compile(r";[^\n]*|\"(?:[^\"\\]|\\.)*\"", re.S), (".lisp", ".lsp", ".cl", ".el", ".clj", ".cljs", ".scm", ".rkt", ".asm")),
+    (re.compile(r"%[^\n]*|\"(?:[^\"\\\n]|\\.)*\"", re.S), (".tex", ".sty", ".erl", ".hrl")),
+    (re.compile(r"\(\*.*?(?:\*\)|\Z)|//[^\n]*|" + _STRING, re.S), (".ml", ".mli", ".fs", ".fsx", ".pas", ".sml")),
+    (re.compile(r"(?im)^[ \t]*(?:rem\b|::)[^\n]*|\"[^\"\n]*\""), (".bat", ".cmd")),
+    (re.compile(r"<!--.*?(?:-->|\Z)|" + _STRING, re.S), (".html", ".htm", ".xml", ".svg", ".xhtml", ".md", ".markdown")),
+)
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ("--[[", "]]"), ("{-", "-}"), ("(*", "*)"))
+_LINE_MARK = re.compile(r"\s*(?:rem\b|::|//+|#+|--+|;+|%+)", re.I)
 _ESCAPE = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrtbfv0'\"`\\/])")
 _TAGS = re.compile(r"\$?\{[^{}]*\}|%[sdif]|<[^<>]{1,80}>|&#?\w{1,8};|@(?:param|returns?|type|throws|see|link|typedef|property)[^\n]*|:(?:param|returns?|type|rtype|raises)[^\n]*|https?://\S+|(?<!\w)\w{1,64}@[\w.]+")
 _MARGIN = re.compile(r"(?m)^[ \t]*(?:\*+|//+|#+)[ \t]?")
@@ -74,18 +88,27 @@ def _unescape(m: re.Match) -> str:
     return {"n": "\n", "r": " ", "t": " ", "b": " ", "f": " ", "v": " ", "0": " "}.get(m[4], m[4])
 
 
-def spans(text: str, name: str | None) -> list[tuple[int, int, str]]:
+def lexer_of(name: str | None) -> re.Pattern:
+    """The comment and string forms of a file by its name; those of scripts where the name tells nothing, all common ones without a name."""
+    if not name:
+        return _ANY
+    low = name.lower()
+    return next((rx for rx, ends in _FORMS if low.endswith(ends)), _C_LIKE)
+
+
+def spans(text: str, name: str | None, chars: int = MIN_CHARS) -> list[tuple[int, int, str]]:
     """(start, end, inside) of each comment and string literal; line comments on successive lines are joined."""
-    low = (name or "").lower()
-    rx = _HASH if low.endswith(_HASH_FILES) else _C_LIKE if low else _ANY
     out: list[tuple[int, int, str]] = []
     joined, run = -1, []
-    for m in rx.finditer(text):
+    for m in lexer_of(name).finditer(text):
         a, b = m.span()
         t = m[0]
-        mark = t[:2]
-        if mark == "//" or mark[0] == "#":
-            body = t.lstrip("/#! \t") if mark[0] == "#" else t[2:]
+        block = next(((x, y) for x, y in _BLOCKS if t.startswith(x)), None)
+        if block:
+            inside = t[len(block[0]) : -len(block[1])] if t.endswith(block[1]) and len(t) >= len(block[0]) + len(block[1]) else t[len(block[0]) :]
+        elif t[0] not in "\"'`":
+            mark = t[:2]
+            body = t.lstrip("/#! \t") if mark[0] == "#" else t[2:] if mark == "//" else t[_LINE_MARK.match(t).end() :]
             if _CODE_LINE.search(body):
                 continue
             if run and not text[joined:a].strip() and text.count("\n", joined, a) <= 1 and not text[text.rfind("\n", 0, a) + 1 : a].strip():
@@ -96,34 +119,32 @@ def spans(text: str, name: str | None) -> list[tuple[int, int, str]]:
                     out.append(tuple(run))
                 run, joined = [a, b, body], b
             continue
-        if mark == "/*":
-            inside = t[2:-2] if t.endswith("*/") else t[2:]
         elif t[:3] in ('"""', "'''") and len(t) >= 6:
             inside = t[3:-3]
         else:
             inside = t[1:-1]
-        if len(inside) >= MIN_CHARS and (" " in inside or not inside.isascii() or "\\u" in inside):
+        if len(inside) >= chars and (" " in inside or not inside.isascii() or "\\u" in inside):
             out.append((a, b, inside))
     if run:
         out.append(tuple(run))
     return out
 
 
-def natural_text(inside: str) -> str | None:
+def natural_text(inside: str, words: int = MIN_WORDS, chars: int = MIN_CHARS) -> str | None:
     """The span as plain text, or null if it is too short or not made of words."""
-    if len(inside) < MIN_CHARS:
+    if len(inside) < chars:
         return None
     t = _ESCAPE.sub(_unescape, inside) if "\\" in inside else inside
     t = _TAGS.sub(" ", _MARGIN.sub("", t)).strip()
-    if len(t) < MIN_CHARS or _SQL.match(t):
+    if len(t) < chars or _SQL.match(t):
         return None
     unspaced = len(_UNSPACED.findall(t)) if not t.isascii() else 0
-    if unspaced >= MIN_CHARS:
+    if unspaced >= chars:
         return t
     tokens = t.split()
-    words = [m[1] for x in tokens if (m := _WORD.match(x)) and not _CAMEL.search(m[1])]
-    real = [w for w in words if len(w) > 1 or w.lower() in "aieoyàéвскуяио"]
-    if len(words) < MIN_WORDS or len(real) < 0.5 * len(tokens):
+    found = [m[1] for x in tokens if (m := _WORD.match(x)) and not _CAMEL.search(m[1])]
+    real = [w for w in found if len(w) > 1 or w.lower() in "aieoyàéвскуяио"]
+    if len(found) < words or len(real) < 0.5 * len(tokens):
         return None
     return t
 
@@ -213,23 +234,25 @@ class LanguageModels:
         return (self.languages[best] if cost[best] <= most else None), float(cost[best])
 
 
-def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """The bounded sample of labelled rows by language; at most `rows` texts of a language, picked by the hash of their id."""
+def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, text: int = SAMPLE_TEXT) -> dict[str, list[str]]:
+    """The bounded sample of labelled rows by language: at most `rows` texts of a language, `text` characters of each and `chars` in all.
+
+    Labels are two letters, so there are at most 676 of them, and what is collected is bounded by that times `chars`.
+    """
     lang = F.lower(F.substring(F.trim("lang"), 1, 2))
     w = Window.partitionBy("l").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = (
         docs.where(F.length("text") >= 40)
-        .select("doc_id", lang.alias("l"), F.substring("text", 1, 2000).alias("t"))
+        .select("doc_id", lang.alias("l"), F.substring("text", 1, text).alias("t"))
         .where(F.col("l").rlike("^[a-z]{2}$") & ~F.col("l").isin("un", "xx", "zx"))
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= rows)
+        .withColumn("before", F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("n")) - F.length("t"))
+        .where(F.col("before") < chars)
     )
     out: dict[str, list[str]] = defaultdict(list)
-    size: Counter = Counter()
-    for r in sample.select("l", "t").limit(rows * 200).collect():
-        if size[r.l] < chars:
-            out[r.l].append(r.t)
-            size[r.l] += len(r.t)
+    for r in sample.select("l", "t").collect():
+        out[r.l].append(r.t)
     # a label's script is that of most of its rows; paragraphs in another script or a lone wrong label teach nothing
     clean = {}
     for lang_, texts in out.items():
@@ -254,7 +277,7 @@ def _models(docs: DataFrame) -> tuple[str, object]:
 SPANS = "row_id bigint, span_start bigint, span_len bigint, lang string, text string, n_chars bigint"
 
 
-def find_text(df: DataFrame, id_col: str, text_col: str, name_col: str | None, models: tuple[str, object]) -> DataFrame:
+def find_text(df: DataFrame, id_col: str, text_col: str, name_col: str | None, models: tuple[str, object], words: int = MIN_WORDS, chars: int = MIN_CHARS) -> DataFrame:
     """(row_id, span_start, span_len, lang, text, n_chars): each span that is natural language; lang is null if undetermined."""
     key, held = models
     name = F.col(name_col) if name_col else F.lit(None).cast("string")
@@ -267,15 +290,15 @@ def find_text(df: DataFrame, id_col: str, text_col: str, name_col: str | None, m
             if not text:
                 continue
             found = False
-            for a, z, inside in spans(text, file):
-                t = natural_text(inside)
+            for a, z, inside in spans(text, file, chars):
+                t = natural_text(inside, words, chars)
                 if t is None:
                     continue
                 found = True
                 if t not in known:
                     known[t] = m.identify(t)[0]
                 out.append((i, a, z - a, known[t], t, len(text)))
-            if not found and file is None and (t := natural_text(text)) is not None:
+            if not found and file is None and (t := natural_text(text, words, chars)) is not None:
                 out.append((i, 0, len(text), m.identify(t)[0], t, len(text)))
         cols = list(zip(*out, strict=True)) or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -286,14 +309,26 @@ def find_text(df: DataFrame, id_col: str, text_col: str, name_col: str | None, m
 
 def text_languages(files: DataFrame, findings: DataFrame, docs: DataFrame) -> DataFrame:
     """(origin, row_id, lang): the languages that occur in each file and in each finding."""
+    return texts(files, findings, docs).where("lang is not null").select("origin", "row_id", "lang").distinct()
+
+
+def texts(files: DataFrame, findings: DataFrame, docs: DataFrame, words: int = MIN_WORDS, chars: int = MIN_CHARS) -> DataFrame:
+    """(origin, row_id, span_start, span_len, lang, text, n_chars): each text in a file or a finding, with its language."""
     models = _models(docs)
-    a = find_text(files, "file_id", "code", "file_path", models).select(F.lit("file").alias("origin"), "row_id", "lang")
-    b = find_text(findings, "finding_id", "matched_text", None, models).select(F.lit("finding").alias("origin"), "row_id", "lang")
-    return a.unionByName(b).where("lang is not null").distinct()
+    a = find_text(files, "file_id", "code", "file_path", models, words, chars).select(F.lit("file").alias("origin"), "*")
+    return a.unionByName(find_text(findings, "finding_id", "matched_text", None, models, words, chars).select(F.lit("finding").alias("origin"), "*"))
 
 
-def file_shares(files: DataFrame, docs: DataFrame) -> DataFrame:
+def _shares(found: DataFrame, *key: str) -> DataFrame:
+    g = found.groupBy(*key, F.coalesce("lang", F.lit("und")).alias("lang")).agg(F.count("*").alias("n_spans"), F.sum("span_len").alias("chars"), F.max("n_chars").alias("n"))
+    return g.select(*key, "lang", "n_spans", "chars", (F.col("chars") / F.col("n")).alias("share"))
+
+
+def file_shares(files: DataFrame, docs: DataFrame, words: int = MIN_WORDS, chars: int = MIN_CHARS) -> DataFrame:
     """(row_id, lang, n_spans, chars, share): the part of each file's characters that each language takes; 'und' is undetermined."""
-    s = find_text(files, "file_id", "code", "file_path", _models(docs))
-    g = s.groupBy("row_id", F.coalesce("lang", F.lit("und")).alias("lang")).agg(F.count("*").alias("n_spans"), F.sum("span_len").alias("chars"), F.max("n_chars").alias("n"))
-    return g.select("row_id", "lang", "n_spans", "chars", (F.col("chars") / F.col("n")).alias("share"))
+    return _shares(find_text(files, "file_id", "code", "file_path", _models(docs), words, chars), "row_id")
+
+
+def text_shares(files: DataFrame, findings: DataFrame, docs: DataFrame, words: int = 2, chars: int = 4) -> DataFrame:
+    """(origin, row_id, lang, n_spans, chars, share) of files and findings; short remarks count: two words, or four characters without spaces."""
+    return _shares(texts(files, findings, docs, words, chars), "origin", "row_id")

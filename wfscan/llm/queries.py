@@ -97,9 +97,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
-    from wfscan.llm.hidden_text import file_shares
+    from wfscan.llm.hidden_text import text_shares
 
-    return file_shares(table(spark, d, "source_files"), table(spark, d, "documents"))
+    return text_shares(table(spark, d, "source_files"), table(spark, d, "scan_findings"), table(spark, d, "documents"))
+
+
+@query
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    from wfscan.llm.hidden_text import texts
+
+    return texts(table(spark, d, "source_files"), table(spark, d, "scan_findings"), table(spark, d, "documents")).drop("n_chars")
 
 
 @query
