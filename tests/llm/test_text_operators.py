@@ -681,6 +681,22 @@ def test_deep_trees(spark):
     assert got == {i for i, _, _, path, _ in rows if path.startswith("same")}  # the first two differ in sub/g.py alone
 
 
+def test_small_shared_files_count_by_parameter(spark):
+    rows = [(i, f"o{i % 2}/s", "root", f"x{i}.js", "let a = 1;") for i in range(6)]
+    df = spark.createDataFrame(rows, "file_id bigint, server_name string, code_path string, file string, code string")
+    assert provenance.classify(df).count() == 0 and provenance.classify(df, chars=1).count() == 6
+
+
+def test_common_edges_are_shares_of_all_documents(spark):
+    rows = [(i, "npm installs the Tool here.\n\nPlain Block.") for i in range(5)] + [(9, "once a Word.\n\nnpm again Here"), (10, None), (11, "")]
+    rows += [(20 + i, "ระบบทำงานครับ\n\nส่งข้อมูลแล้วครับ") for i in range(3)] + [(30, "ລະບົບເຮັດວຽກ\n\nລະບົບເຮັດວຽກ\n\nລະບົບເຮັດວຽກ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    starters, ends = sentences.corpus_edges(df, "text")
+    assert starters == {"npm"} and ends == {"รับ", "ວຽກ"}  # each script by its own blocks
+    assert sentences.corpus_edges(df.limit(0), "text") == (frozenset(), frozenset())
+    assert len(sentences.sample_texts(df, "doc_id", "text", 2)) == 5  # two texts of Latin and of Thai, one of Lao
+
+
 # --- hidden text -------------------------------------------------------------------------------------------------------------------
 
 

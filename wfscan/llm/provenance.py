@@ -8,8 +8,8 @@ and never collected. Files and subtrees that occur under two unrelated owners ar
 and hashes move.
 
 Results: null and empty contents have no content class but may be vendored by their path; a null path has no directory; repeated
-rows are judged alike; null server names count as one owner. Contents of under MIN_CHARS letters aren't shared evidence by
-themselves, only as part of a shared subtree.
+rows are judged alike; null server names count as one owner. Two parameters say from which size on sameness is evidence of copying
+rather than chance: `chars` for a single file, `tree_chars` for a subtree of two files or more; with 1 all shared content counts.
 """
 
 from __future__ import annotations
@@ -176,12 +176,12 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("hash", "chars").agg(F.min("owner").alias("a"), F.max("owner").alias("z")).where("a <> z").select("hash", "chars")
 
 
-def classify(df: DataFrame) -> DataFrame:
+def classify(df: DataFrame, chars: int = MIN_CHARS, tree_chars: int = MIN_TREE_CHARS) -> DataFrame:
     """(file_id, found): generated, minified, data or vendored for each file that isn't hand-written source."""
     facts = checkpoint(file_facts(df))
-    shared_files = _shared(facts.where(F.col("chars") >= MIN_CHARS))
+    shared_files = _shared(facts.where(F.col("chars") >= chars))  # a row per content, so a hot content is split on the other side alone
     by_file = facts.where(F.col("found").isNull()).join(shared_files, ["hash", "chars"], "left_semi").select("file_id", F.lit("vendored").alias("found"))
-    trees = merkle_directories(facts).where((F.col("files") >= 2) & (F.col("chars") >= MIN_TREE_CHARS))
+    trees = merkle_directories(facts).where((F.col("files") >= 2) & (F.col("chars") >= tree_chars))
     shared_trees = trees.join(_shared(trees), ["hash", "chars"], "left_semi").select("server", "root", "dir").distinct()
     parts = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.array_join(F.slice("p", 1, i), "/"))
     inside = facts.where(F.col("found").isNull()).select("file_id", "server", "root", F.split("path", "/").alias("p")).select("file_id", "server", "root", F.explode(parts).alias("dir"))

@@ -6,12 +6,14 @@ all; for all others the tag 'inside' is fixed, so the chain of tags is decoded o
 scores each tag by features of the candidate (mark, word before, what follows, open quotes and brackets) and each pair of
 neighbouring tags; Viterbi decoding finds the best chain of a segment.
 
-Weights are learned by the averaged perceptron from a bounded sample of the corpus (SAMPLE_ROWS documents by the hash of their id),
-from the tags that are certain: block ends, marks inside words and numbers, abbreviations, marks before plain continuations, and so
-on; uncertain candidates teach nothing. For scripts without end marks the model is trained on text stripped of punctuation: block
-ends are certain sentence ends there, and what stands before them is what the tagger learns to see before spaces.
-
-Map-only after the sample. Results: null, empty and blank texts have no sentence; repeated documents give their rows again; offsets
+Weights are learned by the averaged perceptron from a bounded sample of the corpus, for each script apart: SAMPLE_ROWS documents by the
+hash of their id, SAMPLE_CHARS characters of each. They are learned from the tags that are certain: block ends, marks inside words and
+numbers, abbreviations, marks before plain continuations, and so on; uncertain candidates teach nothing. For scripts without end marks
+the model is trained on text stripped of punctuation: block ends are certain sentence ends there, and what stands before them is what
+the tagger learns to see before spaces. The words that begin blocks in lower case, and the ends of blocks in scripts without end marks,
+are counted over all documents; what counts as common is a share of them, so it is the same at every size.
+
+Map-only but for these counts and the sample. Results: null, empty and blank texts have no sentence; repeated documents give their rows again; offsets
 and lengths are in Unicode code points.
 """
 
@@ -27,10 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wfscan.llm.common import cached, map_arrow
 
 SAMPLE_ROWS, SAMPLE_CHARS, ROUNDS, MARGIN = 1500, 3000, 8, 3.0
+STARTER_SHARE, END_SHARE = 0.001, 0.01  # of documents that a word begins a block in, and of a script's blocks that have an end
 
 _BLANK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|[\u2029\f]+")
 _MARKER = re.compile(r"[^\S\n]*(?:#{1,6}[^\S\n]+|[-*+•‣▪◦·–—][^\S\n]+|\(?\d{1,3}[.)][^\S\n]+|[a-zA-Z]\)[^\S\n]+|[①-⑳])")
@@ -295,14 +299,12 @@ class Tagger:
         self.w = {f: v - total[f] / step for f, v in self.w.items() if v - total[f] / step}
 
 
-def gap_chains(texts: list[str]) -> list[list[Candidate]]:
+def gap_chains(texts: list[str], common: frozenset[str] | None = None) -> list[list[Candidate]]:
     """Training chains for scripts without end marks: blocks stripped of punctuation, whose ends show what ends a sentence."""
     found = [text[a:z] for text in texts for a, z, whole in segments(text) if not whole and re.search(rf"[{_UNSPACED}]", text[a:z])]
-    ends: Counter = Counter()
-    for s in found:
-        bare = re.sub(r"[^\w\sั-๎]+", "", s).rstrip()
-        ends[bare[-3:]] += 1
-    common = {e for e, n in ends.items() if n >= 3 and n >= 0.01 * len(found)}
+    if common is None:
+        ends = Counter(re.sub(r"[^\w\sั-๎]+", "", s).rstrip()[-3:] for s in found)
+        common = frozenset(e for e, n in ends.items() if n >= 3 and n >= END_SHARE * len(found))
     chains = []
     for s in found:
         chain = [c for c in candidates(re.sub(r"[^\w\sั-๎]+", "", s)) if c.features[0] == "gap"]
@@ -314,12 +316,15 @@ def gap_chains(texts: list[str]) -> list[list[Candidate]]:
     return chains
 
 
-def train(texts: list[str]) -> Tagger:
+def train(texts: list[str], starters: frozenset[str] | None = None, common: frozenset[str] | None = None) -> Tagger:
+    """A tagger from texts; what begins and ends blocks in the whole corpus is given, or else counted in the texts."""
     tagger = Tagger()
-    first: Counter = Counter(m[0] for text in texts for a, z, whole in segments(text) if not whole and (m := re.match(r"\s*([a-z]+)(?=\s)", text[a:z])) and any(c.isupper() for c in text[a:z]))
-    tagger.starters = frozenset(w.strip() for w, n in first.items() if n >= 2)
+    if starters is None:
+        first: Counter = Counter(m[0] for text in texts for a, z, whole in segments(text) if not whole and (m := re.match(r"\s*([a-z]+)(?=\s)", text[a:z])) and any(c.isupper() for c in text[a:z]))
+        starters = frozenset(w.strip() for w, n in first.items() if n >= 2)
+    tagger.starters = starters
     chains = [c for text in texts for a, z, whole in segments(text) if not whole and (c := candidates(text[a:z], tagger.starters))]
-    tagger.train(chains + gap_chains(texts))
+    tagger.train(chains + gap_chains(texts, common))
     return tagger
 
 
@@ -351,16 +356,43 @@ def sentences(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
     return out
 
 
+# Scripts that are sampled apart, as Unicode blocks; what has none of them is Latin.
+_STRATA = (("thai", "฀-๿"), ("lao", "຀-໿"), ("myanmar", "က-႟"), ("khmer", "ក-៿"), ("kana", "぀-ヿ"), ("hangul", "가-힣"), ("han", "㐀-鿿"), ("deva", "ऀ-ॿ"), ("arabic", "؀-ۿ"), ("hebrew", "֐-׿"), ("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽ"))
+_BLOCK_BREAK = r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|[\u2029\f]+"
+
+
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """The bounded training sample: the texts with the smallest hashes of their ids."""
-    s = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"))
-    return [r.t for r in s.orderBy("h", "i").limit(rows).collect()]
+    """The bounded training sample: of each script the texts with the smallest hashes of their ids."""
+    t = F.col(text_col)
+    stratum = F.coalesce(*[F.when(t.rlike(f"[{block}]"), F.lit(name)) for name, block in _STRATA], F.lit("latin"))
+    s = docs.where(t.isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), stratum.alias("s"), F.substring(t, 1, SAMPLE_CHARS).alias("t"))
+    ranked = s.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("h", "i", "t"))).where(F.col("n") <= rows)
+    return [r.t for r in ranked.orderBy("s", "n").select("t").collect()]  # at most a text per script and rank
+
+
+def corpus_edges(docs: DataFrame, text_col: str) -> tuple[frozenset[str], frozenset[str]]:
+    """(words in lower case that begin blocks, ends of blocks in scripts without end marks) that are common in all documents.
+
+    Both are shares, so what is collected is bounded by their inverse whatever the size of the corpus.
+    """
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
+    total = texts.count()
+    blocks = texts.where(F.col("t").rlike(rf"(?m)^\s*[a-z]+\s|[{_UNSPACED}]")).select(F.explode(F.split("t", _BLOCK_BREAK, -1)).alias("b"))
+    first = F.when(F.col("b").rlike(r"\p{Lu}"), F.nullif(F.regexp_extract("b", r"^\s*([a-z]+)\s", 1), F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace("b", r"[^\p{L}\p{N}_\s\x{E31}-\x{E4E}]+", ""), r"\s+$", "")
+    script = F.coalesce(*[F.when(F.col("b").rlike(f"[{block}]"), F.lit(name)) for name, block in _STRATA[:4]])
+    edges = blocks.select(F.explode(F.array(F.struct(F.lit("").alias("script"), first.alias("edge")), F.struct(script.alias("script"), F.when(script.isNotNull(), F.substring(bare, -3, 3)).alias("edge")))).alias("e")).select("e.*").where("edge is not null and edge <> ''")
+    counts = edges.groupBy("script", "edge").agg(F.count("*").alias("n"))
+    sizes = edges.where("script <> ''").groupBy("script").agg(F.count("*").alias("blocks"))
+    least = F.when(F.col("script") == "", F.greatest(F.lit(2.0), F.lit(STARTER_SHARE * total))).otherwise(F.greatest(F.lit(3.0), END_SHARE * F.col("blocks")))
+    common = counts.join(F.broadcast(sizes), "script", "left").where(F.col("n") >= least).select("script", "edge").collect()  # sizes: a row per script
+    return frozenset(r.edge for r in common if not r.script), frozenset(r.edge for r in common if r.script)
 
 
 def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sent_start, sent_len): one row per sentence."""
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(train(sample_texts(df, id_col, text_col)))  # weights of a bounded sample
+    held = spark.sparkContext.broadcast(train(sample_texts(df, id_col, text_col), *corpus_edges(df, text_col)))  # weights of a bounded sample
     key = f"sentences:{uuid.uuid4()}"
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
