@@ -123,6 +123,27 @@ def test_scalar_functions(spark):
     assert one(spark, audit.model_texts(F.col("t")), t='{"x": [{"text": "a"}, {"messages": [{"prompt": "b"}]}]}') == '[text] a\n[messages] [{"prompt": "b"}]\n[prompt] b'
 
 
+def test_rare_bands_suffice(spark, monkeypatch):
+    """A band that all signatures have: looked up by its rarest bands each still meets every partner."""
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(similarity, "HOT_BAND", 3)
+    rows = []
+    for i in range(60):
+        s = list(rng.choice(rows)[1]) if rows and rng.random() < 0.7 else [1] * 40 + [rng.randrange(10**6) for _ in range(40)]
+        for _ in range(rng.randrange(6)):
+            s[rng.randrange(80)] = rng.randrange(10**6)
+        rows.append((i, s))
+    assert similarity.looked_up(0.9) == 9 and similarity.looked_up(0.3) == 20
+    got = {(r.rep_a, r.rep_b) for r in similarity.similar_signatures(spark.createDataFrame(rows, "file_id int, signature array<bigint>"), "file_id")[1].collect()}
+    rep = {}
+    for i, s in rows:
+        rep.setdefault(tuple(s), i)
+    want = {(i, j) for s, i in rep.items() for t, j in rep.items() if i < j and sum(a == b for a, b in zip(s, t, strict=True)) >= 72}
+    assert got == want and len(want) > 20
+
+
 def test_minhash_pairs_equal_brute_force(spark):
     base = "function f(a) { return a + b * c; } const x = f(1); if (x > 2) { g(x); h(x, y); } "
     codes = [base * 3, base * 3, base.replace("g(x)", "g(x, 1)") * 3, base * 3 + "while (q) { q--; }", "let z = 1;", "", None, "class A { m() { return this.p(); } }" * 4]

@@ -1,17 +1,21 @@
 """Code similarity by MinHash: normalise, renumber identifiers, shingle, sign, band, verify, and average by package.
 
 All but the renumbering is native. The signature is 80 minima over a generated column; candidates meet by an equi-join on (band, key).
-Identical signatures are collapsed to one row first, so a group of copies of any size is one entry in every band.
+Identical signatures are collapsed to one row first, so a group of copies of any size is one entry in every band. Signatures that agree
+in `least` of their hashes must share a number of whole bands, whatever positions differ; so only the rarest bands of each need be
+looked up, as many as leave no pair out, and a band that very many signatures have is looked up by hardly any.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wfscan.session import spread
+from wfscan.session import checkpoint, spread
 
 K, HASHES, BANDS, ROWS, LEAST = 5, 80, 20, 4, 0.9
 # Words of the language that aren't identifiers, tokens, and the constants of the hash family.
@@ -92,12 +96,29 @@ def agreement(a: Column, b: Column, hashes: int = HASHES) -> Column:
     return F.round(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / hashes, 4)
 
 
+HOT_BAND, BROADCAST_ROWS = 1000, 1_000_000  # signatures that make a band count as common; rows of a table that is still broadcast
+
+
+def looked_up(least: float, hashes: int = HASHES, bands: int = BANDS) -> int:
+    """How many bands of each signature suffice to meet every partner: agreeing ones differ in at most so many bands."""
+    differ = math.floor((1 - least) * hashes + 1e-9)
+    return min(bands, differ + 1)
+
+
 def similar_signatures(sigs: DataFrame, id_col: str, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every file, and (rep_a, rep_b, similarity) between different signatures that meet in a band."""
     reps = sigs.groupBy("signature").agg(F.min(id_col).alias("rep"))
     members = sigs.select(id_col, "signature").join(reps, "signature").select(id_col, "rep")
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_join(F.transform(F.slice("signature", b * rows + 1, rows), lambda x: x.cast("string")), ",")))
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * rows + 1, rows))))
     b = reps.select("rep", band.alias("band", "key"))
+    few = looked_up(least, bands * rows, bands)
+    if few < bands:
+        common = b.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BAND)
+        common = checkpoint(common)
+        if (count := common.count()) > 0:
+            known = b.join(F.broadcast(common) if count <= BROADCAST_ROWS else common, ["band", "key"], "left")
+            rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "band", "key"))), 1, few)  # one entry a band
+            b = known.groupBy("rep").agg(rare.alias("x")).select("rep", F.explode("x").alias("x")).select("rep", "x.band", "x.key")
     x, y = b.select("band", "key", F.col("rep").alias("rep_a")), b.select("band", "key", F.col("rep").alias("rep_b"))
     c = x.join(y, ["band", "key"]).where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
     v = c.join(reps.select(F.col("rep").alias("rep_a"), F.col("signature").alias("sa")), "rep_a").join(reps.select(F.col("rep").alias("rep_b"), F.col("signature").alias("sb")), "rep_b")

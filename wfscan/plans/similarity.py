@@ -47,32 +47,64 @@ def shingle_counts(spark, d):
     return t.select("file_id", F.size(sim.shingles(F.col("xs"))).cast("bigint").alias("shingles")).where("shingles > 0")
 
 
-_MINHASH = f"{_SHINGLES}, b AS (SELECT file_id, CAST('0x' || left(md5(sh), 8) AS BIGINT) AS h FROM s), " + "m AS (SELECT file_id, " + ", ".join(f"min(({sim.A0 + i * sim.A1} * h + {sim.B0 + i * sim.B1}) % {sim.PRIME}) AS h{i}" for i in range(8)) + " FROM b GROUP BY file_id)"
+# crc32 from its polynomial, and the family of 80 hashes over it; fixed values: polynomial, factors and prime.
+_CRC = """crc_t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda r, x: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS tab),
+    crc_s AS (SELECT sh, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(sh) + 1), lambda i: CAST(ascii(sh[i]) AS BIGINT))), lambda r, x: xor(r >> 8, tab[(xor(r, x) & 255) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT sh FROM s), crc_t),"""
+_SIGNED = "b AS (SELECT s.*, crc FROM s JOIN crc_s ON s.sh = crc_s.sh), m AS (SELECT file_id, [" + ", ".join(f"min(({1103515245 + 12345 * i} * crc + {12345 + 67890 * i}) % 2147483647)" for i in range(80)) + "] AS sig FROM b GROUP BY file_id)"
 
 
-@query(f"{_MINHASH} SELECT file_id, {', '.join(f'CAST(h{i} AS BIGINT) AS h{i}' for i in range(8))} FROM m")
+def _signatures(table_name: str) -> str:
+    return _SHINGLES.replace("FROM source_files", f"FROM {table_name}") + ", " + _CRC + " " + _SIGNED
+
+
+@query(_signatures("source_files") + " SELECT file_id, array_to_string(sig, ',') AS signature FROM m")
 def minhash_signature(spark, d):
-    """Eight of the hashes, over a base hash that SQL has too."""
-    s = sim.signatures(table(spark, d, "source_files"), ["file_id"], base=sim.md5_hash, hashes=8)
-    return s.select("file_id", *[F.get("signature", F.lit(i)).alias(f"h{i}") for i in range(8)])
+    """All 80 hashes of every file."""
+    s = sim.signatures(table(spark, d, "source_files"), ["file_id"])
+    return s.select("file_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+
+
+_BANDED = """, pp AS (SELECT min(file_id) AS rep, sig FROM m GROUP BY sig), q AS (SELECT rep, sig, unnest(range(20)) AS band FROM pp), k AS (SELECT rep, band, array_to_string(sig[band * 4 + 1:band * 4 + 4], ',') AS key FROM q),
+    z AS (SELECT DISTINCT x.rep AS rep_a, y.rep AS rep_b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.rep < y.rep),
+    v AS (SELECT rep_a, rep_b, round(len(list_filter(range(1, 81), lambda i: a.sig[i] = b.sig[i])) / 80.0, 4) AS similarity FROM z JOIN pp a ON a.rep = rep_a JOIN pp b ON b.rep = rep_b)"""
+
 
+def _signed(spark, d, name="server_files", package="server_name"):
+    return checkpoint(sim.signatures(table(spark, d, name), ["file_id", package]))
 
-def _signed(spark, d):
-    return checkpoint(sim.signatures(table(spark, d, "server_files"), ["file_id", "server_name"]))
 
+_SNIPPETS = "(SELECT finding_id AS file_id, code_snippet AS code FROM scan_findings)"
 
-@query()
+
+@query(_signatures(_SNIPPETS) + _BANDED + " SELECT rep_a, rep_b, CAST(similarity AS DOUBLE) AS similarity FROM v WHERE similarity >= 0.9")
 def minhash_pairs(spark, d):
-    """Similar signatures between classes of equal ones; 80 hashes in 20 bands. Checked against brute force in tests."""
-    return sim.similar_signatures(_signed(spark, d), "file_id")[1]
+    """Similar signatures between classes of equal ones; 80 hashes in 20 bands."""
+    return _snippet_pairs(spark, d, 0.9)
+
+
+@query(_signatures(_SNIPPETS) + _BANDED + " SELECT rep_a, rep_b, CAST(similarity AS DOUBLE) AS similarity FROM v WHERE similarity >= 0.5")
+def minhash_pairs_loose(spark, d):
+    """The same down to a half, where pairs meet by chance of a band."""
+    return _snippet_pairs(spark, d, 0.5)
+
+
+def _snippet_pairs(spark, d, least):
+    snippets = table(spark, d, "scan_findings").select(F.col("finding_id").alias("file_id"), F.col("code_snippet").alias("code"))
+    return sim.similar_signatures(checkpoint(sim.signatures(snippets, ["file_id"])), "file_id", least)[1]
 
 
-@query()
+@query(_signatures("server_files") + _BANDED + " SELECT file_id, rep FROM m JOIN pp ON m.sig = pp.sig")
 def minhash_classes(spark, d):
     return sim.similar_signatures(_signed(spark, d), "file_id")[0]
 
 
-@query()
+@query(
+    _signatures("server_files")
+    + _BANDED
+    + """, ff AS (SELECT m.file_id, rep, server_name FROM m JOIN pp ON m.sig = pp.sig JOIN server_files USING (file_id)), l AS (SELECT rep_a, rep_b, similarity FROM v WHERE similarity >= 0.9 UNION ALL SELECT rep_b, rep_a, similarity FROM v WHERE similarity >= 0.9 UNION ALL SELECT rep, rep, 1.0 FROM pp),
+    g AS (SELECT a.server_name AS pkg_a, b.server_name AS pkg_b, similarity FROM l JOIN ff a ON a.rep = rep_a JOIN ff b ON b.rep = rep_b WHERE a.server_name < b.server_name)
+    SELECT pkg_a, pkg_b, CAST(round(avg(similarity), 4) AS DOUBLE) AS avg_sim, count(*) AS num_file_pairs FROM g GROUP BY pkg_a, pkg_b HAVING round(avg(similarity), 4) >= 0.5"""
+)
 def similar_packages(spark, d):
     s = _signed(spark, d)
     members, links = sim.similar_signatures(s, "file_id")
