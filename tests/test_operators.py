@@ -243,3 +243,99 @@ def test_scorer_plug(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, t string")
     out = audit.score_with(df, lambda b: pd.DataFrame({"id": b["id"], "n": b["t"].fillna("").str.len()}), "id int, n int")
     assert sorted(map(tuple, out.collect())) == [(1, 1), (2, 0)]
+
+
+def test_answers_are_asked_again():
+    said = iter([readers.Answer(503), readers.Answer(429, headers={"Retry-After": "7"}), readers.Answer(200, {"a": 1})])
+    slept = []
+    assert readers.asked(lambda: next(said), sleep=slept.append, jitter=lambda: 1.0).body == {"a": 1} and slept == [1.0, 7.0]
+    for status, tries in ((404, 1), (500, 3)):
+        calls = []
+        with pytest.raises(OSError, match=f"status {status} after {tries} tries"):
+            readers.asked(lambda calls=calls, status=status: calls.append(1) or readers.Answer(status), tries=3, sleep=lambda s: None)
+        assert len(calls) == tries
+
+
+def test_paging_stops_where_the_service_does():
+    data = [{"n": i} for i in range(23)]
+    offset = lambda k: readers.Answer(200, {"objects": data[k : k + 10], "total": 23})
+    assert [k for k, _ in readers.pages(offset, readers.by_offset(10))] == [0, 10, 20]
+    assert sum(len(r) for _, r in readers.pages(offset, readers.by_offset(10), limit=12)) == 12
+    numbered = lambda k: readers.Answer(200, {"workflows": data[(k - 1) * 10 : k * 10]})
+    assert [len(r) for _, r in readers.pages(numbered, readers.by_page())] == [10, 10, 3]
+    cursors = {None: "b", "b": "c", "c": "c"}
+    by_cursor = lambda k: readers.Answer(200, {"servers": [k], "metadata": {"next": cursors[k]}})
+    assert [k for k, _ in readers.pages(by_cursor, readers.by_cursor("metadata", "next"))] == [None, "b", "c"]
+    endless = lambda k: readers.Answer(200, {"servers": [1], "metadata": {"next": (k or 0) + 1}})
+    assert len(list(readers.pages(endless, readers.by_cursor("metadata", "next", most_pages=50)))) == 50
+    assert list(readers.pages(lambda k: readers.Answer(200, []), readers.by_page())) == []
+
+
+def test_recorded_services_as_a_table(spark, tmp_path):
+    for q, pages in {"a": {"first": {"servers": [1, 2], "next": "x"}, "x": {"servers": [3]}}, "b": {"first": {"servers": []}}}.items():
+        (tmp_path / q).mkdir()
+        for k, body in pages.items():
+            (tmp_path / q / f"{k}.json").write_text(json.dumps(body))
+    root = str(tmp_path)
+    df = readers.service(spark, ["a", "b", "none"], lambda q: readers.recorded(f"{root}/{q}"), readers.by_cursor("next"))
+    assert sorted(map(tuple, df.collect())) == [("a", 0, "1"), ("a", 0, "2"), ("a", 1, "3")]
+
+
+def test_report_with_header_and_counters(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", None), (1, "ä", "x"), (3, "c", "y")], "n int, name string, note string")
+    path = str(tmp_path / "report.json")
+    for _ in range(2):
+        counts = sinks.json_report(df, path, {"made": "today"}, {"noted": lambda r: r.note is not None}, order=["n"])
+    assert counts == {"total": 3, "noted": 2}
+    assert json.loads((tmp_path / "report.json").read_text(encoding="utf-8")) == {"made": "today", "packages": [{"n": 1, "name": "ä", "note": "x"}, {"n": 2, "name": "b", "note": None}, {"n": 3, "name": "c", "note": "y"}], "total": 3, "noted": 2}
+    assert sinks.json_report(df.limit(0), path, {}, {}) == {"total": 0} and json.loads((tmp_path / "report.json").read_text()) == {"packages": [], "total": 0}
+    assert list(sinks.batches(list(range(7)), 3)) == [[0, 1, 2], [3, 4, 5], [6]]
+
+
+def test_tables_normalised_in_place_keep_a_copy(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, " a ")], "n int, s string").write.parquet(path)
+    sinks.normalised_in_place(spark.read.parquet(path), path, lambda d: d.withColumn("s", F.trim("s")))
+    assert spark.read.parquet(path).first().s == "a" and spark.read.parquet(path + ".bak").first().s == " a "
+
+
+def test_similarity_in_stages(spark, tmp_path, capsys):
+    from wfscan import __main__ as cli
+
+    base = "function f(a) { return a + b * c; } const x = f(1); if (x > 2) { g(x); h(x, y); } " * 3
+    spark.createDataFrame([(1, "p", base), (2, "q", base), (3, "r", "let z = 1;")], "file_id bigint, npm_name string, code string").write.parquet(str(tmp_path / "files"))
+    cli.main(["similarity", "all", str(tmp_path / "files"), str(tmp_path / "out")])
+    assert [(r.pkg_a, r.pkg_b, r.num_file_pairs) for r in spark.read.json(str(tmp_path / "out/packages")).collect()] == [("p", "q", 1)]
+    cli.main(["list"])
+    assert "package_rule_hits" in capsys.readouterr().out
+
+
+def test_names_of_the_platform_are_parameters():
+    from wfscan.operators import mining
+
+    assert len(workflow.model_types()) == 27 and workflow.model_types("@x/nodes-langchain", "nodes-base")[0] == "@x/nodes-langchain.agent"
+    assert len(workflow.retrieval_types()) == 19 and "not available in acme cloud" in workflow.disclaimers("Acme") and len(workflow.disclaimers()) == 8
+    assert dict((k, rx) for k, _, rx in mining.security_patterns("acme", "acme-nodes-base"))["HTTP/Webhook"].startswith(r"acme[- ]nodes[- ]base\.httpRequest")
+    assert len(mining.security_patterns()) == 17
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from wfscan.session import shared_root
+
+    at = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: named)))
+    assert shared_root(at("spark://x:7077", "/shared/")) == "/shared" and shared_root(at("local[4]", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(at("spark://x:7077", None))
+
+
+def test_contained_ids_in_rounds(spark, monkeypatch):
+    ids = spark.createDataFrame([(f"id{i:03d}",) for i in range(40)] + [("  ",), (None,)], "name string")
+    texts = spark.createDataFrame([(i, f"see id{i:03d} and id{(i + 7) % 40:03d}x") for i in range(40)] + [(99, None), (98, "")], "k int, t string")
+    want = {str(i): "|".join(sorted({f"id{i:03d}", f"id{(i + 7) % 40:03d}"})) for i in range(40)}
+    for limit in (10**6, 60):
+        monkeypatch.setattr(workflow, "LISTED_CHARS", limit)
+        got = workflow.contained_ids(ids, "name", texts, "k", "t", block=3)
+        assert {r.k: r.ids for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

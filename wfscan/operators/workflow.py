@@ -2,23 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wfscan.functions.names import is_community, package_of_type
 from wfscan.functions.text import contains_any, non_blank
 from wfscan.operators.findings import percent
-from wfscan.session import ship_package
+from wfscan.session import shared_table, ship_package
 
 # Names of the platform's own packages; parameters with the values of the tables at hand.
 OFFICIAL = ["flow-base.", "@flow/"]
 SCOPE = "@flow/"
-MODEL_TYPES = ["langchain.agent", "langchain.chainLlm", "langchain.lmChat", "langchain.openAi", "langchain.anthropic", "langchain.googleGemini", "openAi", "anthropic"]
-RETRIEVAL_TYPES = ["chainRetrievalQa", "retrievalQa", "pinecone", "weaviate", "chroma", "qdrant", "milvus", "vectorStore", "openAiEmbeddings", "embedding", "documentLoader", "textSplitter", "memoryBuffer", "retriever"]
+# Nodes that hold prompts or reach a model, by the package they belong to.
+CHAIN_NODES = [
+    "agent", "openAi", "anthropic", "chainLlm", "informationExtractor", "agentTool", "googleGemini", "googleGeminiTool", "chainRetrievalQa", "outputParserAutofixing", "outputParserStructured", "guardrails",
+    "lmChatOpenAi", "lmChatAnthropic", "lmChatGoogleGemini", "lmChatAzureOpenAi", "lmChatGroq", "lmChatMistralCloud", "lmChatOpenRouter", "lmChatXAiGrok", "chat", "chatTrigger", "chainSummarization", "textClassifier",
+]
+BASE_NODES = ["openAi", "openai", "anthropic"]
+
+
+def model_types(chain_package: str = "langchain", base_package: str = "base") -> list[str]:
+    """What the type of a model node contains: a node of one of the two packages, whose names end as given."""
+    return [f"{chain_package}.{n}" for n in CHAIN_NODES] + [f"{base_package}.{n}" for n in BASE_NODES]
+
+
+MODEL_TYPES = model_types()
+# Nodes that retrieve, store or cut up documents, by the package they belong to.
+CHAIN_RETRIEVAL = ["chainRetrievalQa", "retrievalQa", "documentLoader", "documentLoaderText", "documentLoaderPdf", "documentLoaderCsv", "textSplitter", "memoryBufferWindow", "memoryBuffer", "retriever", "vectorStore"]
+BASE_RETRIEVAL = ["pinecone", "weaviate", "chroma", "qdrant", "milvus", "vectorStore", "openAiEmbeddings", "embedding"]
+
+
+def retrieval_types(chain_package: str = "langchain", base_package: str = "base") -> list[str]:
+    """What the type of a retrieval node contains."""
+    return [f"{chain_package}.{n}" for n in CHAIN_RETRIEVAL] + [f"{base_package}.{n}" for n in BASE_RETRIEVAL]
+
+
+RETRIEVAL_TYPES = retrieval_types()
 # Phrases that tell that a template needs its own host.
 DISCLAIMERS = ["self-hosted only", "self-hosted", "self hosted only", "self hosted", "not available in cloud", "cloud not supported", "requires self-hosting", "self-hosting required"]
+
+
+def disclaimers(platform: str | None = None) -> list[str]:
+    """The phrases, and the one that names the platform's own cloud."""
+    return DISCLAIMERS + ([f"not available in {platform.lower()} cloud"] if platform else [])
+
+
 # Markers of tunnels in addresses.
 TUNNELS = ["ngrok", "localtunnel", "rshare.io", "localhost.run", "localtest.me", "serveo", "bore.pub", "tunnel"]
 UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -104,11 +136,11 @@ def agent_stats(node_rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def disclaimer_rates(templates: DataFrame, node_rows: DataFrame, key: str) -> DataFrame:
+def disclaimer_rates(templates: DataFrame, node_rows: DataFrame, key: str, platform: str | None = None) -> DataFrame:
     """One row: templates with community nodes, and which part of them says that it needs its own host."""
     notes = F.expr("try_variant_get(node, '$.parameters.content', 'string')")
-    c = with_packages(node_rows).groupBy(key).agg(F.bool_or("community").alias("community"), F.coalesce(F.bool_or(contains_any(F.when(F.lower("node_type").contains("stickynote"), notes), DISCLAIMERS)), F.lit(False)).alias("noted"))
-    m = template_meta(templates, [key]).select(key, F.coalesce(contains_any(F.col("description"), DISCLAIMERS), F.lit(False)).alias("described"))
+    c = with_packages(node_rows).groupBy(key).agg(F.bool_or("community").alias("community"), F.coalesce(F.bool_or(contains_any(F.when(F.lower("node_type").contains("stickynote"), notes), disclaimers(platform))), F.lit(False)).alias("noted"))
+    m = template_meta(templates, [key]).select(key, F.coalesce(contains_any(F.col("description"), disclaimers(platform)), F.lit(False)).alias("described"))
     g = c.where("community").join(m, key).agg(F.count("*").alias("templates"), F.count_if(F.col("noted") | F.col("described")).alias("with_disclaimer"))
     return g.withColumn("rate", percent(F.col("with_disclaimer"), F.col("templates"), 1))
 
@@ -150,37 +182,72 @@ def partition_of(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.groupBy(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "both").when(F.col("_a").isNotNull(), "only_first").otherwise("only_second").alias("part")).agg(F.count("*").alias("n"))
 
 
+LISTED_CHARS, HELD_CHARS = 64_000_000, 16_000_000  # characters of listed names that are broadcast at a time; of texts that pass the blocks together
+
+
 def contained_ids(ids: DataFrame, id_col: str, texts: DataFrame, key: str, text: str, block: int = 100_000) -> DataFrame:
     """(key, ids): the listed identifiers that occur in a text, also inside longer words.
 
-    Each block of identifiers becomes one automaton that scans every text once, so there is neither a nested loop nor a shuffle of texts.
+    Each block of identifiers is one automaton, and a task passes a bounded part of its texts through one block after another, so there is
+    neither a nested loop nor a shuffle of texts, and texts are read once. All identifiers together are broadcast up to LISTED_CHARS; of
+    more, each round is written before the next, so neither the driver nor an executor holds more.
     """
-    import ahocorasick
-    import pandas as pd
-
-    ship_package(texts.sparkSession)
+    spark = texts.sparkSession
+    ship_package(spark)
     listed = ids.select(F.col(id_col).cast("string").alias("i")).where("trim(i) <> ''").distinct()
-    blocks, held = [], []
+    out, before = None, None
+    for blocks in _blocks(listed, block):
+        if out is not None:
+            out = shared_table(out)
+            before.destroy()
+        held = before = spark.sparkContext.broadcast(blocks)  # bounded by LISTED_CHARS
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            made: dict[int, object] = {}
+
+            def automaton(n: int):
+                if n not in made:
+                    if len(made) >= 8:
+                        made.clear()
+                    a = made[n] = ahocorasick.Automaton()
+                    for w in held.value[n]:
+                        a.add_word(w, w)
+                    a.make_automaton()
+                return made[n]
+
+            def found(part: list[tuple[str, str]]) -> pa.RecordBatch:
+                rows = [(k, w) for n in range(len(held.value)) if held.value[n] for k, t in part for w in {w for _, w in automaton(n).iter(t)}]
+                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], ["k", "i"])
+
+            part, chars = [], 0
+            for b in batches:
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if t:
+                        part.append((k, t))
+                        chars += len(t)
+                    if chars >= HELD_CHARS:
+                        yield found(part)
+                        part, chars = [], 0
+            if part:
+                yield found(part)
+
+        one = texts.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k string, i string")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct().groupBy(F.col("k").alias(key)).agg(F.array_join(F.array_sort(F.collect_list("i")), "|").alias("ids"))
+
+
+def _blocks(listed: DataFrame, size: int) -> Iterator[list[list[str]]]:
+    """The names in blocks, and the blocks in rounds of LISTED_CHARS, streamed through the driver a round at a time."""
+    blocks, held, chars = [], [], 0
     for r in listed.toLocalIterator():
+        if chars + len(r[0]) > LISTED_CHARS and chars:
+            yield [*blocks, held]
+            blocks, held, chars = [], [], 0
         held.append(r[0])
-        if len(held) == block:
+        chars += len(r[0])
+        if len(held) == size:
             blocks.append(held)
             held = []
-    blocks.append(held)
-    out = None
-    for b in blocks:
-        shared = texts.sparkSession.sparkContext.broadcast(b)  # at most `block` identifiers
-
-        def run(batches, shared=shared):
-            a = ahocorasick.Automaton()
-            for w in shared.value:
-                a.add_word(w, w)
-            if shared.value:
-                a.make_automaton()
-            for pdf in batches:
-                rows = [(k, w) for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) if t and shared.value for w in {w for _, w in a.iter(t)}]
-                yield pd.DataFrame(rows, columns=["k", "i"])
-
-        part = texts.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k string, i string")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct().groupBy(F.col("k").alias(key)).agg(F.array_join(F.array_sort(F.collect_list("i")), "|").alias("ids"))
+    yield [*blocks, held]

@@ -42,9 +42,17 @@ def tfidf_top_terms(spark, d):
     return mining.tfidf_terms(_topics(spark, d), "row_id", "tokens")
 
 
-_SEC = values([(i, label, w, "(?i)" + rx) for i, (label, w, rx) in enumerate(mining.SECURITY)], "ord, label, weight, rx")
+# The topics once more, as SQL sees them; fixed values.
+_TOPICS = [
+    ("Code Exec / Eval", 5, r"\beval\(|new\s+function\(|setTimeout\(\s*['\"].+\)"), ("ENV / FS Exposure", 4, r"\bprocess\.env\b|\.env|fs\.(read|write|append|mkd)ir|permission denied"), ("SSRF / Outbound", 4, r"\bssrf\b|unvalidated url|open redirect|http request node"),
+    ("Secrets Leak", 5, r"(api[_-]?key|secret|token|bearer)\s*(=|:)\s*[\w-]{12,}|hardcoded\s+(secret|credential)"), ("OAuth Misconfig", 3, r"\boauth(1|2)?\b|refresh token|invalid client|redirect uri|callback url"), ("TLS / Certificates", 3, r"\bssl\b|tls|self[- ]signed|certificate verify failed|insecure"),
+    ("Proxy / Corp Net", 2, r"\bproxy\b|http_proxy|https_proxy|no_proxy"), ("Binary / Upload", 3, r"\bbinary\b|multipart|file upload|content[- ]type"), ("HTTP/Webhook", 3, r"flow[- ]base\.httpRequest|webhook node|trigger node"), ("Supply Chain", 4, r"\b(remote script|untrusted dependency|http import|load script)\b"),
+    ("MCP Security", 6, r"\bmcp.*?(security|vulnerability|risk|threat|exploit|attack|breach|leak)"), ("MCP Privilege", 6, r"\bmcp.*?(privilege|permission|access|authorization|unauthorized|escalation)"), ("MCP API Abuse", 5, r"\bmcp.*?(api|network|system|file|memory).*?(abuse|misuse|unauthorized|unrestricted)"),
+    ("MCP Data Tampering", 5, r"\bmcp.*?(tamper|modify|alter|manipulate|corrupt|inject)"), ("MCP Misinformation", 4, r"\bmcp.*?(misinformation|disinformation|fake|false|manipulate.*?data)"), ("MCP Instability", 3, r"\bmcp.*?(unstable|crash|error|fail|bug|issue|problem|broken)"), ("MCP Node Issue", 4, r"\bflow.*?mcp.*?(node|integration|connector|plugin)"),
+]
+_SEC = values([(i, label, w, "(?i)" + rx) for i, (label, w, rx) in enumerate(_TOPICS)], "ord, label, weight, rx")
 _BOTH = "coalesce(title, '') || ' ' || coalesce(doc_text, '')"
-_TOOL = " OR ".join(f"contains(lower(t), {text(w)})" for w in mining.TOOL_WORDS)
+_TOOL = " OR ".join(f"contains(lower(t), {text(w)})" for w in ("mcp", "model context protocol", "modelcontextprotocol", "tool server"))
 _SCORED = f"""WITH s AS (SELECT row_id, {_BOTH} AS t FROM topics_full), h AS (SELECT row_id, string_agg(label, '|' ORDER BY ord) AS hits, CAST(sum(weight) AS INT) AS score FROM s JOIN {_SEC} k ON regexp_matches(t, rx) GROUP BY row_id),
     z AS (SELECT s.row_id, ({_TOOL}) AS is_tool_related, coalesce(hits, '') AS sec_hits, coalesce(score, 0) AS sec_score FROM s LEFT JOIN h USING (row_id))"""
 

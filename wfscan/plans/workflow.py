@@ -110,7 +110,19 @@ def _contains(words):
     return "coalesce(" + " OR ".join(f"contains(node_type, {text(w)})" for w in words) + ", false)"
 
 
-_AGENTS = f"""{_NODES}, g AS (SELECT record_id, count(*) FILTER (WHERE ends_with(node_type, '.agent')) AS agents, count(*) FILTER (WHERE {_contains(wf.MODEL_TYPES)}) AS models, count(*) FILTER (WHERE {_contains(wf.RETRIEVAL_TYPES)}) AS retrieval,
+# The types once more, as SQL sees them; fixed values.
+_MODELS = (
+    "langchain.agent langchain.openAi langchain.anthropic langchain.chainLlm langchain.informationExtractor langchain.agentTool langchain.googleGemini langchain.googleGeminiTool langchain.chainRetrievalQa langchain.outputParserAutofixing langchain.outputParserStructured langchain.guardrails base.openAi base.openai base.anthropic "
+    "langchain.lmChatOpenAi langchain.lmChatAnthropic langchain.lmChatGoogleGemini langchain.lmChatAzureOpenAi langchain.lmChatGroq langchain.lmChatMistralCloud langchain.lmChatOpenRouter langchain.lmChatXAiGrok langchain.chat langchain.chatTrigger langchain.chainSummarization langchain.textClassifier"
+).split()
+_RETRIEVAL = (
+    "langchain.chainRetrievalQa langchain.retrievalQa base.pinecone base.weaviate base.chroma base.qdrant base.milvus base.vectorStore base.openAiEmbeddings base.embedding langchain.documentLoader langchain.documentLoaderText langchain.documentLoaderPdf langchain.documentLoaderCsv "
+    "langchain.textSplitter langchain.memoryBufferWindow langchain.memoryBuffer langchain.retriever langchain.vectorStore"
+).split()
+_DISCLAIMED = ("self-hosted only", "self-hosted", "self hosted only", "self hosted", "not available in flow cloud", "not available in cloud", "cloud not supported", "requires self-hosting", "self-hosting required")
+
+
+_AGENTS = f"""{_NODES}, g AS (SELECT record_id, count(*) FILTER (WHERE ends_with(node_type, '.agent')) AS agents, count(*) FILTER (WHERE {_contains(_MODELS)}) AS models, count(*) FILTER (WHERE {_contains(_RETRIEVAL)}) AS retrieval,
     count(*) FILTER (WHERE regexp_matches(lower(node_type), 'tool|mcp')) AS tools FROM n GROUP BY record_id)"""
 
 
@@ -124,19 +136,19 @@ def agent_distribution(spark, d):
     return wf.agent_stats(_nodes(spark, d), "record_id").groupBy("agents").agg(F.count("*").alias("templates"))
 
 
-@query(f"{_NODES} SELECT node_type, count(*) AS nodes FROM n WHERE {_contains(wf.MODEL_TYPES)} GROUP BY node_type")
+@query(f"{_NODES} SELECT node_type, count(*) AS nodes FROM n WHERE {_contains(_MODELS)} GROUP BY node_type")
 def model_node_types(spark, d):
-    return _nodes(spark, d).where(wf.type_contains(wf.MODEL_TYPES)).groupBy("node_type").agg(F.count("*").alias("nodes"))
+    return _nodes(spark, d).where(wf.type_contains(_MODELS)).groupBy("node_type").agg(F.count("*").alias("nodes"))
 
 
 @query(
     f"""{_PACKAGED}, c AS (SELECT record_id, bool_or(community) AS community FROM p GROUP BY record_id),
-    m AS (SELECT record_id, coalesce({" OR ".join(f"contains(lower(coalesce(nullif(j->>'$.workflow.description', ''), nullif(j->>'$.description', ''))), {text(w)})" for w in wf.DISCLAIMERS)}, false) AS described FROM d WHERE j IS NOT NULL),
+    m AS (SELECT record_id, coalesce({" OR ".join(f"contains(lower(coalesce(nullif(j->>'$.workflow.description', ''), nullif(j->>'$.description', ''))), {text(w)})" for w in _DISCLAIMED)}, false) AS described FROM d WHERE j IS NOT NULL),
     g AS (SELECT count(*) AS templates, count(*) FILTER (WHERE described) AS with_disclaimer FROM c JOIN m USING (record_id) WHERE community)
     SELECT *, round(100.0 * with_disclaimer / nullif(templates, 0), 1) AS rate FROM g"""
 )
 def disclaimer_rates(spark, d):
-    return wf.disclaimer_rates(table(spark, d, "template"), _nodes(spark, d), "record_id")
+    return wf.disclaimer_rates(table(spark, d, "template"), _nodes(spark, d), "record_id", "flow")
 
 
 _P = lambda k: f"CASE WHEN trim(node->>'$.parameters.{k}') <> '' THEN node->>'$.parameters.{k}' END"

@@ -64,8 +64,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where none is named, as in tests."""
+    """The folder that all executors share, as the cluster names it. A temporary one serves only where everything runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors on several machines need a folder that they share")
     return (named or tempfile.gettempdir()).rstrip("/")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -63,3 +66,52 @@ def replaced(df: DataFrame, path: str, kept: str) -> None:
         fs.delete(bak, True)
         fs.rename(old, bak)
     fs.rename(jvm.org.apache.hadoop.fs.Path(path + ".new"), old)
+
+
+def _files(df: DataFrame, path: str):
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(conf), target, jvm.org.apache.hadoop.fs.Path
+
+
+def json_report(df: DataFrame, path: str, header: dict, counters: dict[str, Callable[[Row], bool]], items: str = "packages", order: list[str] | None = None) -> dict[str, int]:
+    """One JSON document: the header's members, the rows as a list, and what was counted on the way at its end.
+
+    Rows are streamed through the driver a partition at a time, in the order of the columns named; the file appears under its name once
+    it is whole. Returns the counters, with `total` among them.
+    """
+    fs, target, as_path = _files(df, path)
+    partial = as_path(path + ".partial")
+    counts = {"total": 0, **dict.fromkeys(counters, 0)}
+    out = fs.create(partial, True)
+
+    def put(text: str) -> None:
+        out.write(bytearray(text.encode("utf-8")))
+
+    try:
+        head = json.dumps(header, ensure_ascii=False)[1:-1]
+        put("{" + head + (", " if head else "") + json.dumps(items) + ": [")
+        text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_json")
+        rows = df.orderBy(*order) if order else df
+        for n, r in enumerate(rows.select("*", text).toLocalIterator()):
+            put((",\n" if n else "\n") + r["_json"])
+            counts["total"] += 1
+            for name, test in counters.items():
+                counts[name] += bool(test(r))
+        put("\n], " + json.dumps(counts, ensure_ascii=False)[1:-1] + "}\n")
+    finally:
+        out.close()
+    fs.delete(target, True)
+    fs.rename(partial, target)
+    return counts
+
+
+def normalised_in_place(df: DataFrame, path: str, change: Callable[[DataFrame], DataFrame], suffix: str = ".bak") -> None:
+    """Rewrite the table at `path` as `change` makes it of `df`, and keep the old one beside it under the suffix."""
+    replaced(change(df), path, path.rstrip("/") + suffix)
+
+
+def batches(keys: list, size: int = 25) -> Iterator[list]:
+    """Keys in portions: what is done between two savings of a resumable run."""
+    for i in range(0, len(keys), size):
+        yield keys[i : i + size]

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import io
+import json
+import random
 import tarfile
+import time
 import zipfile
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MAX_MEMBER = 64 << 20
+# Answers of a service that are worth asking again.
+RETRIED = {429, 500, 502, 503, 504}
 
 
 def csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
@@ -89,15 +96,15 @@ def source_files(spark: SparkSession, root: str, keep: Column | None = None) ->
 
 
 def archive_members(content: bytes) -> list[tuple[str, bytes]]:
-    """(path, bytes) of a tar or zip archive's files, without a single top directory; paths that leave the archive are left out."""
+    """(path, bytes) of a tar or zip archive's files of any size, without a single top directory; paths that leave it are left out."""
     found: list[tuple[str, bytes]] = []
     if zipfile.is_zipfile(io.BytesIO(content)):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and i.file_size <= MAX_MEMBER]
+            found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
     else:
         try:
             with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                found = [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile() and m.size <= MAX_MEMBER]
+                found = [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
         except tarfile.TarError:
             return []
     safe = [(n.replace("\\", "/"), b) for n, b in found]
@@ -120,6 +127,103 @@ def archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return raw.mapInPandas(run, "archive string, path string, code string")
 
 
+@dataclass(frozen=True)
+class Answer:
+    """What a service said: the status, the body that was read, and its headers."""
+
+    status: int
+    body: object = None
+    headers: Mapping[str, str] = field(default_factory=dict)
+
+
+def asked(ask: Callable[[], Answer], tries: int = 5, base: float = 1.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> Answer:
+    """Ask until the answer isn't one to be asked again: after the time the service names, else after twice as long each time, with jitter."""
+    for n in range(tries):
+        answer = ask()
+        if answer.status not in RETRIED or n == tries - 1:
+            break
+        named = answer.headers.get("Retry-After", "")
+        sleep(min(most, float(named)) if named.replace(".", "", 1).isdigit() else min(most, base * 2**n) * (0.5 + jitter() / 2))
+    if answer.status >= 400:
+        raise OSError(f"status {answer.status} after {n + 1} tries")
+    return answer
+
+
+def list_in(body) -> list:
+    """The records of a page: the page itself, or the first list under one of the usual names."""
+    return body if isinstance(body, list) else next((body[k] for k in ("objects", "servers", "workflows", "items", "topics", "posts", "data") if isinstance(body.get(k), list)), []) if isinstance(body, dict) else []
+
+
+@dataclass(frozen=True)
+class Paging:
+    """How a service is read on: `first` is the key of the first page; `next_key` gives the key of the next, or null at the end."""
+
+    first: object
+    next_key: Callable[[object, object, list], object | None]  # of the key, the body and the records of the page
+    most_pages: int = 100_000
+
+
+def by_offset(size: int = 250) -> Paging:
+    """Offsets until the total that the service names, or a page that isn't full."""
+    return Paging(0, lambda key, body, got: key + len(got) if got and (key + len(got) < body["total"] if isinstance(body, dict) and "total" in body else len(got) >= size) else None)
+
+
+def by_page(first: int = 1) -> Paging:
+    """Page numbers until a page is empty."""
+    return Paging(first, lambda key, body, got: key + 1 if got else None)
+
+
+def by_cursor(*path: str, most_pages: int = 1000) -> Paging:
+    """Cursors that each page holds under a path; an empty one, or one seen before, ends it."""
+
+    def next_key(key, body, got):
+        for p in path:
+            body = body.get(p) if isinstance(body, dict) else None
+        return body if body and body != key else None
+
+    return Paging(None, next_key, most_pages)
+
+
+def pages(ask: Callable[[object], Answer], paging: Paging, limit: int = 0, **retry) -> Iterator[tuple[object, list]]:
+    """(key, records) of each page in turn; `limit` records at most, if it isn't zero."""
+    key, left = paging.first, limit
+    for _ in range(paging.most_pages):
+        body = asked(lambda key=key: ask(key), **retry).body
+        got = list_in(body)
+        following = paging.next_key(key, body, got)
+        if limit:
+            got = got[:left]
+            left -= len(got)
+        if got:
+            yield key, got
+        if following is None or limit and left <= 0:
+            return
+        key = following
+
+
+def recorded(root: str) -> Callable[[object], Answer]:
+    """Pages that were recorded under a folder: `KEY.json`, the first `first.json` if it has no key."""
+
+    def ask(key) -> Answer:
+        p = Path(root) / f"{'first' if key is None else key}.json"
+        return Answer(200, json.loads(p.read_text(encoding="utf-8"))) if p.exists() else Answer(200, [])
+
+    return ask
+
+
+def service(spark: SparkSession, queries: list[str], ask_for: Callable[[str], Callable[[object], Answer]], paging: Paging, limit: int = 0) -> DataFrame:
+    """(query, page, record): the pages of several queries, each read by one task; what one query has is read page by page in its task."""
+
+    def run(batches):
+        for b in batches:
+            for q in b["q"]:
+                for n, (_, got) in enumerate(pages(ask_for(q), paging, limit)):
+                    yield pd.DataFrame({"query": q, "page": n, "record": [json.dumps(r, ensure_ascii=False) for r in got]})
+
+    asked_for = spark.createDataFrame([(q,) for q in queries], "q string").repartition(max(1, len(queries)), "q")
+    return asked_for.mapInPandas(run, "query string, page int, record string")
+
+
 class PagedReader(DataSourceReader):
     """Pages of a recorded service, one partition each: files page-00000.json, page-00001.json, ... with a list of records."""
 
@@ -130,13 +234,10 @@ class PagedReader(DataSourceReader):
         return [InputPartition(i) for i in range(self.pages)]
 
     def read(self, partition):
-        import json
-        from pathlib import Path
-
         p = Path(self.root) / f"page-{partition.value:05d}.json"
         if p.exists():
             body = json.loads(p.read_text(encoding="utf-8"))
-            for r in body if isinstance(body, list) else next((body[k] for k in ("objects", "servers", "items", "data") if isinstance(body.get(k), list)), []):
+            for r in list_in(body):
                 yield (partition.value, json.dumps(r, ensure_ascii=False))
 
 
