@@ -27,13 +27,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wfscan.llm.common import cached, map_arrow
+from wfscan.session import checkpoint
 
-SAMPLE_ROWS, SAMPLE_CHARS, ROUNDS, MARGIN = 1500, 3000, 8, 3.0
+SAMPLE_ROWS, SAMPLE_CHARS, ROUNDS, MARGIN = 400, 3000, 8, 3.0
 STARTER_SHARE, END_SHARE = 0.001, 0.01  # of documents that a word begins a block in, and of a script's blocks that have an end
 
 _BLANK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|[\u2029\f]+")
@@ -358,34 +359,54 @@ def sentences(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
 
 # Scripts that are sampled apart, as Unicode blocks; what has none of them is Latin.
 _STRATA = (("thai", "฀-๿"), ("lao", "຀-໿"), ("myanmar", "က-႟"), ("khmer", "ក-៿"), ("kana", "぀-ヿ"), ("hangul", "가-힣"), ("han", "㐀-鿿"), ("deva", "ऀ-ॿ"), ("arabic", "؀-ۿ"), ("hebrew", "֐-׿"), ("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽ"))
-_BLOCK_BREAK = r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|[\u2029\f]+"
+
+
+def _stratum(text: Column) -> Column:
+    """The script of the first letter that is neither Latin nor a sign."""
+    c = F.ascii(F.regexp_extract(text, "[\\u0370-\\u1aff\\u3040-\\ud7a3]", 0))
+    return F.coalesce(*[F.when(c.between(ord(block[0]), ord(block[-1])), F.lit(name)) for name, block in _STRATA], F.lit("latin"))
 
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> list[str]:
     """The bounded training sample: of each script the texts with the smallest hashes of their ids."""
     t = F.col(text_col)
-    stratum = F.coalesce(*[F.when(t.rlike(f"[{block}]"), F.lit(name)) for name, block in _STRATA], F.lit("latin"))
-    s = docs.where(t.isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), stratum.alias("s"), F.substring(t, 1, SAMPLE_CHARS).alias("t"))
+    s = docs.where(t.isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), _stratum(t).alias("s"), F.substring(t, 1, SAMPLE_CHARS).alias("t"))
     ranked = s.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("h", "i", "t"))).where(F.col("n") <= rows)
     return [r.t for r in ranked.orderBy("s", "n").select("t").collect()]  # at most a text per script and rank
 
 
+_FIRST_WORD = re.compile(r"\s*([a-z]+)\s")
+_BARE = re.compile(r"[^\w\sั-๎]+")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WITHOUT_MARKS = [(name, re.compile(f"[{block}]")) for name, block in _STRATA[:4]]
+
+
 def corpus_edges(docs: DataFrame, text_col: str) -> tuple[frozenset[str], frozenset[str]]:
     """(words in lower case that begin blocks, ends of blocks in scripts without end marks) that are common in all documents.
 
-    Both are shares, so what is collected is bounded by their inverse whatever the size of the corpus.
+    Counted in one pass, a batch at a time before anything moves. Both are shares, so what is collected is bounded by their inverse
+    whatever the size of the corpus.
     """
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
-    total = texts.count()
-    blocks = texts.where(F.col("t").rlike(rf"(?m)^\s*[a-z]+\s|[{_UNSPACED}]")).select(F.explode(F.split("t", _BLOCK_BREAK, -1)).alias("b"))
-    first = F.when(F.col("b").rlike(r"\p{Lu}"), F.nullif(F.regexp_extract("b", r"^\s*([a-z]+)\s", 1), F.lit("")))
-    bare = F.regexp_replace(F.regexp_replace("b", r"[^\p{L}\p{N}_\s\x{E31}-\x{E4E}]+", ""), r"\s+$", "")
-    script = F.coalesce(*[F.when(F.col("b").rlike(f"[{block}]"), F.lit(name)) for name, block in _STRATA[:4]])
-    edges = blocks.select(F.explode(F.array(F.struct(F.lit("").alias("script"), first.alias("edge")), F.struct(script.alias("script"), F.when(script.isNotNull(), F.substring(bare, -3, 3)).alias("edge")))).alias("e")).select("e.*").where("edge is not null and edge <> ''")
-    counts = edges.groupBy("script", "edge").agg(F.count("*").alias("n"))
-    sizes = edges.where("script <> ''").groupBy("script").agg(F.count("*").alias("blocks"))
-    least = F.when(F.col("script") == "", F.greatest(F.lit(2.0), F.lit(STARTER_SHARE * total))).otherwise(F.greatest(F.lit(3.0), END_SHARE * F.col("blocks")))
-    common = counts.join(F.broadcast(sizes), "script", "left").where(F.col("n") >= least).select("script", "edge").collect()  # sizes: a row per script
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        seen: Counter = Counter()
+        for t in b.column(0).to_pylist():
+            if t is None:
+                continue
+            seen["", ""] += 1  # documents
+            for block in _BLANK.split(t):
+                if (m := _FIRST_WORD.match(block)) and not block.islower():
+                    seen["", m[1]] += 1
+                if not block.isascii() and _ANY_UNSPACED.search(block):
+                    script = next(name for name, rx in _WITHOUT_MARKS if rx.search(block))
+                    seen[script, ""] += 1
+                    seen[script, _BARE.sub("", block).rstrip()[-3:]] += 1
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["script", "edge", "n"])
+
+    counts = checkpoint(map_arrow(docs.select(F.col(text_col).alias("t")), kernel, "script string, edge string, n bigint").groupBy("script", "edge").agg(F.sum("n").alias("n")))
+    sizes = counts.where("edge = ''").select("script", F.col("n").alias("of"))  # a row per script
+    least = F.when(F.col("script") == "", F.greatest(F.lit(2.0), STARTER_SHARE * F.col("of"))).otherwise(F.greatest(F.lit(3.0), END_SHARE * F.col("of")))
+    common = counts.where("edge <> ''").join(F.broadcast(sizes), "script").where(F.col("n") >= least).select("script", "edge").collect()
     return frozenset(r.edge for r in common if not r.script), frozenset(r.edge for r in common if r.script)
 
 
