@@ -47,7 +47,7 @@ _CLOSERS = re.compile(r"(?:[”\"』」)）\]】»’›〉》*_]|[^\S\n]»)*")
 _UNSPACED = "฀-๿຀-໿က-႟ក-៿"
 _GAP = re.compile(rf"(?<=[{_UNSPACED}])\s+(?=\S)|(?<=\S)\s+(?=[{_UNSPACED}])")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿ｦ-ﾟ가-힯]")
-_WORD_BEFORE = re.compile(r"[^\s“”«»「」『』()（）\[\]\"„…]*$")
+_WORD_BACK = re.compile(r"[^\s“”«»「」『』()（）\[\]\"„…]*")  # of the text before a mark, reversed
 _WORD_AFTER = re.compile(r"[\s“«「『(（\[„\"'‘¿¡—–-]*([^\W\d_]+|\d+|\S)?")
 # Abbreviations that don't end a sentence, ones that may, and names of months, in the languages at hand.
 ABBREVIATIONS = set(
@@ -102,10 +102,25 @@ def _last_mark_ends(text: str, a: int, b: int) -> bool:
 
 
 class Candidate:
-    __slots__ = ("at", "features", "sure")
+    """A place where a sentence may end: what is seen there (`facts`, of few values each), the words around it, and the tag if it is sure."""
 
-    def __init__(self, at: int, features: list[str], sure: int | None):
-        self.at, self.features, self.sure = at, features, sure
+    __slots__ = ("at", "facts", "word", "next", "gap", "sure")
+
+    def __init__(self, at: int, facts: tuple, word: str, next_: str, gap: list[str] | None, sure: int | None):
+        self.at, self.facts, self.word, self.next, self.gap, self.sure = at, facts, word, next_, gap, sure
+
+    @property
+    def features(self) -> list[str]:
+        return self.gap if self.gap is not None else [*facts_features(self.facts), self.word, self.next]
+
+
+def facts_features(facts: tuple) -> list[str]:
+    kind, what, space, inner, closed, leads, abbr, may, digit, begins, month, go = facts
+    return [
+        f"k={kind}", f"k={kind}|n={what}", f"k={kind}|n={what}|s={space}", f"s={space}",
+        f"in={inner}", f"closed={closed}|lead={leads}|n={what}", f"abbr={abbr}|k={kind}|n={what}", f"may={may}|k={kind}|n={what}", f"digit={digit}|n={what}|k={kind}",
+        f"begins={begins}|k={kind}|n={what}", f"begins={begins}|abbr={abbr}|may={may}|n={what}", f"month={month}", f"go={go}|k={kind}",
+    ]
 
 
 class Enclosures:
@@ -142,15 +157,15 @@ class Enclosures:
         return [self.by_close[c] for c in self.closed[bisect_left(self.closed, a) : bisect_left(self.closed, b)]]
 
 
-def candidates(s: str, starters: frozenset[str] = frozenset()) -> list[Candidate]:
-    """Where a sentence of the segment may end, with features and, where it is certain, the tag.
+def candidates(s: str, starters: frozenset[str] = frozenset(), learn: bool = True) -> list[Candidate]:
+    """Where a sentence of the segment may end, with features and, to learn from, the tag where it is certain.
 
     `starters` are words in lower case that blocks of the sample begin with: names of tools and the like.
     """
     out: list[Candidate] = []
     pairs = Enclosures(s)
     end = len(s.rstrip())
-    cased = any(c.isupper() for c in s)
+    cased = s != s.lower()
     for m in _MARKS.finditer(s):
         marks = m[0]
         close = _CLOSERS.match(s, m.end())
@@ -160,8 +175,7 @@ def candidates(s: str, starters: frozenset[str] = frozenset()) -> list[Candidate
             at -= 1
         if s[at : at + 1] == "“" and at in pairs.by_close:
             at += 1
-        before = _WORD_BEFORE.search(s, max(0, m.start() - 40), m.start())
-        word = before[0].strip("'’*_¿¡-").lower() if before else ""
+        word = _WORD_BACK.match(s[max(0, m.start() - 40) : m.start()][::-1])[0][::-1].strip("'’*_¿¡-").lower()
         after = _WORD_AFTER.match(s, at)
         nxt = after[1] or ""
         gap = s[at : at + 1]
@@ -176,15 +190,10 @@ def candidates(s: str, starters: frozenset[str] = frozenset()) -> list[Candidate
         abbr = word in ABBREVIATIONS or word.replace(" ", "") in ABBREVIATIONS or len(word) == 1 and word.isalpha() and not _CJK.match(word) or bool(re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word)) and word not in MAY_END
         unit = len(word) == 1 and bool(re.search(r"\d\s?\w$", s[max(0, m.start() - 6) : m.start()]) or re.search(r"\bт\.\s?[дп]$", s[max(0, m.start() - 6) : m.start()]))
         may = word in MAY_END or unit
-        f = [
-            f"k={kind}", f"k={kind}|n={what}", f"k={kind}|n={what}|s={space}", f"s={space}",
-            f"in={inner}", f"closed={bool(closed)}|lead={leads}|n={what}", f"abbr={abbr}|k={kind}|n={what}", f"may={may}|k={kind}|n={what}",
-            f"digit={word[-1:].isdigit()}|n={what}|k={kind}", f"w={word[-12:]}|k={kind}" if len(word) <= 12 else "w=long", f"next={nxt.lower()[:10]}|k={kind}" if what == "lower" else "next=other",
-            f"begins={begins}|k={kind}|n={what}", f"begins={begins}|abbr={abbr}|may={may}|n={what}",
-            f"month={nxt.lower() in MONTHS and word.isdigit()}", f"go={nxt.lower() in CONTINUES}|k={kind}",
-        ]
-        out.append(Candidate(at, f, _sure(kind, word, abbr, may, nxt, what, space, inner, closed, leads, s, m.start(), at, begins)))
-    if re.search(rf"[{_UNSPACED}]", s):
+        facts = (kind, what, space, inner, bool(closed), leads, abbr, may, word[-1:].isdigit(), begins, word.isdigit() and nxt.lower() in MONTHS, nxt.lower() in CONTINUES)
+        sure = _sure(kind, word, abbr, may, nxt, what, space, inner, closed, leads, s, m.start(), at, begins) if learn else None
+        out.append(Candidate(at, facts, f"w={word[-12:]}|k={kind}" if len(word) <= 12 else "w=long", f"next={nxt.lower()[:10]}|k={kind}" if what == "lower" else "next=other", None, sure))
+    if not s.isascii() and re.search(rf"[{_UNSPACED}]", s):
         known = {c.at for c in out}
         for m in _GAP.finditer(s):
             at = m.start()
@@ -193,7 +202,7 @@ def candidates(s: str, starters: frozenset[str] = frozenset()) -> list[Candidate
             left, right = s[max(0, at - 5) : at], s[m.end() : m.end() + 4]
             bare = re.sub(r"[^\wั-๎]+", "", left)
             f = ["gap", *(f"l{k}={bare[-k:]}" for k in range(1, 6)), *(f"r{k}={right[:k]}" for k in range(1, 4))]
-            out.append(Candidate(at, f, None))
+            out.append(Candidate(at, (), "", "", f, None))
         out.sort(key=lambda c: c.at)
     return out
 
@@ -249,10 +258,18 @@ class Tagger:
     def __init__(self) -> None:
         self.w: dict[str, float] = defaultdict(float)
         self.starters: frozenset[str] = frozenset()
+        self.memo: dict[tuple, float] = {}  # what facts score together; cleared whenever weights change
 
     def scores(self, cands: list[Candidate]) -> list[float]:
-        w = self.w
-        return [sum(w[f] for f in c.features if f in w) for c in cands]
+        w, memo, out = self.w, self.memo, []
+        for c in cands:
+            if c.gap is not None:
+                out.append(sum(w[f] for f in c.gap if f in w))
+                continue
+            if c.facts not in memo:
+                memo[c.facts] = sum(w[f] for f in facts_features(c.facts) if f in w)
+            out.append(memo[c.facts] + w.get(c.word, 0.0) + w.get(c.next, 0.0))
+        return out
 
     def decode(self, cands: list[Candidate]) -> list[int]:
         if not cands:
@@ -288,6 +305,7 @@ class Tagger:
                 for k, (c, t) in enumerate(zip(chain, tags, strict=True)):
                     if c.sure is not None and (c.sure != t or (score[k] if c.sure else -score[k]) < MARGIN):
                         d = 1.0 if c.sure else -1.0
+                        self.memo.clear()
                         for f in c.features:
                             self.w[f] += d
                             total[f] += d * step
@@ -298,6 +316,7 @@ class Tagger:
                             total[f] += d * step
                 step += 1
         self.w = {f: v - total[f] / step for f, v in self.w.items() if v - total[f] / step}
+        self.memo.clear()
 
 
 def gap_chains(texts: list[str], common: frozenset[str] | None = None) -> list[list[Candidate]]:
@@ -308,7 +327,7 @@ def gap_chains(texts: list[str], common: frozenset[str] | None = None) -> list[l
         common = frozenset(e for e, n in ends.items() if n >= 3 and n >= END_SHARE * len(found))
     chains = []
     for s in found:
-        chain = [c for c in candidates(re.sub(r"[^\w\sั-๎]+", "", s)) if c.features[0] == "gap"]
+        chain = [c for c in candidates(re.sub(r"[^\w\sั-๎]+", "", s)) if c.gap is not None]
         for c in chain:
             tail = next((f[3:] for f in c.features if f.startswith("l3=")), "")
             c.sure = 1 if tail in common else 0
@@ -347,7 +366,7 @@ def sentences(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
             add(a, z)
             continue
         s = text[a:z]
-        chain = candidates(s, tagger.starters)
+        chain = candidates(s, tagger.starters, learn=False)
         at = 0
         for c, tag in zip(chain, tagger.decode(chain), strict=True):
             if tag and c.at > at:
