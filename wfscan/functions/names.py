@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from wfscan.functions.text import non_blank
 
 # Development tools, and names of modules that reach the network (prefixes first, then words).
-TOOLING_PREFIXES = "@types/ eslint @eslint prettier @prettier ts-node typescript tslib babel @babel rollup webpack vite esbuild swc @swc jest mocha vitest".split()
-NETWORK_PREFIXES = "http https ws socket net tls".split()
-NETWORK_WORDS = "http https fetch request undici ws websocket socket net tls redis mysql pg postgres mongo mongodb mssql ftp sftp smtp imap pop3 s3 oss minio grpc mqtt kafka".split()
+TOOLING_PREFIXES = [
+    "@types/", "eslint", "@eslint", "prettier", "@prettier", "ts-node", "typescript", "tslib", "babel", "@babel", "rollup", "webpack", "vite",
+    "esbuild", "swc", "@swc", "jest", "mocha", "vitest",
+]
+NETWORK_PREFIXES = ["http", "https", "ws", "socket", "net", "tls"]
+NETWORK_WORDS = [
+    "http", "https", "fetch", "request", "undici", "ws", "websocket", "socket", "net", "tls", "redis", "mysql", "pg", "postgres", "mongo", "mongodb",
+    "mssql", "ftp", "sftp", "smtp", "imap", "pop3", "s3", "oss", "minio", "grpc", "mqtt", "kafka",
+]
 
 
 def safe_file_name(name: Column) -> Column:

@@ -8,10 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # English and domain stop-words of the topic miner.
-STOP_WORDS = (
-    "the a an and or but if in on at to for from of by with as is are was were be been being do does did doing have has had this that these those it its they them their you your i we our can could should would may might must will shall "
-    "about into over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very e.g eg etc via per node workflow workflows issue help thanks hi hello please http https www com json api error errors problem question"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "if", "in", "on", "at", "to", "for", "from", "of", "by", "with", "as", "is", "are", "was", "were", "be",
+    "been", "being", "do", "does", "did", "doing", "have", "has", "had", "this", "that", "these", "those", "it", "its", "they", "them", "their",
+    "you", "your", "i", "we", "our", "can", "could", "should", "would", "may", "might", "must", "will", "shall", "about", "into", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other",
+    "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "e.g", "eg", "etc", "via", "per", "node", "workflow",
+    "workflows", "issue", "help", "thanks", "hi", "hello", "please", "http", "https", "www", "com", "json", "api", "error", "errors", "problem",
+    "question",
+]
 
 
 def all_matches(text: Column, pattern: str) -> Column:

@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Category of each rule.
 CATEGORY = {
-    "CODE_EXEC": "COMMAND_EXEC VM_DYNAMIC EVAL_DYNAMIC DYNAMIC_REQUIRE DYNAMIC_IMPORT DYNAMIC_REGEX DESERIALIZE",
-    "NET_RISK": "EXT_HTTP_CALL EXT_HTTP_IMPORT EXT_HTTP_DEP RAW_NET HTTP_PROTO SSRF_HOST PROXY_TUNNEL EXFIL_SDK_CALL REMOTE_SHELL_CALL",
-    "SUSPICIOUS_IMPORT": "EXT_SUS_DEP EXT_SUS_IMPORT BROWSER_STEALTH",
-    "DATA_PRIVACY": "ENV_FS PROCESS_ENV FS_CHILD_IMPORT LOG_SENSITIVE DATAURL_JSON BINARY_PREPARE BINARY_PREPARE_WEAK DELETE_RET_BOOL CRED_DECL INPUT_SECRET_UNMASKED",
-    "HTML_XSS": "HTML_UNSANITIZED",
-    "PROMPT_INJECTION": "PROMPT_INJECTION_CANDIDATE",
-    "CONFIG": "LICENSE PKG_JSON_INVALID PKG_JSON_MISSING I18N_NON_EN",
-    "SUPPLYCHAIN": "OFFICIAL_REPO_IMPERSONATION VERSION_MISMATCH",
+    "CODE_EXEC": ("COMMAND_EXEC", "VM_DYNAMIC", "EVAL_DYNAMIC", "DYNAMIC_REQUIRE", "DYNAMIC_IMPORT", "DYNAMIC_REGEX", "DESERIALIZE"),
+    "NET_RISK": ("EXT_HTTP_CALL", "EXT_HTTP_IMPORT", "EXT_HTTP_DEP", "RAW_NET", "HTTP_PROTO", "SSRF_HOST", "PROXY_TUNNEL", "EXFIL_SDK_CALL", "REMOTE_SHELL_CALL"),
+    "SUSPICIOUS_IMPORT": ("EXT_SUS_DEP", "EXT_SUS_IMPORT", "BROWSER_STEALTH"),
+    "DATA_PRIVACY": ("ENV_FS", "PROCESS_ENV", "FS_CHILD_IMPORT", "LOG_SENSITIVE", "DATAURL_JSON", "BINARY_PREPARE", "BINARY_PREPARE_WEAK", "DELETE_RET_BOOL", "CRED_DECL", "INPUT_SECRET_UNMASKED"),
+    "HTML_XSS": ("HTML_UNSANITIZED",),
+    "PROMPT_INJECTION": ("PROMPT_INJECTION_CANDIDATE",),
+    "CONFIG": ("LICENSE", "PKG_JSON_INVALID", "PKG_JSON_MISSING", "I18N_NON_EN"),
+    "SUPPLYCHAIN": ("OFFICIAL_REPO_IMPERSONATION", "VERSION_MISMATCH"),
 }
 # Risk class of each rule; what isn't listed is N7.
 RISK_CLASS = {
-    "N1": "COMMAND_EXEC VM_DYNAMIC EVAL_DYNAMIC DYNAMIC_REQUIRE DYNAMIC_IMPORT DYNAMIC_REGEX DESERIALIZE REMOTE_SHELL_CALL",
-    "N2": "EXT_HTTP_CALL EXT_HTTP_IMPORT RAW_NET HTTP_PROTO PROXY_TUNNEL EXFIL_SDK_CALL BROWSER_STEALTH",
-    "N3": "FS_CHILD_IMPORT",
-    "N4": "SSRF_HOST",
-    "N5": "PROCESS_ENV LOG_SENSITIVE DATAURL_JSON BINARY_PREPARE BINARY_PREPARE_WEAK CRED_DECL INPUT_SECRET_UNMASKED",
-    "N6": "OFFICIAL_REPO_IMPERSONATION",
-    "N7": "EXT_HTTP_DEP DELETE_RET_BOOL EXT_SUS_DEP EXT_SUS_IMPORT PKG_JSON_INVALID PKG_JSON_MISSING LICENSE I18N_NON_EN VERSION_MISMATCH",
-    "N8": "HTML_UNSANITIZED",
-    "N9": "PROMPT_INJECTION_CANDIDATE",
+    "N1": ("COMMAND_EXEC", "VM_DYNAMIC", "EVAL_DYNAMIC", "DYNAMIC_REQUIRE", "DYNAMIC_IMPORT", "DYNAMIC_REGEX", "DESERIALIZE", "REMOTE_SHELL_CALL"),
+    "N2": ("EXT_HTTP_CALL", "EXT_HTTP_IMPORT", "RAW_NET", "HTTP_PROTO", "PROXY_TUNNEL", "EXFIL_SDK_CALL", "BROWSER_STEALTH"),
+    "N3": ("FS_CHILD_IMPORT",),
+    "N4": ("SSRF_HOST",),
+    "N5": ("PROCESS_ENV", "LOG_SENSITIVE", "DATAURL_JSON", "BINARY_PREPARE", "BINARY_PREPARE_WEAK", "CRED_DECL", "INPUT_SECRET_UNMASKED"),
+    "N6": ("OFFICIAL_REPO_IMPERSONATION",),
+    "N7": ("EXT_HTTP_DEP", "DELETE_RET_BOOL", "EXT_SUS_DEP", "EXT_SUS_IMPORT", "PKG_JSON_INVALID", "PKG_JSON_MISSING", "LICENSE", "I18N_NON_EN", "VERSION_MISMATCH"),
+    "N8": ("HTML_UNSANITIZED",),
+    "N9": ("PROMPT_INJECTION_CANDIDATE",),
 }
 # Name, severity tier, weakness numbers and detection of each risk class.
 CLASSES = (
@@ -48,26 +48,26 @@ POLICY = {
 SERVER_TIER = {"M1": "Sv", "M2": "Sv", "M3": "Md", "M4": "Md", "M5": "Md", "M6": "Md", "M7": "Md", "M8": "Sv", "M9": "Sv"}
 # Modules by suspicious family.
 FAMILIES = {
-    "stealth": "puppeteer-extra-plugin-stealth puppeteer-extra @extra/stealth",
-    "captcha": "2captcha node-2captcha anticaptcha anti-captcha capsolver hcaptcha-solver deathbycaptcha",
-    "tunnel_proxy": "proxy-chain socks-proxy-agent https-proxy-agent http-proxy-agent tunnel tunnel-agent ngrok localtunnel node-tor tor-request",
-    "remote_shell": "node-pty pty.js ssh2 shelljs ws-shell wetty",
-    "exfil_sdk": "@sentry/node sentry mixpanel analytics-node @segment/analytics-node amplitude rollbar bugsnag",
+    "stealth": ("puppeteer-extra-plugin-stealth", "puppeteer-extra", "@extra/stealth"),
+    "captcha": ("2captcha", "node-2captcha", "anticaptcha", "anti-captcha", "capsolver", "hcaptcha-solver", "deathbycaptcha"),
+    "tunnel_proxy": ("proxy-chain", "socks-proxy-agent", "https-proxy-agent", "http-proxy-agent", "tunnel", "tunnel-agent", "ngrok", "localtunnel", "node-tor", "tor-request"),
+    "remote_shell": ("node-pty", "pty.js", "ssh2", "shelljs", "ws-shell", "wetty"),
+    "exfil_sdk": ("@sentry/node", "sentry", "mixpanel", "analytics-node", "@segment/analytics-node", "amplitude", "rollbar", "bugsnag"),
 }
 # Rule and severity that a module of a family gets as an import and as a dependency.
 FAMILY_RULES = {"tunnel_proxy": ("PROXY_TUNNEL", "warn"), "remote_shell": ("REMOTE_SHELL_CALL", "error"), "exfil_sdk": ("EXFIL_SDK_CALL", "warn")}
 # Rule groups of the report's panels.
 PANELS = {
-    "HTML": "HTML_UNSANITIZED",
-    "EXEC": "COMMAND_EXEC VM_DYNAMIC EVAL_DYNAMIC",
-    "DYNLOAD": "DYNAMIC_REQUIRE DYNAMIC_IMPORT DYNAMIC_REGEX",
-    "NETWORK": "EXT_HTTP_CALL EXT_HTTP_IMPORT EXT_HTTP_DEP RAW_NET HTTP_PROTO SSRF_HOST PROXY_TUNNEL",
-    "DESERIALIZE": "DESERIALIZE",
+    "HTML": ("HTML_UNSANITIZED",),
+    "EXEC": ("COMMAND_EXEC", "VM_DYNAMIC", "EVAL_DYNAMIC"),
+    "DYNLOAD": ("DYNAMIC_REQUIRE", "DYNAMIC_IMPORT", "DYNAMIC_REGEX"),
+    "NETWORK": ("EXT_HTTP_CALL", "EXT_HTTP_IMPORT", "EXT_HTTP_DEP", "RAW_NET", "HTTP_PROTO", "SSRF_HOST", "PROXY_TUNNEL"),
+    "DESERIALIZE": ("DESERIALIZE",),
 }
 
 
-def _pairs(groups: dict[str, str]) -> list[tuple[str, str]]:
-    return [(item, group) for group, items in groups.items() for item in items.split()]
+def _pairs(groups: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    return [(item, group) for group, items in groups.items() for item in items]
 
 
 def rules(spark: SparkSession) -> DataFrame:

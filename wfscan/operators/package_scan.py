@@ -27,15 +27,17 @@ from wfscan.operators.lexing import block_end, comment_spans, inside_quotes
 from wfscan.session import ship_package, spread
 
 # Keys whose strings are interface text.
-UI_KEYS = "placeholder default example examples hint help tooltip sample description displayName".split()
+UI_KEYS = ["placeholder", "default", "example", "examples", "hint", "help", "tooltip", "sample", "description", "displayName"]
 UI_KEY_PATTERN = r"\b(" + "|".join(UI_KEYS) + r")\s*:\s*['\"`]"
 _UI = "(?:" + "|".join(UI_KEYS) + ")"
 # What shows that a file cleans its HTML, what shows a masked field, which words are sensitive in logs.
 SANITIZERS = r"(?i)sanitizeHtml\(|DOMPurify|xss\(|sanitize\(|filterXSS"
 MASKED = r"(?is)typeOptions\s*:\s*\{[^}]*\bpassword\s*:\s*true\b[^}]*\}|inputType\s*:\s*['\"]password['\"]|ui\s*:\s*\{[^}]*\bpassword\b"
 SENSITIVE = r"(?i)(cookie|authorization|bearer|token|api[_-]?key|secret|client[_-]?secret|private[_-]?key|passwd|password)"
-PROMPT_NEEDLES = "prompt message messages system instruction chat query completion user assistant input context text".split()
-PROMPT_DENIED = "operation resource model models version baseUrl url endpoint authentication".split()
+PROMPT_NEEDLES = [
+    "prompt", "message", "messages", "system", "instruction", "chat", "query", "completion", "user", "assistant", "input", "context", "text",
+]
+PROMPT_DENIED = ["operation", "resource", "model", "models", "version", "baseUrl", "url", "endpoint", "authentication"]
 MODEL_SURFACE = (
     r"(?is)\b(?:openai|@openai/|anthropic|@anthropic-ai/|ollama|@langchain|langchain|ChatOpenAI|ChatAnthropic|AzureOpenAI|GoogleGenerativeAI|GenerativeModel|createChatCompletion|chat\.completions|\.messages\.|client\.chat"
     r"|bedrock|cohere|mistral|together\.ai|replicate|huggingface|@google/generative-ai|google\.generativeai|VertexAI|ai\.google)\b"

@@ -19,7 +19,11 @@ from wfscan.session import checkpoint, spread
 
 K, HASHES, BANDS, ROWS, LEAST = 5, 80, 20, 4, 0.9
 # Words of the language that aren't identifiers, tokens, and the constants of the hash family.
-KEYWORDS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var let void while with yield async await".split()
+KEYWORDS = [
+    "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "enum", "export", "extends", "false",
+    "finally", "for", "function", "if", "import", "in", "instanceof", "new", "null", "return", "super", "switch", "this", "throw", "true", "try",
+    "typeof", "var", "let", "void", "while", "with", "yield", "async", "await",
+]
 TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*|==|===|!=|!==|<=|>=|=>|&&|\|\||[{}()\[\];,\.<>+\-*/%&|^!~?:=]"
 A0, A1, B0, B1, PRIME = 1103515245, 12345, 12345, 67890, 2**31 - 1
 

@@ -189,7 +189,7 @@ def import_findings(spark, d):
     return package_scan.import_findings(_package_files(spark, d)).select("file_id", "npm_name", "file", "module", "rule", "severity", "reason")
 
 
-_RULES = values([(r, c) for c, rs in dims.RISK_CLASS.items() for r in rs.split()], "rule, class_id")
+_RULES = values([(r, c) for c, rs in dims.RISK_CLASS.items() for r in rs], "rule, class_id")
 _CLASS = values([(c[0], c[1], c[2]) for c in dims.CLASSES], "class_id, class_name, tier")
 
 

@@ -52,7 +52,7 @@ def a5_filtered_harvest(spark, d):
     return f.agg(F.count("*").alias("findings"), F.count_distinct("npm_name").alias("packages"), F.count_distinct("file").alias("files"))
 
 
-_PANELS = values([(r, p) for p, rs in dims.PANELS.items() for r in rs.split()], "rule, panel")
+_PANELS = values([(r, p) for p, rs in dims.PANELS.items() for r in rs], "rule, panel")
 
 
 @query(f"SELECT panel, lower(severity) AS source, count(*) AS n FROM scan_findings JOIN {_PANELS} USING (rule) GROUP BY ALL")

@@ -111,14 +111,20 @@ def _contains(words):
 
 
 # The types once more, as SQL sees them; fixed values.
-_MODELS = (
-    "langchain.agent langchain.openAi langchain.anthropic langchain.chainLlm langchain.informationExtractor langchain.agentTool langchain.googleGemini langchain.googleGeminiTool langchain.chainRetrievalQa langchain.outputParserAutofixing langchain.outputParserStructured langchain.guardrails base.openAi base.openai base.anthropic "
-    "langchain.lmChatOpenAi langchain.lmChatAnthropic langchain.lmChatGoogleGemini langchain.lmChatAzureOpenAi langchain.lmChatGroq langchain.lmChatMistralCloud langchain.lmChatOpenRouter langchain.lmChatXAiGrok langchain.chat langchain.chatTrigger langchain.chainSummarization langchain.textClassifier"
-).split()
-_RETRIEVAL = (
-    "langchain.chainRetrievalQa langchain.retrievalQa base.pinecone base.weaviate base.chroma base.qdrant base.milvus base.vectorStore base.openAiEmbeddings base.embedding langchain.documentLoader langchain.documentLoaderText langchain.documentLoaderPdf langchain.documentLoaderCsv "
-    "langchain.textSplitter langchain.memoryBufferWindow langchain.memoryBuffer langchain.retriever langchain.vectorStore"
-).split()
+_MODELS = [
+    "langchain.agent", "langchain.openAi", "langchain.anthropic", "langchain.chainLlm", "langchain.informationExtractor", "langchain.agentTool",
+    "langchain.googleGemini", "langchain.googleGeminiTool", "langchain.chainRetrievalQa", "langchain.outputParserAutofixing",
+    "langchain.outputParserStructured", "langchain.guardrails", "base.openAi", "base.openai", "base.anthropic", "langchain.lmChatOpenAi",
+    "langchain.lmChatAnthropic", "langchain.lmChatGoogleGemini", "langchain.lmChatAzureOpenAi", "langchain.lmChatGroq",
+    "langchain.lmChatMistralCloud", "langchain.lmChatOpenRouter", "langchain.lmChatXAiGrok", "langchain.chat", "langchain.chatTrigger",
+    "langchain.chainSummarization", "langchain.textClassifier",
+]
+_RETRIEVAL = [
+    "langchain.chainRetrievalQa", "langchain.retrievalQa", "base.pinecone", "base.weaviate", "base.chroma", "base.qdrant", "base.milvus",
+    "base.vectorStore", "base.openAiEmbeddings", "base.embedding", "langchain.documentLoader", "langchain.documentLoaderText",
+    "langchain.documentLoaderPdf", "langchain.documentLoaderCsv", "langchain.textSplitter", "langchain.memoryBufferWindow", "langchain.memoryBuffer",
+    "langchain.retriever", "langchain.vectorStore",
+]
 _DISCLAIMED = ("self-hosted only", "self-hosted", "self hosted only", "self hosted", "not available in flow cloud", "not available in cloud", "cloud not supported", "requires self-hosting", "self-hosting required")
 
 
