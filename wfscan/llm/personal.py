@@ -35,14 +35,23 @@ from wfscan.llm.common import map_arrow
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Common given names of women and men in the languages at hand.
-FEMALE = (
-    "Ada Agnieszka Aisha Alice Amélie Amina Ana Anastasia Anna Astrid Aylin Beatriz Camille Carla Carmen Chiara Chloé Clara Claudia Elena Elif Elise Emily Emma Ewa Fatima Francesca Freya Giulia Greta Hanna Helena Inès Ingrid Irina Isabel Jana Jelena Julia Kasia "
-    "Katarina Kateryna Laura Lea Leila Lena Leonie Lina Linnea Lotte Lucía Lucie Lucy Magda Maja Manon María Maria Marie Marta Mei Mia Mira Nadia Natalia Nina Noémie Olga Oksana Olivia Paula Petra Pilar Priya Rosa Sara Sarah Sigrid Signe Sofía Sofia Sophie Svetlana Teresa Valentina Vera Yara Yasmin Yuki Zeynep Zoé"
-).split()
-MALE = (
-    "Adam Ahmed Alejandro Alessandro Alexander Ali Andreas Andrei Anton Antonio Arjun Artem Bruno Carlos Daniel David Diego Dmitri Duarte Eduardo Emil Emre Erik Farid Felix Francisco Georg Giovanni Gustav Hans Hassan Henrik Hiroshi Hugo Igor Ivan Jakob Jan Javier "
-    "João Johan Johannes John Jonas José Juan Julien Jürgen Karim Karl Kaspar Kenji Lars Leon Léo Liam Lucas Luca Luis Lukas Marco Marek Mario Martin Mateo Matteo Max Mehmet Michael Miguel Mikhail Milan Mohamed Nicolas Niels Nils Noah Oleg Olivier Omar Oskar Pablo Paulo Pavel Pedro Peter Pierre Piotr Rafael Rajesh Raúl Sami Samuel Sergei Stefan Sven Théo Thomas Tomasz Viktor Yusuf"
-).split()
+FEMALE = [
+    "Ada", "Agnieszka", "Aisha", "Alice", "Amélie", "Amina", "Ana", "Anastasia", "Anna", "Astrid", "Aylin", "Beatriz", "Camille", "Carla", "Carmen",
+    "Chiara", "Chloé", "Clara", "Claudia", "Elena", "Elif", "Elise", "Emily", "Emma", "Ewa", "Fatima", "Francesca", "Freya", "Giulia", "Greta",
+    "Hanna", "Helena", "Inès", "Ingrid", "Irina", "Isabel", "Jana", "Jelena", "Julia", "Kasia", "Katarina", "Kateryna", "Laura", "Lea", "Leila",
+    "Lena", "Leonie", "Lina", "Linnea", "Lotte", "Lucía", "Lucie", "Lucy", "Magda", "Maja", "Manon", "María", "Maria", "Marie", "Marta", "Mei",
+    "Mia", "Mira", "Nadia", "Natalia", "Nina", "Noémie", "Olga", "Oksana", "Olivia", "Paula", "Petra", "Pilar", "Priya", "Rosa", "Sara", "Sarah",
+    "Sigrid", "Signe", "Sofía", "Sofia", "Sophie", "Svetlana", "Teresa", "Valentina", "Vera", "Yara", "Yasmin", "Yuki", "Zeynep", "Zoé",
+]
+MALE = [
+    "Adam", "Ahmed", "Alejandro", "Alessandro", "Alexander", "Ali", "Andreas", "Andrei", "Anton", "Antonio", "Arjun", "Artem", "Bruno", "Carlos",
+    "Daniel", "David", "Diego", "Dmitri", "Duarte", "Eduardo", "Emil", "Emre", "Erik", "Farid", "Felix", "Francisco", "Georg", "Giovanni", "Gustav",
+    "Hans", "Hassan", "Henrik", "Hiroshi", "Hugo", "Igor", "Ivan", "Jakob", "Jan", "Javier", "João", "Johan", "Johannes", "John", "Jonas", "José",
+    "Juan", "Julien", "Jürgen", "Karim", "Karl", "Kaspar", "Kenji", "Lars", "Leon", "Léo", "Liam", "Lucas", "Luca", "Luis", "Lukas", "Marco",
+    "Marek", "Mario", "Martin", "Mateo", "Matteo", "Max", "Mehmet", "Michael", "Miguel", "Mikhail", "Milan", "Mohamed", "Nicolas", "Niels", "Nils",
+    "Noah", "Oleg", "Olivier", "Omar", "Oskar", "Pablo", "Paulo", "Pavel", "Pedro", "Peter", "Pierre", "Piotr", "Rafael", "Rajesh", "Raúl", "Sami",
+    "Samuel", "Sergei", "Stefan", "Sven", "Théo", "Thomas", "Tomasz", "Viktor", "Yusuf",
+]
 _GIVEN = {unicodedata.normalize("NFC", n): s for s, names in (("f", FEMALE), ("m", MALE)) for n in names}
 
 _UNUSUAL = {c: " " for c in (*range(0x2000, 0x200B), 0xA0, 0x1680, 0x202F, 0x205F, 0x3000)}
@@ -93,7 +102,13 @@ _GIVEN_RX = "|".join(sorted(map(re.escape, _GIVEN), key=len, reverse=True))
 NAME_GIVEN = re.compile(rf"(?<![\w@.+/#-])((?:{_GIVEN_RX})(?:[ -](?:{_GIVEN_RX}|[A-Z]\.))? (?:(?:de|del|la|von|van|der|da|dos|di|bin|al|el|le) ){{0,2}}{_CAP})(?![\w@]|\.\w)")
 # Given names, family names and words around names in scripts other than Latin; mobile numbers of China and Russia.
 _CYR = r"[А-ЯЁІЇЄҐ][а-яёіїєґ’'-]+"
-_CYR_GIVEN = "Александр Александра Алексей Алёна Анастасия Андрей Анна Антон Артём Борис Валентина Василий Вера Виктор Виктория Виталий Владимир Галина Григорий Дарья Денис Дмитрий Евгений Евгения Екатерина Елена Иван Игорь Илья Ирина Кирилл Константин Ксения Лариса Людмила Максим Мария Марина Михаил Надежда Наталья Никита Николай Оксана Олег Ольга Павел Пётр Полина Роман Светлана Сергей София Станислав Татьяна Юлия Юрий".split()
+_CYR_GIVEN = [
+    "Александр", "Александра", "Алексей", "Алёна", "Анастасия", "Андрей", "Анна", "Антон", "Артём", "Борис", "Валентина", "Василий", "Вера",
+    "Виктор", "Виктория", "Виталий", "Владимир", "Галина", "Григорий", "Дарья", "Денис", "Дмитрий", "Евгений", "Евгения", "Екатерина", "Елена",
+    "Иван", "Игорь", "Илья", "Ирина", "Кирилл", "Константин", "Ксения", "Лариса", "Людмила", "Максим", "Мария", "Марина", "Михаил", "Надежда",
+    "Наталья", "Никита", "Николай", "Оксана", "Олег", "Ольга", "Павел", "Пётр", "Полина", "Роман", "Светлана", "Сергей", "София", "Станислав",
+    "Татьяна", "Юлия", "Юрий",
+]
 NAME_CYRILLIC = re.compile(
     rf"(?:(?:[Мм]еня зовут|[Мм]оё имя|[Сс] уважением,|[Кк]оллега|[Гг]оспод(?:ин|жа)|[Гг]-н|[Гг]-жа|[Кк]онтакт:|ФИО:|[Вв]аш[аи]?,)\s+({_CYR}(?: {_CYR}){{1,2}})|(?<!\w)((?:{'|'.join(_CYR_GIVEN)})(?: {_CYR}(?:ович|евич|ична|овна|евна))? {_CYR})|(?<!\w)({_CYR} (?:{'|'.join(_CYR_GIVEN)})(?: {_CYR}(?:ович|евич|ична|овна|евна))))(?!\w)"
 )
@@ -107,7 +122,14 @@ _PHONE_WORDS = re.compile(r"(?i)(?:电话|電話|手机|手機|联系|聯絡|微
 _WIDE = re.compile(r"[Ͱ-ῼ぀-鿿가-힣]")
 # Capitalised words that stand in names of products, places and things.
 _NOT_NAME = set(
-    "Memory Buffer Window View Map Street Road Wizard Merge Vector Store Simple Node Nodes Agent Agents Server Team House Close Lane Drive Avenue Trigger Chain Tool Tools Workflow Template Queue Webhook Error Version Build Host Order Checksum Execution Test Record Form Field Key Token Cloud Studio Code Data Base API App Apps Panel Table Sheet Inc Ltd GmbH Labs Support Community Package Container Docker Google Microsoft Open Source The This That Our My Your Use Set Install Apt".split()
+    [
+    "Memory", "Buffer", "Window", "View", "Map", "Street", "Road", "Wizard", "Merge", "Vector", "Store", "Simple", "Node", "Nodes", "Agent",
+    "Agents", "Server", "Team", "House", "Close", "Lane", "Drive", "Avenue", "Trigger", "Chain", "Tool", "Tools", "Workflow", "Template", "Queue",
+    "Webhook", "Error", "Version", "Build", "Host", "Order", "Checksum", "Execution", "Test", "Record", "Form", "Field", "Key", "Token", "Cloud",
+    "Studio", "Code", "Data", "Base", "API", "App", "Apps", "Panel", "Table", "Sheet", "Inc", "Ltd", "GmbH", "Labs", "Support", "Community",
+    "Package", "Container", "Docker", "Google", "Microsoft", "Open", "Source", "The", "This", "That", "Our", "My", "Your", "Use", "Set", "Install",
+    "Apt",
+]
 )
 
 

@@ -51,16 +51,35 @@ _WORD_BACK = re.compile(r"[^\s“”«»「」『』()（）\[\]\"„…]*")  #
 _WORD_AFTER = re.compile(r"[\s“«「『(（\[„\"'‘¿¡—–-]*([^\W\d_]+|\d+|\S)?")
 # Abbreviations that don't end a sentence, ones that may, and names of months, in the languages at hand.
 ABBREVIATIONS = set(
-    "mr mrs ms dr prof st jr sr sra srta vs no nos nr fig figs sec secs ch chap vol vols pp ed eds approx ca cca dept est ext gen gov hon rep rev sen sgt capt col lt cmdr maj mt e.g i.e eg ie cf viz al resp incl excl max min avg temp tel "
-    "jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun z.b d.h u.a o.ä bzw evtl ggf hr hrn fr frl str abs art bsp dipl ing inkl exkl jh mio mrd nachm vorm sog usf vgl zzgl zz abt allg env p.ex c.-à-d av bd mme mlle mm apr déc janv févr juil "
-    "p.ej ej ee.uu núm pág págs aprox dña ud uds vd vds exmo ilmo tfno depto ex av dra sras т.е т.к т.д т.п г-н г-на г-жа др проф ул рис см напр тыс млн млрд руб гг вв стр डॉ श्री प्रो".split()
+    [
+    "mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "sra", "srta", "vs", "no", "nos", "nr", "fig", "figs", "sec", "secs", "ch", "chap", "vol",
+    "vols", "pp", "ed", "eds", "approx", "ca", "cca", "dept", "est", "ext", "gen", "gov", "hon", "rep", "rev", "sen", "sgt", "capt", "col", "lt",
+    "cmdr", "maj", "mt", "e.g", "i.e", "eg", "ie", "cf", "viz", "al", "resp", "incl", "excl", "max", "min", "avg", "temp", "tel", "jan", "feb",
+    "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "mon", "tue", "wed", "thu", "fri", "sat", "sun", "z.b", "d.h", "u.a",
+    "o.ä", "bzw", "evtl", "ggf", "hr", "hrn", "fr", "frl", "str", "abs", "art", "bsp", "dipl", "ing", "inkl", "exkl", "jh", "mio", "mrd", "nachm",
+    "vorm", "sog", "usf", "vgl", "zzgl", "zz", "abt", "allg", "env", "p.ex", "c.-à-d", "av", "bd", "mme", "mlle", "mm", "apr", "déc", "janv", "févr",
+    "juil", "p.ej", "ej", "ee.uu", "núm", "pág", "págs", "aprox", "dña", "ud", "uds", "vd", "vds", "exmo", "ilmo", "tfno", "depto", "ex", "av",
+    "dra", "sras", "т.е", "т.к", "т.д", "т.п", "г-н", "г-на", "г-жа", "др", "проф", "ул", "рис", "см", "напр", "тыс", "млн", "млрд", "руб", "гг",
+    "вв", "стр", "डॉ", "श्री", "प्रो",
+]
 )
-MAY_END = set("etc usw inc ltd co corp llc plc gmbh a.m p.m am pm u.s u.k ph.d b.c a.d и т.д т.п др".split())
+MAY_END = set([
+    "etc", "usw", "inc", "ltd", "co", "corp", "llc", "plc", "gmbh", "a.m", "p.m", "am", "pm", "u.s", "u.k", "ph.d", "b.c", "a.d", "и", "т.д", "т.п",
+    "др",
+])
 MONTHS = set(
-    "january february march april may june july august september october november december januar jänner februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre novembre décembre enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre "
-    "janeiro fevereiro março maio junho julho setembro outubro novembro dezembro января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
+    [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "januar", "jänner",
+    "februar", "märz", "mai", "juni", "juli", "oktober", "dezember", "janvier", "février", "mars", "avril", "juin", "juillet", "août", "septembre",
+    "octobre", "novembre", "décembre", "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre",
+    "noviembre", "diciembre", "janeiro", "fevereiro", "março", "maio", "junho", "julho", "setembro", "outubro", "novembro", "dezembro", "января",
+    "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря",
+]
 )
-CONTINUES = set("and or but then nor so yet because und oder aber dann et ou mais puis donc y o pero luego e mas então depois и или но а затем to with für mit avec con com".split())
+CONTINUES = set([
+    "and", "or", "but", "then", "nor", "so", "yet", "because", "und", "oder", "aber", "dann", "et", "ou", "mais", "puis", "donc", "y", "o", "pero",
+    "luego", "e", "mas", "então", "depois", "и", "или", "но", "а", "затем", "to", "with", "für", "mit", "avec", "con", "com",
+])
 
 
 def blocks(text: str):
