@@ -687,6 +687,16 @@ def test_small_shared_files_count_by_parameter(spark):
     assert provenance.classify(df).count() == 0 and provenance.classify(df, chars=1).count() == 6
 
 
+def test_enclosures_of_any_depth():
+    import time
+
+    began = time.time()
+    deep = sentences.Enclosures("(" * 50_000 + "x" + ")" * 50_000)
+    assert len(deep.by_close) == 50_000 and deep.around(50_000, 50_001) and time.time() - began < 5
+    far = sentences.Enclosures("“" + "[" * 300 + "”")
+    assert far.by_close == {301: 0}
+
+
 def test_common_edges_are_shares_of_all_documents(spark):
     rows = [(i, "npm installs the Tool here.\n\nPlain Block.") for i in range(5)] + [(9, "once a Word.\n\nnpm again Here"), (10, None), (11, "")]
     rows += [(20 + i, "ระบบทำงานครับ\n\nส่งข้อมูลแล้วครับ") for i in range(3)] + [(30, "ລະບົບເຮັດວຽກ\n\nລະບົບເຮັດວຽກ\n\nລະບົບເຮັດວຽກ")]

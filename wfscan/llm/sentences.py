@@ -42,6 +42,8 @@ _MARKER = re.compile(r"[^\S\n]*(?:#{1,6}[^\S\n]+|[-*+•‣▪◦·–—][^\S\n
 _HEADING = re.compile(r"[^\S\n]*#{1,6}[^\S\n]+")
 _OPEN, _CLOSE = "“«「『(（[【„‹〈《", "”»」』)）]】”›〉》"
 _PAIR = dict(zip(_OPEN, _CLOSE, strict=True)) | {"„": "“”"}
+_OPENERS = {c: [o for o, ends in _PAIR.items() if c in ends] for c in {*_CLOSE, "“"}} | {'"': ['"']}  # what each closing sign may close
+_ENCLOSING = re.compile(r"[“”«»「」『』()（）\[\]【】„‹›〈〉《》\"]")
 _MARKS = re.compile(r"(?:\.{2,}|…+|[.!?。！？．｡।॥؟۔።‼⁇⁈⁉])+[!?！？.。…]*(?:[ \u00a0\u202f]+[!?]+(?![\w¿¡]))?")
 _CLOSERS = re.compile(r"(?:[”\"』」)）\]】»’›〉》*_]|[^\S\n]»)*")
 _UNSPACED = "฀-๿຀-໿က-႟ក-៿"
@@ -145,20 +147,22 @@ def facts_features(facts: tuple) -> list[str]:
 class Enclosures:
     """Matching pairs of quotes and brackets of a segment; openers without a partner count for nothing."""
 
-    DEPTH = 64  # how far back a partner is looked for
-
     def __init__(self, s: str):
         stack: list[tuple[str, int]] = []
+        open_: dict[str, list[int]] = defaultdict(list)  # for each opening sign where it stands in the stack
         pairs: list[tuple[int, int]] = []
-        for m in re.finditer(r"[“”«»「」『』()（）\[\]【】„‹›〈〉《》\"]", s):
+        for m in _ENCLOSING.finditer(s):
             c, i = m[0], m.start()
-            k = None
+            k = -1
             if c == '"' or c in _CLOSE or c == "“" and stack and stack[-1][0] == "„":
-                k = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 1 - self.DEPTH), -1) if stack[k][0] == c == '"' or c in _PAIR.get(stack[k][0], "")), None)
-            if k is not None:
+                k = max((open_[o][-1] for o in _OPENERS.get(c, ()) if open_[o]), default=-1)
+            if k >= 0:
                 pairs.append((stack[k][1], i))
+                for o, _ in stack[k:]:
+                    open_[o].pop()
                 del stack[k:]
             elif c == '"' or c in _OPEN:
+                open_[c].append(len(stack))
                 stack.append((c, i))
         pairs.sort()
         self.opened = [a for a, _ in pairs]
