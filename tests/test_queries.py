@@ -19,9 +19,8 @@ def test_query_equals_sql(spark, data, duck, name):
 
 # Queries without SQL: the columns they must have, and the fewest rows they must give on the smallest tables.
 WITHOUT_SQL = {
-    "a7_network_dependencies": ("", 0), "comment_spans": ("file_id span_start span_end", 1), "compliance_keywords": ("template standard keywords", 1), "field_blocks": ("file_id block", 0), "import_findings": ("file_id npm_name file module rule severity reason", 0),
+    "a7_network_dependencies": ("", 0), "compliance_keywords": ("template standard keywords", 1), "field_blocks": ("file_id block", 0),
     "interface_text": ("file_id pos", 0), "manifest_findings": ("npm_name rule severity", 1), "model_texts": ("record_id texts", 1),
-    "package_findings": ("file_id npm_name file rule severity rule_category class_id tier line_start line_end matched_text evidence_score confidence label", 1), "server_manifests": ("server", 1),
 }
 
 

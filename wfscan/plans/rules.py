@@ -86,7 +86,7 @@ def rules_sql(source: str) -> str:
     f AS (SELECT id, no, rule, pos, code, CASE WHEN no = 23 THEN length(match) + 300 WHEN no = 26 THEN length(block) ELSE length(match) END + pos AS fin,
       CASE WHEN no = 20 THEN regexp_extract(match, '(?s)^[A-Za-z]+\\s*:\\s*[''"](.*)[''"]$', 1) WHEN no = 21 THEN regexp_extract(match, '(?s)`(.*)`$', 1) WHEN no = 23 THEN substr(code, pos + 1, length(match) + 300)
         WHEN no = 26 THEN regexp_extract(match, ':\\s*[''"]\\s*(.*?)\\s*[''"]$', 1) WHEN no = 35 THEN regexp_extract(match, '[''"]([^''"]+)', 1) ELSE match END AS shown FROM z WHERE no NOT IN (24, 25) OR own_pos = live_pos),
-    n AS (SELECT id, rule, pos, shown, length(left(code, pos)) - length(replace(left(code, pos), chr(10), '')) + 1 AS la, length(left(code, fin)) - length(replace(left(code, fin), chr(10), '')) + 1 AS lz, string_split(code, chr(10)) AS ls FROM f)"""
+    n AS (SELECT id, no, rule, pos, shown, length(left(code, pos)) - length(replace(left(code, pos), chr(10), '')) + 1 AS la, length(left(code, fin)) - length(replace(left(code, fin), chr(10), '')) + 1 AS lz, string_split(code, chr(10)) AS ls FROM f)"""
 
 
 _FINDINGS = "SELECT id AS {0}, rule, CAST(pos AS INT) AS pos, shown AS matched_text, CAST(la AS INT) AS first_line, CAST(lz AS INT) AS last_line, CAST(greatest(1, la - 3) AS INT) AS line_start, CAST(least(len(ls), lz + 3) AS INT) AS line_end, md5(array_to_string(ls[greatest(1, la - 3):lz + 3], chr(10))) AS snippet FROM n"
@@ -106,6 +106,74 @@ def package_rule_hits(spark, d):
     return _shown(package_scan.find_hits(table(spark, d, "source_files").select("file_id", F.col("file_path").alias("file"), "code")), "file_id")
 
 
+# What a finding says, by the rule's number, and what each rule belongs to; fixed values.
+_CLEAN_WITH = "HTML rendered with no sanitizer (need one of: sanitizeHtml(, DOMPurify, xss(, sanitize(, filterXSS, dompurify)"
+_SAID = [
+    (1, "error", "process.env usage"), (2, "error", "fs/child_process import"), (3, "error", "Raw http/https/net import"), (4, "error", "http:// detected"), (5, "error", "localhost/127.0.0.1/private range detected"), (6, "error", "eval() detected"), (7, "error", "new Function() detected"),
+    (8, "error", "setTimeout/Interval with string code"), (9, "error", "child_process.* command execution"), (10, "error", "vm.* dynamic code execution"), (11, "warn", "require(var) dynamic module load"), (12, "warn", "require(a+b) dynamic module load"), (13, "warn", "import(expr) dynamic module load"),
+    (14, "error", "External HTTP call function detected"), (15, "warn", "new RegExp(...) from variable input"), (16, "warn", "yaml.load (use safeLoad/safeLoadAll)"), (17, "warn", "DataURL returned in JSON"), (18, "error", "Binary output w/o prepareBinaryData"), (19, "info", "Credential declared: "),
+    (20, "error", "Non-English chars found in UI text (quoted)"), (21, "error", "Non-English chars found in UI text (template)"), (22, "error", "Puppeteer stealth plugin enabled"), (23, "error", "Sensitive data printed in logs"), (24, "warn", "Manual base64/dataURL for binary; prefer prepareBinaryData()"),
+    (25, "warn", "Delete returns [{deleted:true}] — return structured summary instead"), (26, "error", "Sensitive input without masking: add typeOptions:{password:true} or use Credentials."), *((n, "error", _CLEAN_WITH) for n in range(27, 33)), (33, "warn", "Telemetry/exfil-like call"), (34, "error", "Potential remote shell execution"),
+    (35, "warn", "LLM/chat API with getNodeParameter for prompt-like key (static N9: user-controlled text may reach the model)."),
+]
+_BELONGS = [
+    ("COMMAND_EXEC", "CODE_EXEC", "N1", "Sv"), ("VM_DYNAMIC", "CODE_EXEC", "N1", "Sv"), ("EVAL_DYNAMIC", "CODE_EXEC", "N1", "Sv"), ("DYNAMIC_REQUIRE", "CODE_EXEC", "N1", "Sv"), ("DYNAMIC_IMPORT", "CODE_EXEC", "N1", "Sv"), ("DYNAMIC_REGEX", "CODE_EXEC", "N1", "Sv"), ("DESERIALIZE", "CODE_EXEC", "N1", "Sv"),
+    ("REMOTE_SHELL_CALL", "NET_RISK", "N1", "Sv"), ("EXT_HTTP_CALL", "NET_RISK", "N2", "Sv"), ("RAW_NET", "NET_RISK", "N2", "Sv"), ("HTTP_PROTO", "NET_RISK", "N2", "Sv"), ("EXFIL_SDK_CALL", "NET_RISK", "N2", "Sv"), ("BROWSER_STEALTH", "SUSPICIOUS_IMPORT", "N2", "Sv"), ("FS_CHILD_IMPORT", "DATA_PRIVACY", "N3", "Md"),
+    ("SSRF_HOST", "NET_RISK", "N4", "Md"), ("PROCESS_ENV", "DATA_PRIVACY", "N5", "Sv"), ("LOG_SENSITIVE", "DATA_PRIVACY", "N5", "Sv"), ("DATAURL_JSON", "DATA_PRIVACY", "N5", "Sv"), ("BINARY_PREPARE", "DATA_PRIVACY", "N5", "Sv"), ("BINARY_PREPARE_WEAK", "DATA_PRIVACY", "N5", "Sv"), ("CRED_DECL", "DATA_PRIVACY", "N5", "Sv"),
+    ("INPUT_SECRET_UNMASKED", "DATA_PRIVACY", "N5", "Sv"), ("DELETE_RET_BOOL", "DATA_PRIVACY", "N7", "Md"), ("I18N_NON_EN", "CONFIG", "N7", "Md"), ("HTML_UNSANITIZED", "HTML_XSS", "N8", "Md"), ("PROMPT_INJECTION_CANDIDATE", "PROMPT_INJECTION", "N9", "Md"),
+]
+
+
+@query(
+    rules_sql("SELECT file_id AS id, file_path AS file, code FROM source_files")
+    + f""", m AS (SELECT n.id, n.rule, pos, la, lz, shown, greatest(1, la - 3) AS line_start, least(len(ls), lz + 3) AS line_end, array_to_string(ls[greatest(1, la - 3):lz + 3], chr(10)) AS snippet, severity,
+      message || CASE WHEN n.no = 19 THEN regexp_extract(shown, 'name\\s*:\\s*[''"]([^''"]+)[''"]$', 1) ELSE '' END AS message FROM n JOIN {values(_SAID, 'no, severity, message')} w ON w.no = n.no),
+    q AS (SELECT m.*, npm_name, file_path, row_number() OVER (PARTITION BY m.rule, file_path, message, npm_name, line_start, line_end, la, lz ORDER BY id, pos) AS one FROM m JOIN source_files f ON f.file_id = m.id),
+    y AS (SELECT q.*, rule_category, class_id, tier, least(6, CAST(coalesce(trim(file_path) <> '', false) AS INT) + 2 + CAST(trim(shown, ' ') <> '' AS INT) + CAST(trim(snippet, ' ') <> '' AS INT) + 2) AS score FROM q JOIN {values(_BELONGS, 'rule, rule_category, class_id, tier')} b ON b.rule = q.rule WHERE one = 1)
+    SELECT id AS file_id, npm_name, file_path AS file, rule, severity, rule_category, class_id, tier, CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end, shown AS matched_text, score AS evidence_score, CASE WHEN score >= 4 THEN 2 ELSE 1 END AS confidence,
+      rule || '; ' || severity || '; evidence=' || score || '; confidence=' || CASE WHEN score >= 4 THEN 2 ELSE 1 END AS label FROM y"""
+)
+def package_findings(spark, d):
+    """All package rules with comment filter, lines and snippets, repeats removed and enriched."""
+    from pyspark.sql import functions as F
+
+    f = package_scan.find_hits(table(spark, d, "source_files").select("file_id", "npm_name", F.col("file_path").alias("file"), "code"))
+    e = package_scan.enriched(package_scan.distinct_findings(f, ["file_id", "pos"]))
+    return package_scan.labelled(e).select("file_id", "npm_name", "file", "rule", "severity", "rule_category", "class_id", "tier", "line_start", "line_end", "matched_text", "evidence_score", "confidence", "label")
+
+
+# Imports outside of comments, and what their modules are known for; fixed values.
+_IMPORTS = [(1, r"""import\s+(?:[^'";]*?\s+from\s+)?['"][^'"]+['"]"""), (2, r"""require\(\s*['"][^'"]+['"]\s*\)"""), (3, r"""\bimport\(\s*['"][^'"]+['"]\s*\)""")]
+_NET_PREFIXES = ["http", "https", "ws", "socket", "net", "tls"]
+_NET_WORDS = ["http", "https", "fetch", "request", "undici", "ws", "websocket", "socket", "net", "tls", "redis", "mysql", "pg", "postgres", "mongo", "mongodb", "mssql", "ftp", "sftp", "smtp", "imap", "pop3", "s3", "oss", "minio", "grpc", "mqtt", "kafka"]
+_TOOLS = r"^(@types/|@?eslint|@?prettier|ts-node|typescript|tslib|@?babel|rollup|webpack|vite|esbuild|@?swc|jest|mocha|vitest)"
+_FAMILY = [
+    *((m, "stealth", "EXT_SUS_IMPORT", "error") for m in ("puppeteer-extra-plugin-stealth", "puppeteer-extra", "@extra/stealth")),
+    *((m, "captcha", "EXT_SUS_IMPORT", "error") for m in ("2captcha", "node-2captcha", "anticaptcha", "anti-captcha", "capsolver", "hcaptcha-solver", "deathbycaptcha")),
+    *((m, "tunnel_proxy", "PROXY_TUNNEL", "warn") for m in ("proxy-chain", "socks-proxy-agent", "https-proxy-agent", "http-proxy-agent", "tunnel", "tunnel-agent", "ngrok", "localtunnel", "node-tor", "tor-request")),
+    *((m, "remote_shell", "REMOTE_SHELL_CALL", "error") for m in ("node-pty", "pty.js", "ssh2", "shelljs", "ws-shell", "wetty")),
+    *((m, "exfil_sdk", "EXFIL_SDK_CALL", "warn") for m in ("@sentry/node", "sentry", "mixpanel", "analytics-node", "@segment/analytics-node", "amplitude", "rollbar", "bugsnag")),
+]
+
+
+@query(
+    rules_sql("SELECT file_id AS id, file_path AS file, code FROM source_files").split(",\n    r AS ")[0]
+    + f""", ia AS (SELECT id, masked, regexp_extract_all(code, rx) AS m, string_split_regex(code, rx) AS p FROM c, {values(_IMPORTS, 'no, rx')} WHERE regexp_matches(code, rx)),
+    ib AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ia),
+    ic AS (SELECT id, regexp_extract(m[i], '[''"]([^''"]+)[''"]', 1) AS spec, substr(masked, CAST(list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) + 1, 1) <> chr(1) AS live FROM ib),
+    id_ AS (SELECT id, regexp_extract(regexp_replace(trim(spec), '^node:', ''), '^[^?#]*', 0) AS t FROM ic WHERE live), ie AS (SELECT id, CASE WHEN t LIKE '@%' THEN array_to_string(string_split(t, '/')[1:2], '/') ELSE string_split(t, '/')[1] END AS module FROM id_),
+    ig AS (SELECT id, module, coalesce('name_prefix:' || list_filter({_NET_PREFIXES}, lambda y: starts_with(lower(module), y))[1], 'name_keyword:' || list_filter({_NET_WORDS}, lambda y: contains(lower(module), y))[1]) AS reason FROM ie WHERE module <> ''),
+    ih AS (SELECT id, module, 'EXT_HTTP_IMPORT' AS rule, 'error' AS severity, reason FROM ig WHERE reason IS NOT NULL AND NOT regexp_matches(lower(module), '{_TOOLS}') AND NOT starts_with(module, '.')
+      UNION ALL SELECT id, ig.module, k.rule, k.severity, 'family:' || family FROM ig JOIN {values(_FAMILY, 'module, family, rule, severity')} k ON k.module = ig.module)
+    SELECT file_id, npm_name, file_path AS file, module, rule, severity, reason FROM ih JOIN source_files f ON f.file_id = ih.id"""
+)
+def import_findings(spark, d):
+    from pyspark.sql import functions as F
+
+    f = table(spark, d, "source_files").select("file_id", "npm_name", F.col("file_path").alias("file"), "code")
+    return package_scan.import_findings(f).select("file_id", "npm_name", "file", "module", "rule", "severity", "reason")
+
+
 # Planted cases: rule, number of its hits, file name, text. What must be found and what must not, for every rule; lines by line feeds.
 CASES = [
     ("PROCESS_ENV", 2, "a.js", "const a = process.env.HOME;\nconst b = process.env['X'];"), ("PROCESS_ENV", 0, "a.js", "// process.env.HOME\n/* process.env */ const processXenv = 1;"), ("PROCESS_ENV", 1, "a.json", "// process.env in what isn't a script"),
@@ -185,3 +253,18 @@ def package_manifest_cases(spark, d):
     packages = spark.createDataFrame([(n,) for n in "pqrstuv"], "npm_name string")
     found = package_scan.dependency_findings(manifests).select("npm_name", "module", "rule", "severity")
     return found.unionByName(package_scan.manifest_findings(packages, manifests).withColumn("module", F.lit(None).cast("string")))
+
+
+@query(
+    f"""WITH x AS (SELECT file_id, regexp_extract_all(code, {text(_LEXER)}) AS tk, string_split_regex(code, {text(_LEXER)}) AS gp FROM source_files WHERE lang IN ('js', 'ts') AND code <> ''),
+    y AS (SELECT file_id, tk[i] AS t, CAST(list_sum(list_transform(gp[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(tk[1:i - 1], lambda g: length(g))), 0) AS INT) AS span_start FROM (SELECT *, unnest(range(1, len(tk) + 1)) AS i FROM x))
+    SELECT file_id, span_start, span_start + CAST(length(t) AS INT) AS span_end FROM y WHERE starts_with(t, '//') OR starts_with(t, '/*') AND ends_with(t, '*/') AND length(t) >= 4"""
+)
+def comment_spans(spark, d):
+    """Spans of comments by the script lexer."""
+    from pyspark.sql import functions as F
+
+    from wfscan.operators.lexing import comment_spans_of
+
+    f = table(spark, d, "source_files").where("lang in ('js', 'ts')")
+    return f.select("file_id", F.explode(comment_spans_of(F.col("code"))).alias("c")).select("file_id", F.col("c.s").alias("span_start"), F.col("c.e").alias("span_end"))

@@ -125,27 +125,6 @@ def comment_lines(spark, d):
     return f.groupBy("file_id").agg(F.count("*").alias("lines"), F.count_if(tx.is_comment_line(F.col("line"))).alias("comment_lines"))
 
 
-@query()
-def comment_spans(spark, d):
-    """Spans of comments by the script lexer; checked against brute force in tests."""
-    from wfscan.operators.lexing import comment_spans_of
-
-    f = table(spark, d, "source_files").where("lang in ('js', 'ts')")
-    return f.select("file_id", F.explode(comment_spans_of(F.col("code"))).alias("c")).select("file_id", F.col("c.s").alias("span_start"), F.col("c.e").alias("span_end"))
-
-
-def _package_files(spark, d):
-    return table(spark, d, "source_files").select("file_id", "npm_name", F.col("file_path").alias("file"), "code")
-
-
-@query()
-def package_findings(spark, d):
-    """All package rules with comment filter, lines and snippets, repeats removed and enriched."""
-    f = package_scan.find_hits(_package_files(spark, d))
-    e = package_scan.enriched(package_scan.distinct_findings(f, ["file_id", "pos"]))
-    return package_scan.labelled(e).select("file_id", "npm_name", "file", "rule", "severity", "rule_category", "class_id", "tier", "line_start", "line_end", "matched_text", "evidence_score", "confidence", "label")
-
-
 _IMPORT = r"""(?m)import\s+(?:[^'";]*?\s+from\s+)?['"]([^'"]+)['"]"""
 _MODULES = f"""SELECT file_id, CASE WHEN s LIKE '@%' THEN array_to_string(string_split(s, '/')[1:2], '/') ELSE string_split(s, '/')[1] END AS module
     FROM (SELECT file_id, regexp_replace(unnest(regexp_extract_all(code, {text(_IMPORT)}, 1)), '^node:', '') AS s FROM source_files)"""
@@ -184,11 +163,6 @@ def suspicious_family_join(spark, d):
     return m.join(F.broadcast(dim), "word").groupBy("family").agg(F.count("*").alias("imports"), F.count_distinct("file_id").alias("files"))
 
 
-@query()
-def import_findings(spark, d):
-    return package_scan.import_findings(_package_files(spark, d)).select("file_id", "npm_name", "file", "module", "rule", "severity", "reason")
-
-
 _RULES = values([(r, c) for c, rs in dims.RISK_CLASS.items() for r in rs], "rule, class_id")
 _CLASS = values([(c[0], c[1], c[2]) for c in dims.CLASSES], "class_id, class_name, tier")
 
@@ -294,6 +268,9 @@ def server_scannable(spark, d):
     return table(spark, d, "server_files").where(server_scan.scannable(F.col("file"))).select("file_id")
 
 
-@query()
+_NAMED = {m: "bool_or(list_last(string_split(replace(file, chr(92), '/'), '/')) = " + text(m) + ") AS " + m.replace(".", "_") for m in ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "Cargo.toml")}
+
+
+@query(f"SELECT server_name AS server, {', '.join(_NAMED.values())} FROM server_files GROUP BY server_name")
 def server_manifests(spark, d):
     return server_scan.manifests(table(spark, d, "server_files"))
