@@ -213,3 +213,18 @@ def _near(table_name: str, row_id: str, column: str, origin: str) -> str:
 
 
 SQL["p3_found"] = _near("template_records", "rec_id", "prompt_text", "prompt_text") + " UNION ALL " + _near("scan_findings", "finding_id", "code_snippet", "code_snippet")
+
+
+def _groups(n: int, table_name: str, row_id: str, column: str, origin: str) -> str:
+    """Classes of equal sets, links between their first rows, and the parts that links connect; names of the n-th part of a query."""
+    return f"""v{n} AS (SELECT {row_id} AS id, regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table_name}),
+      s{n} AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM v{n} WHERE len(ws) >= 3)),
+      k{n} AS (SELECT id, rep, n, count(*) OVER (PARTITION BY rep) AS m FROM (SELECT id, n, min(id) OVER (PARTITION BY digest) AS rep FROM (SELECT id, count(*) AS n, md5(string_agg(sh, '|' ORDER BY sh)) AS digest FROM s{n} GROUP BY id))),
+      c{n} AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM s{n} x JOIN s{n} y ON x.sh = y.sh AND x.id <> y.id SEMI JOIN (SELECT rep FROM k{n}) r ON r.rep = x.id SEMI JOIN (SELECT rep FROM k{n}) t ON t.rep = y.id GROUP BY ALL),
+      l{n} AS (SELECT a, b FROM c{n} JOIN k{n} p ON p.id = a JOIN k{n} q ON q.id = b WHERE o >= 0.6 * (p.n + q.n - o) - 1e-9),
+      r{n}(id, seen) AS (SELECT a, a FROM l{n} UNION SELECT l{n}.b, seen FROM r{n} JOIN l{n} ON l{n}.a = r{n}.id),
+      p{n} AS (SELECT id, min(seen) AS label FROM r{n} GROUP BY id), d{n} AS (SELECT a, count(*) AS n_links FROM l{n} GROUP BY a),
+      z{n} AS (SELECT k.id, k.rep AS class_id, coalesce(label, k.rep) AS group_id, coalesce(n_links, 0) AS n_links, '{origin}' AS origin FROM k{n} k LEFT JOIN p{n} p ON p.id = k.rep LEFT JOIN d{n} d ON d.a = k.rep WHERE m > 1 OR n_links > 0)"""
+
+
+SQL["p3_groups"] = "WITH RECURSIVE " + _groups(1, "template_records", "rec_id", "prompt_text", "prompt_text") + ", " + _groups(2, "scan_findings", "finding_id", "code_snippet", "code_snippet") + " SELECT * FROM z1 UNION ALL SELECT * FROM z2"
