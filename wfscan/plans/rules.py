@@ -268,3 +268,22 @@ def comment_spans(spark, d):
 
     f = table(spark, d, "source_files").where("lang in ('js', 'ts')")
     return f.select("file_id", F.explode(comment_spans_of(F.col("code"))).alias("c")).select("file_id", F.col("c.s").alias("span_start"), F.col("c.e").alias("span_end"))
+
+
+@query("SELECT * FROM (VALUES ('dependencies', CAST(2 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT)), ('devDependencies', 2, 1, 1), ('peerDependencies', 2, 0, 0), ('optionalDependencies', 3, 1, 1)) AS t(dep_kind, dependencies, suspect, modules)")
+def package_network_cases(spark, d):
+    """Dependencies of the planted package files by kind: how many, how many reach the network, and how many modules those are."""
+    from wfscan.operators import findings
+
+    return findings.network_dependencies(package_scan.dependencies(spark.createDataFrame(_MANIFESTS, "npm_name string, code string")))
+
+
+_REUSED = [(1, "id: 0A1b2c3d-1111-2222-3333-444455556666 and again 0a1b2c3d-1111-2222-3333-444455556666"), (2, "0a1b2c3d-1111-2222-3333-444455556666"), (3, "ffffffff-0000-1111-2222-333344445555 once"), (4, None), (5, "aaaaaaaa-0000-1111-2222-333344445555"), (6, "x-aaaaaaaa-0000-1111-2222-333344445555")]
+
+
+@query("SELECT * FROM (VALUES ('0a1b2c3d-1111-2222-3333-444455556666', CAST(3 AS BIGINT), CAST(2 AS BIGINT)), ('aaaaaaaa-0000-1111-2222-333344445555', 2, 2)) AS t(uuid, uses, templates)")
+def reused_identifier_cases(spark, d):
+    """Planted identifiers that several templates share."""
+    from wfscan.operators import workflow
+
+    return workflow.reused_ids(spark.createDataFrame(_REUSED, "template int, body string"), "template", "body")

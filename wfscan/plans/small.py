@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wfscan.functions import names, text
 from wfscan.operators import chains, dims, lexing, package_scan, registry, workflow
 from wfscan.plans.registry import query, values
+from wfscan.plans.registry import text as sql_text
 from wfscan.plans.registry import text as literal
 from wfscan.plans.workflow import _NODES
 from wfscan.session import table
@@ -62,7 +63,17 @@ def server_class_hits(spark, d):
     return chains.server_hits(c.select("server_name", body.alias("body")), "server_name", "body")
 
 
-@query()
+def _hits_of(rx: str) -> str:
+    """Matches of a pattern in source files as SQL: file_id, code, pos (0-based)."""
+    return f"""a AS (SELECT file_id, code, regexp_extract_all(code, {sql_text(rx)}) AS m, string_split_regex(code, {sql_text(rx)}) AS p FROM source_files WHERE regexp_matches(code, {sql_text(rx)})),
+    b AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a),
+    h AS (SELECT file_id, code, CAST(list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS INT) AS pos FROM b)"""
+
+
+@query(
+    f"""WITH {_hits_of("https?://")}, q AS (SELECT *, regexp_extract(substr(code, greatest(pos - 300, 0) + 1, least(pos, 300)), '(["''])[^"'']*$', 1) AS quoted, substr(code, greatest(pos - 300, 0) + 1, least(pos, 300) + 300) AS around FROM h)
+    SELECT file_id, pos FROM q WHERE quoted <> '' AND contains(substr(code, pos + 1, 300), quoted) AND regexp_matches(around, '(?i)\\b(placeholder|default|example|examples|hint|help|tooltip|sample|description|displayName)\\s*:\\s*[''"`]')"""
+)
 def interface_text(spark, d):
     """Web addresses in quotes near interface keys; the quote context is an Arrow function."""
     f = table(spark, d, "source_files").where(F.col("code").rlike("https?://"))
@@ -71,10 +82,17 @@ def interface_text(spark, d):
     return f.select("file_id", F.explode(F.arrays_zip(at.alias("pos"), ui(F.col("code"), at).alias("ui"))).alias("x")).where("x.ui").select("file_id", F.col("x.pos").alias("pos"))
 
 
-@query()
+_BLOCK_AT = r"password\s*:\s*\{"
+
+
+@query(
+    f"""WITH {_hits_of(_BLOCK_AT)}, w AS (SELECT *, substr(code, pos + 1, 2000) AS w FROM h), l AS (SELECT *, regexp_extract_all(w, '[{{}}]') AS braces, string_split_regex(w, '[{{}}]') AS bits FROM w),
+    e AS (SELECT *, list_filter(range(1, len(braces) + 1), lambda j: braces[j] = '}}' AND 2 * len(list_filter(braces[1:j], lambda x: x = '{{')) <= j)[1] AS j FROM l)
+    SELECT file_id, CASE WHEN j IS NULL THEN substr(w, 1, 800) ELSE substr(w, 1, j + CAST(list_sum(list_transform(bits[1:j], lambda y: length(y))) AS BIGINT)) END AS block FROM e"""
+)
 def field_blocks(spark, d):
     """The brace block around each credential field, as far as 2,000 characters; an Arrow function."""
-    rx = r"password\s*:\s*\{"
+    rx = _BLOCK_AT
     f = table(spark, d, "source_files").where(F.col("code").rlike(rx))
     at = F.transform(text.all_matches(F.col("code"), rx), lambda h: h["pos"].cast("int"))
     return f.select("file_id", F.explode(lexing.blocks_at(F.col("code"), at)).alias("block"))

@@ -127,7 +127,12 @@ def a7_network_dependencies(spark, d):
     return findings.network_dependencies(dependencies(m))
 
 
-@query()
+@query(
+    """WITH m AS (SELECT npm_name, bool_or(json_valid(code)) AS ok, max(CASE WHEN json_valid(code) THEN coalesce(code->>'$.license', code->>'$.licenses') END) AS licence FROM source_files WHERE ends_with(file_path, 'config.json') GROUP BY npm_name),
+    j AS (SELECT p.npm_name, m.npm_name IS NOT NULL AS there, ok, licence FROM (SELECT DISTINCT npm_name FROM source_files) p LEFT JOIN m ON m.npm_name = p.npm_name)
+    SELECT npm_name, 'PKG_JSON_MISSING' AS rule, 'warn' AS severity FROM j WHERE NOT there UNION ALL SELECT npm_name, 'PKG_JSON_INVALID', 'error' FROM j WHERE NOT ok
+    UNION ALL SELECT npm_name, 'LICENSE', 'warn' FROM j WHERE ok AND (licence IS NULL OR NOT regexp_matches(licence, '(?i)mit') AND NOT regexp_matches(licence, '^[\\[{]'))"""
+)
 def manifest_findings(spark, d):
     from wfscan.operators.package_scan import manifest_findings as find
 
