@@ -18,7 +18,7 @@ import base64
 import binascii
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from urllib.parse import unquote
 
 import numpy as np
@@ -389,10 +389,12 @@ def _key_line(line: str, full: bool, ended: bool) -> tuple[int, int] | None:
 
 
 def mask_text(text: str | None) -> str | None:
-    if not text:
-        return text
+    return masked(text, {line: spans for _, line, spans in find_in_batch(pa.array([text]))}) if text else text
+
+
+def masked(text: str, found: dict[int, list[tuple[int, int]]]) -> str:
+    """The text with the spans of its lines masked; found: spans by line number."""
     lines, within, full = text.split("\n"), False, False
-    found = {line: spans for _, line, spans in find_in_batch(pa.array([text]))}
     ending, ahead = [False] * len(lines), False  # whether the next mark below a line is that of an end
     if "PRIVATE KEY" in text:
         for i in range(len(lines) - 1, -1, -1):
@@ -433,8 +435,10 @@ def mask_secrets(df: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataF
         out: list[tuple] = []
         row_ids = b.column(0).to_pylist()
         for c, name in enumerate(names):
-            rows = sorted({row for row, _, _ in find_in_batch(b.column(c + 1))})
-            out += [(text_cols[name], row_ids[r], mask_text(b.column(c + 1)[r].as_py())) for r in rows]
+            found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(dict)
+            for row, line, spans in find_in_batch(b.column(c + 1)):
+                found[row][line] = spans
+            out += [(text_cols[name], row_ids[r], masked(b.column(c + 1)[r].as_py(), lines)) for r, lines in found.items()]
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["origin", "row_id", "text"])
 
