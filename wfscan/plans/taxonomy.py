@@ -52,7 +52,10 @@ def compliance_totals(spark, d):
     return tax.compliance_totals(_flags(spark, d), _STD)
 
 
-@query()
+_EACH = values([(n, w, f"(?i){_EDGE}" + re.escape(w).replace("\\ ", " ").replace("\\-", "-") + "($|[^0-9A-Za-z_])") for n, ws in tax.STANDARDS.items() for w in ws], "standard, word, rx")
+
+
+@query(f"SELECT template, standard, string_agg(word, '|' ORDER BY word) AS keywords FROM (SELECT DISTINCT {_KEY} AS template, standard, word FROM template_records, {_EACH} w WHERE regexp_matches(prompt_text, rx)) GROUP BY template, standard")
 def compliance_keywords(spark, d):
     return tax.compliance_keywords(table(spark, d, "template_records").withColumn("template", F.trim("template_id")), "template", "prompt_text")
 
