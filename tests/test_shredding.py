@@ -4,7 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests import oracle
 from wfscan.operators import shredding as sh
+from wfscan.plans import QUERIES, SQL
 
 values = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab", max_size=3), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text("xyz", min_size=1, max_size=2), c, max_size=3), max_leaves=12)
 
@@ -106,3 +108,57 @@ def test_deep_reader_equals_json(text):
             return None
 
     assert read(sh._loads_deep) == read(json.loads)
+
+
+def compared(spark, folder, name, bodies):
+    """Rows of a query and of its SQL over these bodies."""
+    import duckdb
+
+    spark.createDataFrame(list(enumerate(bodies)), "record_id bigint, body string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/template.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view template as select * from '{folder}/template.parquet/*.parquet'")
+    cols, mine = oracle.rows_of_frame(QUERIES[name](spark, str(folder)))
+    names, theirs = oracle.rows_of_sql(con, SQL[name])
+    assert cols == names
+    return mine, theirs
+
+
+NODE = {"type": "t", "name": "n", "position": [1, 2], "credentials": {"x y": {"id": "1"}}, "parameters": {"a": [{"b": 1}, None, {"b": "x"}], "z": {"k.l": True}}}
+
+
+def test_whole_documents_come_out(spark, tmp_path):
+    bodies = [
+        json.dumps({"id": 7, "meta": {"a.b": {"c[0]": [{"e": [1, {"f": 2}]}]}}, "workflow": {"workflow": {"nodes": [NODE, None], "connections": {"A": {"main": [[{"node": "B"}], []]}}}, "nodes": [{"p": 1}]}, "nodes": [3]}),
+        json.dumps({"nodes": [5, "s", NODE, [1, [2]], True, "{}"]}),
+        json.dumps({"nodes": [{"parameters": "text"}, {"parameters": 5}, {"parameters": json.dumps([1, {"a": 2}])}, {"parameters": json.dumps(json.dumps({"a": 1}))}, {}]}),
+        json.dumps({"workflow": {"nodes": json.dumps([NODE])}, "nodes": 0}),
+        json.dumps(json.dumps({"nodes": [], "name": "w"})),
+        '{"nodes": [', "", None, "[1]", "7",
+    ]
+    mine, theirs = compared(spark, tmp_path, "p4_all_tables", bodies)
+    assert oracle.same(mine, theirs)
+    assert len(mine) == 51
+    mine, theirs = compared(spark, tmp_path, "p4_tables", [json.dumps({"nodes": [NODE, {"parameters": "text"}, {"parameters": {"a": 1, "parameters": [2]}}]})])
+    assert oracle.same(mine, theirs) and len(mine) == 5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(values | st.fixed_dictionaries({"parameters": values, "type": values}), max_size=4), values)
+def test_every_value_of_a_document_is_in_one_column(nodes, rest):
+    doc = {"id": rest, "nodes": nodes}
+    assert sorted(v for _, v in rebuilt(sh.normalise(doc))) == sorted(v for _, v in leaves(doc))
+
+
+def test_no_readable_document_is_left_out(spark, tmp_path):
+    digits = "9" * 5000
+    bodies = ['{"nodes": [{"parameters": {"a": %s, "b": -%s, "c": 2}}]}' % (digits, digits), "\u00a0" + json.dumps({"nodes": [NODE]}) + "\u3000", json.dumps({"nodes": [NODE]})]
+    for name, rows in (("p4_tables", 9), ("p4_param_values", 9), ("p4_found", 12), ("p4_all_tables", 22)):
+        mine, theirs = compared(spark, tmp_path, name, bodies)
+        assert oracle.same(mine, theirs) and len(mine) == rows, name
+
+
+def test_half_of_a_surrogate_pair_does_not_end_the_query(spark):
+    body = '{"nodes": [{"parameters": {"\\ud83d": "\\ude00", "b": "\\ud83d\\ude00"}}]}'
+    df = spark.createDataFrame([(1, body), (2, '{"nodes": [{}]}')], "record_id bigint, body string")
+    assert sorted((r.field, r.value) for r in sh.flat_tables(df).where("kind <> 'object'").collect()) == [("parameters.b", "\U0001f600"), ("parameters.\ufffd", "\ufffd")]
+    assert sh.nodes_and_values(df).count() == 4 and sh.shred(df).count() == 4

@@ -10,19 +10,22 @@ gives the values under some ancestors; `flat_tables` gives a table for every rep
 linked to the row of the ancestor above. A batch of columns is assembled in one vectorised pass, as every column begins at level 0.
 
 Map-only: no shuffle, and a document of any size concerns one row of one task. Results: null, empty and unreadable bodies give no
-rows; null members and nulls in arrays give none, but array positions count; a repeated document gives its rows again.
+rows; null members and nulls in arrays give none, but array positions count; a repeated document gives its rows again. Half of a
+surrogate pair, which JSON can write but no text holds, comes out as U+FFFD.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import chain
+from decimal import Decimal
+from itertools import chain, repeat
 from json.decoder import WHITESPACE, scanstring
 from json.scanner import NUMBER_RE
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +33,32 @@ from wfscan.session import ship_package, spread
 
 COLUMNS = "record_id bigint, steps array<string>, reps array<int>, defs array<int>, vals array<string>, kind string"
 ITEM, OBJECT = "[]", "{}"  # steps: an array element, and a mark that an object is there; members have a dot before their name
+_BLANKS = " \t\r\n\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # around a document
 _WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
 
 
 def loads(text: str):
-    """json.loads for any depth of nesting."""
+    """json.loads for any depth of nesting and integers of any length."""
     try:
         return json.loads(text)
-    except RecursionError:
+    except json.JSONDecodeError:
+        raise
+    except (RecursionError, ValueError):  # deeper than calls may be, or an integer of more digits than int reads
         return _loads_deep(text)
 
 
+def _integer(digits: str) -> int | Decimal:
+    try:
+        return int(digits)
+    except ValueError:
+        return Decimal(digits)
+
+
+def _text(value) -> str:
+    """A scalar as text."""
+    return value if isinstance(value, str) else str(value) if type(value) in (int, Decimal) else json.dumps(value)
+
+
 def _loads_deep(text: str):
     def skip(at: int) -> int:
         return WHITESPACE.match(text, at).end()
@@ -69,7 +87,7 @@ def _loads_deep(text: str):
         elif c == '"':
             value, at = scanstring(text, at + 1, True)
         elif m := NUMBER_RE.match(text, at):
-            value, at = float(m[0]) if m[2] or m[3] else int(m[0]), m.end()
+            value, at = float(m[0]) if m[2] or m[3] else _integer(m[0]), m.end()
         else:
             word = next((w for w in _WORDS if text.startswith(w, at)), None)
             if word is None:
@@ -105,7 +123,7 @@ def read_document(body: str | None) -> dict | None:
         if not isinstance(body, str):
             break
         try:
-            body = loads(body.lstrip("﻿ \t\r\n"))
+            body = loads(body.lstrip("﻿" + _BLANKS).rstrip(_BLANKS))
         except ValueError:
             return None
     return body if isinstance(body, dict) else None
@@ -124,8 +142,8 @@ def _nodes_of(place: dict) -> list | None:
 def normalise(doc: dict) -> dict:
     """The document with its nodes at one place, under `nodes`, and their parameters as structures; all else stays where it is.
 
-    The nodes are the first list that isn't empty of workflow.workflow.nodes, workflow.nodes and nodes. A list at the top that isn't
-    the one is kept as `other_nodes`.
+    The nodes are the first list that isn't empty of workflow.workflow.nodes, workflow.nodes and nodes. What stands as nodes at the top
+    and isn't the one is kept as `other_nodes`. Parameters that hold no structure stay as they are.
     """
     outer = doc.get("workflow") if isinstance(doc.get("workflow"), dict) else None
     inner = outer.get("workflow") if outer and isinstance(outer.get("workflow"), dict) else None
@@ -136,20 +154,23 @@ def normalise(doc: dict) -> dict:
         rest["workflow"] = {k: v for k, v in outer.items() if k != "nodes"}
     elif of is not None and of is inner:
         rest["workflow"] = outer | {"workflow": {k: v for k, v in inner.items() if k != "nodes"}}
-    if of is not doc and doc.get("nodes"):
-        rest["other_nodes"] = doc["nodes"]
+    if of is not doc and "nodes" in doc:
+        name = "other_nodes"
+        while name in doc:
+            name += "_"
+        rest[name] = doc["nodes"]
     nodes = []
     for n in found:
         if isinstance(n, dict):
-            n = dict(n)
+            held = n.get("parameters")
             for _ in range(2):  # text that holds a structure, once or twice
-                if isinstance(n.get("parameters"), str):
+                if isinstance(held, str):
                     try:
-                        n["parameters"] = loads(n["parameters"])
+                        held = loads(held)
                     except ValueError:
-                        n["parameters"] = None
-            if not isinstance(n.get("parameters"), (dict, list)):
-                n["parameters"] = None
+                        break
+            if isinstance(held, (dict, list)):
+                n = n | {"parameters": held}
         nodes.append(n)
     return rest | {"nodes": nodes}
 
@@ -167,14 +188,22 @@ def _projected(value, wanted: list[tuple[str, ...]]):
     return None
 
 
+# What the kinds of a column's values are called, by their sum.
+_KINDS = ["|".join(n for i, n in enumerate(("boolean", "number", "string")) if k >> i & 1) for k in range(8)] + ["object"]
+
+
+def _kind(value) -> int:
+    return 4 if isinstance(value, str) else 1 if isinstance(value, bool) else 2
+
+
 class _Path:
     """A path of the schema: a node of the tree of all paths that occur in one document."""
 
-    __slots__ = ("defs", "item", "kinds", "members", "reps", "above", "step", "vals", "scalar", "marked", "rep", "_columns")
+    __slots__ = ("defs", "item", "kinds", "members", "reps", "above", "step", "vals", "scalar", "mark", "rep", "_columns")
 
-    def __init__(self, above: _Path | None, step: str, rep: int, marked: bool = False):
-        self.above, self.step, self.rep, self.members, self.item, self.scalar, self.marked = above, step, rep, {}, None, False, marked
-        self.reps, self.defs, self.vals, self.kinds, self._columns = [], [], [], set(), None
+    def __init__(self, above: _Path | None, step: str, rep: int):
+        self.above, self.step, self.rep, self.members, self.item, self.scalar, self.mark = above, step, rep, {}, None, False, None
+        self.reps, self.defs, self.vals, self.kinds, self._columns = [], [], [], 0, None
 
     @property
     def steps(self) -> tuple[str, ...]:
@@ -191,8 +220,10 @@ class _Path:
             out, todo = [], [self]
             while todo:
                 p = todo.pop()
-                if p.scalar or p.marked:
+                if p.scalar:
                     out.append(p)
+                if p.mark is not None:
+                    out.append(p.mark)
                 todo += p.members.values()
                 if p.item is not None:
                     todo.append(p.item)
@@ -205,16 +236,23 @@ def _learn(path: _Path, value) -> None:
     while todo:
         path, value = todo.pop()
         if isinstance(value, dict):
-            for k in value:
-                if k not in path.members:
-                    path.members[k] = _Path(path, "." + k, path.rep)
-            todo += [(path.members[k], v) for k, v in reversed(value.items())]
+            for k, v in value.items():
+                if (p := path.members.get(k)) is None:
+                    p = path.members[k] = _Path(path, "." + k, path.rep)
+                if isinstance(v, (dict, list)):
+                    todo.append((p, v))
+                elif v is not None:
+                    p.scalar = True
         elif isinstance(value, list):
             if path.item is None:
-                path.item = _Path(path, ITEM, path.rep + 1, path.step == ".nodes" and path.above.above is None)
-            todo += [(path.item, v) for v in reversed(value)]
-        elif value is not None:
-            path.scalar = True
+                path.item = _Path(path, ITEM, path.rep + 1)
+                if path.step == ".nodes" and path.above.above is None:
+                    path.item.mark = _Path(path.item, OBJECT, path.rep + 1)
+            for v in value:
+                if isinstance(v, (dict, list)):
+                    todo.append((path.item, v))
+                elif v is not None:
+                    path.item.scalar = True
 
 
 def _gap(path: _Path, rep: int, level: int) -> None:
@@ -229,32 +267,54 @@ def _emit(path: _Path, value, rep: int, level: int) -> None:
     todo = [(path, value, rep, level)]
     while todo:
         path, value, rep, level = todo.pop()
-        if path.scalar or path.marked:
-            there = isinstance(value, dict) if path.marked else value is not None and not isinstance(value, (dict, list))
+        if path.mark is not None:
+            there = isinstance(value, dict)
+            path.mark.reps.append(rep)
+            path.mark.defs.append(level + 1 if there else level)
+            path.mark.vals.append(OBJECT if there else None)
+            if there:
+                path.mark.kinds = 8
+        if path.scalar:
+            there = value is not None and not isinstance(value, (dict, list))
             path.reps.append(rep)
             path.defs.append(level + 1 if there else level)
-            path.vals.append((OBJECT if path.marked else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)) if there else None)
+            path.vals.append(_text(value) if there else None)
             if there:
-                path.kinds.add("object" if path.marked else "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number")
+                path.kinds |= _kind(value)
         if path.item is not None:
             if isinstance(value, list) and value:
-                for i in range(len(value) - 1, -1, -1):
-                    todo.append((path.item, value[i], rep if i == 0 else path.item.rep, level + 1))
+                p = path.item
+                if p.item is None and not p.members and p.mark is None:  # leaves
+                    for i, v in enumerate(value):
+                        there = v is not None and not isinstance(v, (dict, list))
+                        p.reps.append(p.rep if i else rep)
+                        p.defs.append(level + 2 if there else level + 1)
+                        p.vals.append(_text(v) if there else None)
+                        if there:
+                            p.kinds |= _kind(v)
+                else:
+                    for i in range(len(value) - 1, -1, -1):
+                        todo.append((p, value[i], rep if i == 0 else p.rep, level + 1))
             else:
                 _gap(path.item, rep, level)
         if path.members:
             if isinstance(value, dict):
                 for k, p in path.members.items():
                     v = value.get(k)
-                    if v is None:
-                        _gap(p, rep, level)
-                    elif p.item is None and not p.members:  # a leaf
+                    if p.item is None and not p.members:  # a leaf
+                        if v is None:
+                            p.reps.append(rep)
+                            p.defs.append(level)
+                            p.vals.append(None)
+                            continue
                         there = not isinstance(v, (dict, list))
                         p.reps.append(rep)
                         p.defs.append(level + 2 if there else level + 1)
-                        p.vals.append((v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) if there else None)
+                        p.vals.append((v if isinstance(v, str) else _text(v)) if there else None)
                         if there:
-                            p.kinds.add("boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "number")
+                            p.kinds |= _kind(v)
+                    elif v is None:
+                        _gap(p, rep, level)
                     else:
                         todo.append((p, v, rep, level + 1))
             else:
@@ -268,7 +328,7 @@ def shred_document(doc: dict):
     _learn(root, doc)
     _emit(root, doc, 0, 0)
     for p in root.columns:
-        yield (*p.steps, OBJECT) if p.marked else p.steps, p.reps, p.defs, p.vals, "|".join(sorted(p.kinds))
+        yield p.steps, p.reps, p.defs, p.vals, _KINDS[p.kinds]
 
 
 def _shredded(batches: Iterator[pa.RecordBatch], wanted: list[tuple[str, ...]] | None) -> Iterator[list[tuple]]:
@@ -290,13 +350,25 @@ def _shredded(batches: Iterator[pa.RecordBatch], wanted: list[tuple[str, ...]] |
         yield rows
 
 
+def _whole(text):
+    """Text, or lists of it, with U+FFFD for each half of a surrogate pair."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(text, str) else list(map(_whole, text)) if isinstance(text, (list, tuple)) else text
+
+
+def _array(values, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array(_whole(values), kind)
+
+
 def shred(df: DataFrame, id_col: str = "record_id", body_col: str = "body", wanted: list[tuple[str, ...]] | None = None) -> DataFrame:
     """One row per document and leaf path with the column's level sequences; only paths below those wanted, if some are named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string())
         for rows in _shredded(batches, wanted):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "steps", "reps", "defs", "vals", "kind"])
+            yield pa.RecordBatch.from_arrays([_array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "steps", "reps", "defs", "vals", "kind"])
 
     return _documents(df, id_col, body_col).mapInArrow(run, COLUMNS)
 
@@ -358,9 +430,9 @@ def _assembled(rows: list[tuple], under: Under, values: bool) -> pa.RecordBatch
     plain = [path_text(s, ()) if ITEM not in s else None for s in rests]
     column, own = column.tolist(), at[:, 0]
     paths = [plain[c] if plain[c] is not None else path_text(rests[c], p[1:]) for c, p in zip(column, at.tolist() if any(p is None for p in plain) else column, strict=True)]
-    out = [pa.array([rows[c][0] for c in column], pa.int64()), pa.array(own, pa.int64()), pa.array(paths, pa.string())]
+    out = [pa.array([rows[c][0] for c in column], pa.int64()), pa.array(own, pa.int64()), _array(paths, pa.string())]
     if values:
-        out += [pa.array([rows[c][4][k] for c, k in zip(column, entry.tolist(), strict=True)], pa.string()), pa.array([rows[c][5] for c in column], pa.string())]
+        out += [_array([rows[c][4][k] for c, k in zip(column, entry.tolist(), strict=True)], pa.string()), pa.array([rows[c][5] for c in column], pa.string())]
     return pa.RecordBatch.from_arrays(out, ["record_id", "node_no", "param_path", "value", "kind"][: len(out)])
 
 
@@ -415,6 +487,15 @@ def node_table(df: DataFrame) -> DataFrame:
 _TABLES = "record_id bigint, table_name string, row_key string, parent_table string, parent_key string, field string, value string, kind string"
 
 
+def _table_of(steps: tuple[str, ...]) -> tuple[int, str, str | None, str]:
+    """Of a column: how many repeated steps it has, its table, the table above, and its field."""
+    steps = [s for s in steps if s != OBJECT]
+    ends = [i + 1 for i, s in enumerate(steps) if s == ITEM]
+    name = lambda end: "".join(steps[:end]).removeprefix(".")
+    last, above = ends[-1] if ends else 0, ends[-2] if len(ends) > 1 else 0
+    return len(ends), name(last), name(above) if ends else None, path_text(steps[last:], ())
+
+
 def flat_tables(df: DataFrame, wanted: list[tuple[str, ...]] | None = None) -> DataFrame:
     """(record_id, table_name, row_key, parent_table, parent_key, field, value, kind): the fields of a table per repeated ancestor.
 
@@ -426,21 +507,22 @@ def flat_tables(df: DataFrame, wanted: list[tuple[str, ...]] | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _TABLES.split(", ")]
         for rows in _shredded(batches, wanted):
-            column, entry, at = _places([x[1] for x in rows], [x[2] for x in rows], [x[3] for x in rows])
-            facts = []
-            for x in rows:
-                steps = [s for s in x[1] if s != OBJECT]
-                ends = [i + 1 for i, s in enumerate(steps) if s == ITEM]
-                name = lambda end: "".join(s for s in steps[:end]).removeprefix(".")
-                last, above = ends[-1] if ends else 0, ends[-2] if len(ends) > 1 else 0
-                facts.append((len(ends), name(last), name(above) if ends else None, path_text(steps[last:], ())))
-            out: list[list] = [[] for _ in names]
-            for c, k, p in zip(column.tolist(), entry.tolist(), at.tolist(), strict=True):
-                depth, table, above, field = facts[c]
-                key = [str(i) for i in p[:depth]]
-                for target, v in zip(out, (rows[c][0], table, ".".join(key), above, ".".join(key[:-1]) if depth else None, field, rows[c][4][k] if rows[c][1][-1] != OBJECT else None, rows[c][5]), strict=True):
-                    target.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "record_id" else pa.string()) for c, n in zip(out, names, strict=True)], names)
+            steps = [x[1] for x in rows]
+            column, entry, at = _places(steps, [x[2] for x in rows], [x[3] for x in rows])
+            known = {s: _table_of(s) for s in set(steps)}
+            facts = list(zip(*[known[s] for s in steps], strict=True))
+            depth, starts = np.array(facts[0]), np.cumsum([0] + [len(x[4]) for x in rows])
+            record, table, above, field, kind = (_array(c, k) for c, k in zip(([x[0] for x in rows], *facts[1:], [x[5] for x in rows]), [pa.int64()] + [pa.string()] * 4, strict=True))
+            value = _array(list(chain.from_iterable(repeat(None, len(x[4])) if x[1][-1] == OBJECT else x[4] for x in rows)), pa.string())
+            depths = depth[column]
+            for d in np.unique(depths):  # keys of as many positions are joined at once
+                own = np.flatnonzero(depths == d)
+                c = pa.array(column[own])
+                key = [pa.array(at[own, i]).cast(pa.string()) for i in range(d)]
+                root = pa.array([""]).take(pa.array(np.zeros(len(own), np.int64)))
+                own_key = pc.binary_join_element_wise(*key, ".") if key else root
+                parent_key = pa.nulls(len(own), pa.string()) if not key else pc.binary_join_element_wise(*key[:-1], ".") if len(key) > 1 else root
+                yield pa.RecordBatch.from_arrays([record.take(c), table.take(c), own_key, above.take(c), parent_key, field.take(c), value.take(pa.array(starts[column[own]] + entry[own])), kind.take(c)], names)
 
     return _documents(df, "record_id", "body").mapInArrow(run, _TABLES)
 
